@@ -1,0 +1,138 @@
+"""Anchored windows for sessions too large for one array.
+
+Lay a session out as a grid: one row per time cell (one microsecond longer than
+the window), one column per offset inside the cell.  The next window after one
+that starts at offset x of a row starts at the first event of the *next* row at
+offset >= x; when that row has none, at the first event of the row after it.  So
+window starts drift to the right from row to row and fall back to the left edge
+only after a row without a start.
+
+Cut the grid into vertical strips of about equal size.  A strip is entered from
+its left edge at some row and left over its right edge at a later row, whatever
+happened elsewhere, so each strip is summarised independently as "row entered ->
+row left" (step 1, all strips in parallel).  Walking those summaries needs only
+(strips x rows) numbers per session, which grow with the time span and not with
+the number of events (step 2).  The strips that the walk passed through then name
+their window starts (step 3, in parallel again).
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+STRIP_POINTS = 1_000_000
+OFFSET_SLOTS = 4_096
+
+
+def _with_strips(points: DataFrame, strip_points: int) -> DataFrame:
+    """Group narrow offset slots into strips of about ``strip_points`` events."""
+    cell = F.col("window_us") + 1
+    placed = points.withColumn("offset", F.pmod("us", cell)).withColumn(
+        "slot", F.floor(F.col("offset") * OFFSET_SLOTS / cell).cast("int")
+    )
+    running = F.sum("count").over(Window.partitionBy("session_id").orderBy("slot"))
+    strips = (
+        placed.groupBy("session_id", "slot")
+        .count()
+        .select(
+            "session_id",
+            "slot",
+            F.floor((running - F.col("count")) / strip_points).cast("int").alias("strip"),
+        )
+    )
+    return placed.join(strips, ["session_id", "slot"]).select(
+        "session_id", "window_us", "strip", "bucket", "us"
+    )
+
+
+def _links(strip: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted timestamps, their rows, and for each the index of the next start
+    inside the strip (or itself where the chain leaves the strip)."""
+    us = np.sort(strip["us"].to_numpy())
+    width = int(strip["window_us"].iloc[0]) + 1
+    row = us // width
+    following = np.searchsorted(us, us + width)
+    inside = following < len(us)
+    candidate = np.where(inside, following, 0)
+    inside &= row[candidate] == row + 1
+    return us, row, np.where(inside, candidate, np.arange(len(us)))
+
+
+def _row_starts(row: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+
+
+def _summarise_strip(key: tuple, strip: pd.DataFrame) -> pd.DataFrame:
+    _, row, ends = _links(strip)
+    while True:
+        further = ends[ends]
+        if np.array_equal(further, ends):
+            break
+        ends = further
+    entry = _row_starts(row)
+    return pd.DataFrame(
+        {
+            "session_id": key[0],
+            "strip": key[1],
+            "row_in": row[entry],
+            "row_out": row[ends[entry]] + 1,
+        }
+    )
+
+
+def _walk_session(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+    by_strip = [
+        dict(zip(part["row_in"].to_numpy(), part["row_out"].to_numpy(), strict=True))
+        for _, part in table.sort_values("strip").groupby("strip")
+    ]
+    strip_no = sorted(table["strip"].unique())
+    row, last = table["row_in"].min(), table["row_in"].max()
+    passed: list[tuple[int, int]] = []
+    while row <= last:
+        for number, exits in zip(strip_no, by_strip, strict=True):
+            out = exits.get(row)
+            if out is not None:
+                passed.append((number, row))
+                row = out
+        row += 1
+    found = pd.DataFrame(passed, columns=["strip", "row_in"])
+    found.insert(0, "session_id", key[0])
+    return found
+
+
+def _strip_anchors(key: tuple, strip: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
+    found: list[int] = []
+    if len(entered) and len(strip):
+        us, row, following = _links(strip)
+        first = _row_starts(row)
+        entries = first[np.isin(row[first], entered["row_in"].to_numpy())]
+        for at in entries:
+            found.append(us[at])
+            while following[at] != at:
+                at = following[at]
+                found.append(us[at])
+    window_us = strip["window_us"].iloc[0] if len(strip) else 0
+    return pd.DataFrame(
+        {"session_id": key[0], "window_us": window_us, "anchor_us": found}
+    ).astype("int64")
+
+
+def hot_session_anchors(points: DataFrame, strip_points: int | None = None) -> DataFrame:
+    """Window starts (``session_id, window_us, anchor_us``) of large sessions."""
+    strips = _with_strips(points, strip_points or STRIP_POINTS)
+    summary = strips.groupBy("session_id", "strip").applyInPandas(
+        _summarise_strip, "session_id bigint, strip int, row_in bigint, row_out bigint"
+    )
+    passed = summary.groupBy("session_id").applyInPandas(
+        _walk_session, "session_id bigint, strip int, row_in bigint"
+    )
+    return (
+        strips.groupBy("session_id", "strip")
+        .cogroup(passed.groupBy("session_id", "strip"))
+        .applyInPandas(
+            _strip_anchors, "session_id bigint, window_us bigint, anchor_us bigint"
+        )
+    )
