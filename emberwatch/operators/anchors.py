@@ -25,16 +25,20 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators.hot_sessions import hot_session_anchors
 from emberwatch.operators.rules import DEFAULT_RULES, Rule, fan_out, per_rule
-from emberwatch.storage import stage
+from emberwatch.storage import stage, stage_measured
 
 # Sessions up to this many events are folded in one array; larger ones are cut.
-FOLD_LIMIT = 5_000
+FOLD_LIMIT = 20_000
 
 
-def session_cells(keyed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+_IS_LONG = "session_last_us - session_first_us > window_us"
+
+
+def session_cells(keyed: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, int]:
     """Stage one row per (rule, key, cell) with its session.
 
     ``cell_id`` names the cell; a window is later named by the cell it starts in.
+    Also returns the event count of the largest session longer than its window.
     """
     cells = keyed.groupBy("rule_idx", "key", "bucket").agg(
         F.count(F.lit(1)).alias("n"),
@@ -66,14 +70,15 @@ def session_cells(keyed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     needed = (F.col("key_largest_session") >= minimum) & (
         (F.col("session_n") >= minimum) | (F.col("session") == 1)
     )
-    return stage(
+    cells, measured = stage_measured(
         sessions.where(needed).select(
-            "rule_idx", "key", "bucket", "cell_id", "first_us", "last_us", "n",
-            "window_us", "session_id", "session_first_us", "session_last_us",
-            "session_n", "key_first_us",
+            "rule_idx", "key", "bucket", "cell_id", "window_us", "session_id",
+            "session_first_us", "session_last_us", "session_n", "key_first_us",
         ),
         "cells",
+        F.max(F.when(F.expr(_IS_LONG), F.col("session_n"))).alias("largest_long"),
     )
+    return cells, measured.get("largest_long") or 0
 
 
 def _session_points(keyed: DataFrame, long_cells: DataFrame) -> DataFrame:
@@ -121,11 +126,10 @@ def anchored_windows(
     its window starts in.
     """
     keyed = fan_out(events, rules)
-    cells = session_cells(keyed, rules)
+    cells, largest_long = session_cells(keyed, rules)
 
-    is_long = F.col("session_last_us") - F.col("session_first_us") > F.col("window_us")
     columns = ["rule_idx", "key", "bucket"]
-    starts = cells.where(~is_long).select(
+    starts = cells.where(f"NOT ({_IS_LONG})").select(
         *columns,
         F.col("session_first_us").alias("anchor_us"),
         F.col("session_id").alias("window_id"),
@@ -133,12 +137,11 @@ def anchored_windows(
         F.lit(None).cast("bigint").alias("open_window_id"),
     )
 
-    long_cells = cells.where(is_long)
-    largest = long_cells.agg(F.max("session_n")).first()[0]
-    if largest is not None:
+    if largest_long:
+        long_cells = cells.where(_IS_LONG)
         foldable = long_cells.where(F.col("session_n") <= fold_limit)
         anchors = _folded_anchors(_session_points(keyed, foldable))
-        if largest > fold_limit:
+        if largest_long > fold_limit:
             huge = long_cells.where(F.col("session_n") > fold_limit)
             anchors = anchors.unionByName(
                 hot_session_anchors(_session_points(keyed, huge), strip_points)

@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.fixed_values import OVERLAP_LIMIT
-from emberwatch.operators.ordering import stage_in_order
-from emberwatch.storage import stage
+from emberwatch.storage import stage_measured
 
+# Sorts like the sequential walk: larger incidents first, then the lower id.
+_RANK = "named_struct('minus_n', -event_count, 'id', id)"
 
-def _overlaps(ranked: DataFrame, membership: DataFrame) -> DataFrame:
+
+def _overlaps(incidents: DataFrame, membership: DataFrame) -> DataFrame:
     """Distinct sets of incidents that share events, with the number of events."""
     shared = (
         membership.groupBy("event_id")
@@ -38,36 +40,36 @@ def _overlaps(ranked: DataFrame, membership: DataFrame) -> DataFrame:
         .groupBy("windows")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-    member = F.struct(F.col("position").alias("rank"), F.col("event_count").alias("n"))
     return (
         shared.select("windows", "weight", F.explode("windows").alias("window_id"))
-        .join(ranked, "window_id")
+        .join(incidents.select("window_id", F.expr(_RANK).alias("rank")), "window_id")
         .groupBy("windows", "weight")
-        .agg(F.array_sort(F.collect_list(member)).alias("undecided"))
+        .agg(F.array_sort(F.collect_list("rank")).alias("undecided"))
         .where(F.size("undecided") > 1)
         .groupBy("undecided")
         .agg(F.sum("weight").alias("weight"))
         .select(
             F.monotonically_increasing_id().alias("overlap_id"),
             "weight",
-            F.lit(None).cast("bigint").alias("kept_rank"),
+            F.lit(None).cast("struct<minus_n:bigint,id:bigint>").alias("kept_rank"),
             "undecided",
+            F.array().cast("array<bigint>").alias("dropped"),
         )
     )
 
 
 def _decide(overlaps: DataFrame, limit: float) -> DataFrame:
     members = overlaps.select(
-        "weight", "kept_rank", F.posexplode("undecided").alias("place", "member")
-    ).select("weight", "kept_rank", "place", "member.rank", "member.n")
+        "weight", "kept_rank", F.posexplode("undecided").alias("place", "rank")
+    )
     covered = F.coalesce(F.col("kept_rank") < F.col("rank"), F.lit(False))
-    counts = members.groupBy("rank", "n").agg(
+    counts = members.groupBy("rank").agg(
         F.sum(F.when(covered, F.col("weight")).otherwise(0)).alias("sure"),
         F.sum(F.when(covered | (F.col("place") > 0), F.col("weight")).otherwise(0)).alias(
             "possible"
         ),
     )
-    allowed = F.col("n") * F.lit(limit)
+    allowed = -F.col("rank.minus_n") * F.lit(limit)
     return counts.select(
         "rank",
         F.when(F.col("sure") > allowed, F.lit(False))
@@ -76,28 +78,21 @@ def _decide(overlaps: DataFrame, limit: float) -> DataFrame:
     ).where(F.col("keep").isNotNull())
 
 
-def _settle(overlaps: DataFrame, decided: DataFrame) -> DataFrame:
-    """Move decided incidents out of the undecided lists."""
+def _play_round(overlaps: DataFrame, limit: float) -> DataFrame:
+    """Decide what can be decided and take it out of the undecided lists."""
+    rank, keep = F.col("rank"), F.col("keep")
     return (
         overlaps.select(
-            "overlap_id", "weight", "kept_rank", F.explode("undecided").alias("member")
+            "overlap_id", "weight", "kept_rank", F.explode("undecided").alias("rank")
         )
-        .withColumn("rank", F.col("member.rank"))
-        .join(decided, "rank", "left")
-        .groupBy("overlap_id", "weight", "kept_rank")
+        .join(_decide(overlaps, limit), "rank", "left")
+        .groupBy("overlap_id", "weight")
         .agg(
-            F.min(F.when(F.col("keep"), F.col("rank"))).alias("newly_kept"),
-            F.array_sort(
-                F.collect_list(F.when(F.col("keep").isNull(), F.col("member")))
-            ).alias("undecided"),
-        )
-        .where(F.size("undecided") > 0)
-        .select(
-            "overlap_id",
-            "weight",
-            F.least("kept_rank", "newly_kept").alias("kept_rank"),
-            "undecided",
+            F.least(F.min("kept_rank"), F.min(F.when(keep, rank))).alias("kept_rank"),
+            F.array_sort(F.collect_list(F.when(keep.isNull(), rank))).alias("undecided"),
+            F.collect_list(F.when(~keep, rank["id"])).alias("dropped"),
         )
+        .select("overlap_id", "weight", "kept_rank", "undecided", "dropped")
     )
 
 
@@ -109,26 +104,23 @@ def suppress_overlaps(
     ``incidents`` needs ``window_id, id, event_count``; ``membership`` needs
     ``window_id, event_id``.  Nothing is merged: a covered incident is dropped.
     """
-    ranked = stage_in_order(
-        incidents.select("window_id", "id", "event_count"),
-        [F.col("event_count").desc(), F.col("id").asc()],
-        "suppression-rank",
-    ).select("window_id", "position", "event_count")
-
-    overlaps = stage(_overlaps(ranked, membership), "overlaps")
-    verdicts: list[DataFrame] = []
-    while not overlaps.isEmpty():
-        decided = stage(_decide(overlaps, limit), "decided")
-        verdicts.append(decided)
-        overlaps = stage(_settle(overlaps, decided), "overlaps")
-
-    if not verdicts:
+    is_open = F.size("undecided") > 0
+    still_open = F.count_if(is_open).alias("still_open")
+    rounds: list[DataFrame] = []
+    state, measured = stage_measured(
+        _overlaps(incidents, membership), "overlaps", still_open
+    )
+    while measured.get("still_open"):
+        state, measured = stage_measured(
+            _play_round(state.where(is_open), limit), "overlaps", still_open
+        )
+        rounds.append(state)
+
+    if not rounds:
         return incidents
     dropped = (
-        reduce(DataFrame.unionByName, verdicts)
-        .where(~F.col("keep"))
-        .select(F.col("rank").alias("position"))
-        .join(ranked, "position")
-        .select("window_id")
+        reduce(DataFrame.unionByName, rounds)
+        .select(F.explode("dropped").alias("id"))
+        .distinct()
     )
-    return incidents.join(dropped, "window_id", "left_anti")
+    return incidents.join(dropped, "id", "left_anti")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 
@@ -40,3 +40,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{staging_root(spark)}/emberwatch/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_measured(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """``stage`` plus aggregates observed while writing, without another job."""
+    observation = Observation()
+    staged = stage(df.observe(observation, *metrics), label)
+    return staged, observation.get
