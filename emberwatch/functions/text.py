@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,35 +29,43 @@ def contains_any(column: Column, words: Sequence[str]) -> Column:
     return F.coalesce(F.lower(column).rlike(any_of(words)), F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_word_found(column: Column, words: Sequence[str]) -> Column:
     """The first listed word that the lower-cased text contains, else NULL."""
-    text = F.lower(column)
-    return F.coalesce(*[F.when(text.contains(word), F.lit(word)) for word in words])
+    listed = F.array(*[F.lit(word) for word in words])
+    return let(
+        F.lower(column),
+        lambda text: F.get(F.filter(listed, lambda w: F.contains(text, w)), F.lit(0)),
+    )
 
 
 def first_keyword_value(column: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     """Value of the first listed keyword that the lower-cased text contains."""
-    text = F.lower(column)
-    return F.coalesce(
-        *[F.when(text.contains(keyword), F.lit(value)) for keyword, value in pairs]
+    listed = F.array(
+        *[F.struct(F.lit(k).alias("keyword"), F.lit(v).alias("value")) for k, v in pairs]
+    )
+    return let(
+        F.lower(column),
+        lambda text: F.get(
+            F.filter(listed, lambda p: F.contains(text, p["keyword"])), F.lit(0)
+        )["value"],
     )
 
 
 def lookup(column: Column, table: Mapping[str, str | None]) -> Column:
     """Constant-table lookup; NULL for unknown keys and for keys mapped to None."""
-    by_value: dict[str, list[str]] = {}
-    for key, value in table.items():
-        if value is not None:
-            by_value.setdefault(value, []).append(key)
-    return F.coalesce(
-        *[F.when(column.isin(keys), F.lit(value)) for value, keys in by_value.items()]
-    )
+    entries = [F.lit(item) for pair in table.items() if pair[1] is not None for item in pair]
+    return F.try_element_at(F.create_map(*entries), column)
 
 
 def safe_int(column: Column, kind: str = "int") -> Column:
     """Integer text to a number; anything else is NULL."""
-    text = F.trim(column)
-    return F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast(kind))
+    # The cast alone would also take fractions and named values of wider types.
+    return F.when(column.rlike(r"\A\s*[+-]?[0-9]+\s*\z"), F.trim(column).try_cast(kind))
 
 
 def looks_like_uuid(column: Column) -> Column:
