@@ -71,23 +71,33 @@ def incident_facts(events: DataFrame, membership: DataFrame) -> DataFrame:
     )
 
 
-def incident_values(facts: DataFrame) -> DataFrame:
+VALUE_COLUMNS = {
+    "ip": ["src_ip", "dst_ip"],
+    "user": ["user"],
+    "port": ["dst_port"],
+    "host": ["dst_host"],
+    "process": ["process"],
+    "source": ["source"],
+}
+
+
+def incident_values(
+    facts: DataFrame, kinds: Sequence[str] = tuple(VALUE_COLUMNS)
+) -> DataFrame:
     """Distinct values per incident: ``window_id, kind, value, n``.
 
-    ``kind`` is ip, user, port, host or process.  Port 0 is a value here; the
-    counters that ignore it say so.
+    One row per value and never a set in a cell, because an incident may have
+    millions of addresses.  Port 0 is a value here; the counters that ignore it
+    say so.
     """
-    kinds = [
-        ("ip", truthy(F.col("src_ip"))),
-        ("ip", truthy(F.col("dst_ip"))),
-        ("user", truthy(F.col("user"))),
-        ("port", F.col("dst_port").cast("string")),
-        ("host", truthy(F.col("dst_host"))),
-        ("process", truthy(F.col("process"))),
+    values = [
+        (kind, truthy(F.col(name).cast("string")))
+        for kind in kinds
+        for name in VALUE_COLUMNS[kind]
     ]
     pairs = [
         F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value")))
-        for kind, value in kinds
+        for kind, value in values
     ]
     return (
         facts.select("window_id", F.inline(F.array_compact(F.array(*pairs))))
@@ -99,7 +109,7 @@ def incident_values(facts: DataFrame) -> DataFrame:
 def _value_counts(facts: DataFrame) -> DataFrame:
     kind = F.col("kind")
     return (
-        incident_values(facts.drop("process").withColumn("process", F.lit(None).cast("string")))
+        incident_values(facts, ["ip", "user", "port", "host"])
         .groupBy("window_id")
         .agg(
             F.count_if(kind == "ip").alias("n_ips"),

@@ -21,15 +21,17 @@ FIELDS = [
 ]
 
 
-def _last_occurrence(name: str) -> Column:
-    """Value of the last pair with this key; the pairs are stored last first."""
-    place = F.array_position("keys", name)
-    value = F.when(place > 0, F.get("values", (place - 1).cast("int")))
+def _unquoted(value: Column) -> Column:
     quoted = value.startswith('"') | value.startswith("'")
     inner = F.substring(value, F.lit(2), F.length(value) - 2)
     return F.when(quoted, inner).otherwise(value)
 
 
+def _last_occurrence(name: str) -> Column:
+    """Value of the last pair with this key; the pairs are stored last first."""
+    return F.get("values", (F.array_position("keys", name) - 1).cast("int"))
+
+
 def parse_firewall_lines(lines: DataFrame) -> DataFrame:
     """``line`` to ``doc`` (the line), ``f`` (struct of texts), ``numbers`` (the
     numeric fields), ``local_time`` and ``reject_reason``."""
@@ -45,7 +47,7 @@ def parse_firewall_lines(lines: DataFrame) -> DataFrame:
     parsed = (
         lines.withColumn("doc", doc)
         .withColumn("keys", matches(1))
-        .withColumn("values", matches(2))
+        .withColumn("values", F.transform(matches(2), _unquoted))
     )
     reason = (
         F.when(F.col("doc") == "", F.lit("blank"))

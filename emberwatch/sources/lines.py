@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LINEAGE_ORDER = ["file_name", "file_path", "block_start", "row_id"]
+
 
 def decoded_file_name() -> Column:
     """Plain file name; the metadata column holds it percent-encoded."""
