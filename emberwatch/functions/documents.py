@@ -22,6 +22,17 @@ Path = tuple[str, ...]
 _EMPTY_JSON = ['""', "0", "-0", "0.0", "-0.0", "false", "null", "[]", "{}"]
 
 
+def computed_once(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``select`` whose results are computed once per row.
+
+    A filter on a selected column would otherwise be pushed below the select with
+    its whole expression copied, so that a record would be parsed again for every
+    filter.  Unnesting one struct per row keeps filters above.
+    """
+    named = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return df.select(F.inline(F.array(F.struct(*named))))
+
+
 def member(value: Column, *path: str) -> Column:
     """Member of an object as VARIANT; NULL where absent or not an object."""
     steps = "".join(f"['{name}']" for name in path)
@@ -34,7 +45,7 @@ def leaf_name(path: Path) -> str:
     return re.sub("([A-Z])", r"^\1", "/".join(path))
 
 
-def project(df: DataFrame, paths: Iterable[Path], keep: list[str]) -> DataFrame:
+def project(df: DataFrame, paths: Iterable[Path], keep: list[str | Column]) -> DataFrame:
     """One VARIANT column per path below ``d``."""
     columns = []
     for path in dict.fromkeys(paths):

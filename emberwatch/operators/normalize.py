@@ -27,6 +27,7 @@ from emberwatch.functions import clock
 from emberwatch.functions.documents import (
     Path,
     as_text,
+    computed_once,
     head,
     is_object,
     is_string,
@@ -51,20 +52,25 @@ from emberwatch.functions.text import (
     truthy,
 )
 from emberwatch.functions.verdicts import severity_from_level
-from emberwatch.schema import EVENT_FIELDS, LINEAGE, event_columns, extra
+from emberwatch.schema import CARRIED, EVENT_FIELDS, event_columns, extra
 
 
 def _paths(parent: Path, names: str) -> list[Path]:
     return [(*parent, name) for name in names.split()]
 
 
-def _lineage(df: DataFrame) -> list[str]:
-    return [name for name in LINEAGE if name in df.columns]
+def _carried(df: DataFrame) -> list[str]:
+    return [name for name in CARRIED if name in df.columns]
+
+
+def _raw(df: DataFrame) -> Column:
+    """The document, or the line where it is not one."""
+    return F.coalesce("doc", "line") if "line" in df.columns else F.col("doc")
 
 
 def _finish(df: DataFrame, error: Column, **values: Column) -> DataFrame:
-    return df.select(
-        *_lineage(df), *event_columns(**values), error.alias("normalize_error")
+    return computed_once(
+        df, *_carried(df), *event_columns(**values), error.alias("normalize_error")
     )
 
 
@@ -262,12 +268,12 @@ def _hids_shape_error() -> Column:
 
 
 def _hids_fields(alerts: DataFrame) -> DataFrame:
-    picked = project(alerts, _HIDS_PATHS, [*_lineage(alerts), "doc"]).withColumns(
+    picked = project(alerts, _HIDS_PATHS, [*_carried(alerts), _raw(alerts).alias("doc")]).withColumns(
         _hids_picks()
     )
     port, groups = F.col("picked_port"), leaf("rule", "groups")
     return picked.select(
-        *_lineage(alerts),
+        *_carried(alerts),
         F.col("doc"),
         string_only(F.col("picked_time")).alias("time_text"),
         F.coalesce(to_integer(leaf("rule", "level")), F.lit(0)).alias("level"),
@@ -429,7 +435,7 @@ def normalize_firewall(records: DataFrame) -> DataFrame:
             duration=safe_int(f["duration"], "bigint"),
             log_id=text("logid"),
         ),
-        raw_event=F.col("doc"),
+        raw_event=_raw(records),
         full_log=f["full_log"],
         user_agent=f["user_agent"],
     )
@@ -561,7 +567,7 @@ def _windows_picks(records: DataFrame) -> DataFrame:
         F.filter(places, lambda v: is_object(v) & is_truthy(v)), F.lit(0)
     )
     leaves = project(
-        records, _WINDOWS_PATHS, [*_lineage(records), "doc", "parser_mode"]
+        records, _WINDOWS_PATHS, [*_carried(records), _raw(records).alias("doc"), "parser_mode"]
     ).withColumn("event_data_in_use", F.when(~alert, shipped))
     leaves = leaves.withColumns(
         {
@@ -680,8 +686,10 @@ def normalize_windows(records: DataFrame) -> DataFrame:
 
 
 def split_normalized(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(events, errors)``."""
-    kept = _lineage(normalized)
+    """``(events, errors)``; rejected records are in neither."""
+    if "reject_reason" in normalized.columns:
+        normalized = normalized.where(F.col("reject_reason").isNull())
+    kept = _carried(normalized)
     failed = F.col("normalize_error").isNotNull()
     events = normalized.where(~failed).select(*kept, *EVENT_FIELDS)
     errors = normalized.where(failed).select(

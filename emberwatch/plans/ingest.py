@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberwatch.operators.normalize import split_normalized
@@ -25,36 +25,28 @@ class Scan:
     records: DataFrame
     paths: tuple[str, ...]
 
-    @property
-    def valid(self) -> DataFrame:
-        return self.records.where(F.col("reject_reason").isNull())
-
-    @property
-    def rejects(self) -> DataFrame:
-        """Corrupt records, with the reason; blank lines are no records."""
-        reason = F.col("reject_reason")
-        text = F.col("line") if "line" in self.records.columns else F.col("doc")
-        return self.records.where(reason.isNotNull() & (reason != "blank")).select(
-            *LINEAGE, F.lit(self.kind).alias("source"), text.alias("line"), "reject_reason"
-        )
+    def normalized(self) -> DataFrame:
+        """Every record with its event columns, ``reject_reason`` and
+        ``normalize_error``."""
+        return get_source(self.kind).normalize(self.records)
 
 
-def ingest_stats(scan: Scan) -> DataFrame:
-    """Parsed, skipped and total records per file."""
-    reason = F.col("reject_reason")
-    return (
-        scan.records.groupBy("file_name")
-        .agg(
-            F.count(F.lit(1)).alias("total_lines"),
-            F.count_if(reason.isNull()).alias("parsed"),
-            F.count_if(reason.isNotNull() & (reason != "blank")).alias("skipped"),
-        )
-        .select(F.lit(scan.kind).alias("source"), "file_name", "total_lines", "parsed", "skipped")
+def is_corrupt() -> Column:
+    """Rejected records; blank lines are no records."""
+    return F.col("reject_reason").isNotNull() & (F.col("reject_reason") != "blank")
+
+
+def ingest_stats(records: DataFrame) -> DataFrame:
+    """Parsed, skipped and total records per source and file."""
+    return records.groupBy("source", "file_name").agg(
+        F.count(F.lit(1)).alias("total_lines"),
+        F.count_if(F.col("reject_reason").isNull()).alias("parsed"),
+        F.count_if(is_corrupt()).alias("skipped"),
     )
 
 
-def rejects_by_reason(scan: Scan) -> DataFrame:
-    return scan.rejects.groupBy("source", "reject_reason").agg(
+def rejects_by_reason(records: DataFrame) -> DataFrame:
+    return records.where(is_corrupt()).groupBy("source", "reject_reason").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -147,6 +139,10 @@ class Ingest:
     stats: DataFrame
 
 
+# One block row takes about 100 bytes, so this stays near 100 MB.
+BROADCAST_BLOCKS = 1_000_000
+
+
 def number_events(events: DataFrame) -> DataFrame:
     """Add ``event_id``: unique, ascending in input order (file, block, line).
 
@@ -156,37 +152,35 @@ def number_events(events: DataFrame) -> DataFrame:
     """
     row_bits = 33
     block = ["file_name", "file_path", "block_start"]
-    blocks = (
+    blocks = stage(
         events.groupBy(*block)
         .count()
-        .withColumn("block_no", F.row_number().over(Window.orderBy(*block)))
-        .drop("count")
+        .withColumn("block_no", F.row_number().over(Window.orderBy(*block)).cast("bigint"))
+        .drop("count"),
+        "blocks",
     )
+    few = blocks.count() <= BROADCAST_BLOCKS
     row_in_task = F.col("row_id").bitwiseAND((1 << row_bits) - 1)
-    return events.join(blocks, block).select(
-        (F.shiftleft(F.col("block_no").cast("bigint"), row_bits) + row_in_task).alias(
-            "event_id"
-        ),
+    numbered = events.join(F.broadcast(blocks) if few else blocks, block).select(
+        (F.shiftleft("block_no", row_bits) + row_in_task).alias("event_id"),
         *LINEAGE,
         *EVENT_FIELDS,
     )
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    return numbered if few else stage(numbered, "events")
 
 
 def ingest(scans: Sequence[Scan]) -> Ingest:
-    """Normalize all scans into one staged event table."""
+    """Normalize all scans into one staged table, reading every file once.
+
+    Rejects, errors and counts come from that table too.
+    """
     if not scans:
         raise ValueError("no log file was found")
-    normalized = stage(
-        _union([get_source(scan.kind).normalize(scan.valid) for scan in scans]), "normalized"
+    records = stage(
+        reduce(DataFrame.unionByName, [scan.normalized() for scan in scans]), "normalized"
     )
-    events, errors = split_normalized(normalized)
-    return Ingest(
-        number_events(events),
-        errors,
-        _union([scan.rejects for scan in scans]),
-        _union([ingest_stats(scan) for scan in scans]),
+    events, errors = split_normalized(records)
+    rejects = records.where(is_corrupt()).select(
+        *LINEAGE, "source", F.col("raw_event").alias("line"), "reject_reason"
     )
+    return Ingest(number_events(events), errors, rejects, ingest_stats(records))

@@ -29,6 +29,7 @@ EVENT_FIELDS = {
 
 # What every raw record and every normalized row keeps about where it came from.
 LINEAGE = ["file_name", "file_path", "block_start", "row_id"]
+CARRIED = [*LINEAGE, "reject_reason"]
 
 
 def extra(**values: Column) -> Column:

@@ -26,8 +26,9 @@ from emberwatch.fixed_values import (
     WINDOWS_ID_COLUMNS,
     WINDOWS_PREFIXES,
 )
+from emberwatch.functions.documents import computed_once
 from emberwatch.functions.text import let
-from emberwatch.sources.json_lines import HIDS_MEMBERS, WINDOWS_MEMBERS, with_members
+from emberwatch.sources.json_lines import HIDS_MEMBERS, WINDOWS_MEMBERS, members
 from emberwatch.sources.firewall import fields_from_documents
 from emberwatch.sources.lines import stripped, with_lineage
 
@@ -207,13 +208,15 @@ def parse_csv_rows(rows: DataFrame, columns: Sequence[str], kind: str, mappings=
     resolved = resolve_columns(columns, kind, mappings)
     cells = [f"c{place}" for place in range(len(columns))]
     others = [name for name in rows.columns if name not in {*cells, SURPLUS}]
-    trimmed = rows.select(
-        *others, SURPLUS, *[cell_value(F.col(name)).alias(name) for name in cells]
+    trimmed = computed_once(
+        rows, *others, SURPLUS, *[cell_value(F.col(name)).alias(name) for name in cells]
+    )
+    as_json = computed_once(
+        trimmed, *others, SURPLUS, *[cell_json(F.col(name)).alias(name) for name in cells]
     )
-    as_json = trimmed.withColumns({name: cell_json(F.col(name)) for name in cells})
     targets = [(field, F.col(f"c{place}")) for place, field in resolved]
-    documents = as_json.select(
-        *others, nest_columns(targets).alias("doc"), SURPLUS
+    documents = computed_once(
+        as_json, *others, nest_columns(targets).alias("doc"), SURPLUS
     ).withColumn(
         "reject_reason",
         F.when(F.col(SURPLUS).isNotNull(), F.lit("more cells than columns")).when(
@@ -222,7 +225,8 @@ def parse_csv_rows(rows: DataFrame, columns: Sequence[str], kind: str, mappings=
     ).drop(SURPLUS)
     if kind == "fortigate":
         return fields_from_documents(documents)
-    return with_members(documents, HIDS_MEMBERS if kind == "wazuh" else WINDOWS_MEMBERS)
+    names = HIDS_MEMBERS if kind == "wazuh" else WINDOWS_MEMBERS
+    return computed_once(documents, *documents.columns, members(documents, names).alias("d"))
 
 
 def _reader(spark: SparkSession):

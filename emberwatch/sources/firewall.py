@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.fixed_values import FIREWALL_NUMERIC_FIELDS, KEY_VALUE_PATTERN
-from emberwatch.functions.documents import as_text
+from emberwatch.functions.documents import as_text, computed_once
 from emberwatch.functions.text import safe_int
-from emberwatch.sources.json_lines import with_members
+from emberwatch.sources.json_lines import members
 from emberwatch.sources.lines import read_lines, stripped
 
 FIELDS = [
@@ -35,30 +35,38 @@ def _last_occurrence(name: str) -> Column:
 def parse_firewall_lines(lines: DataFrame) -> DataFrame:
     """``line`` to ``doc`` (the line), ``f`` (struct of texts), ``numbers`` (the
     numeric fields), ``local_time`` and ``reject_reason``."""
-    doc = stripped(F.col("line"))
+    others = [name for name in lines.columns if name != "line"]
+    doc = F.col("doc")
+    trimmed = computed_once(lines, *others, stripped(F.col("line")).alias("doc"))
     marked = doc.contains("devname=") | doc.contains("type=")
     regex = F.lit("(?Ud)" + KEY_VALUE_PATTERN)
 
     def matches(group: int) -> Column:
-        return F.when(
-            marked, F.reverse(F.regexp_extract_all(doc, regex, F.lit(group)))
-        )
-
-    parsed = (
-        lines.withColumn("doc", doc)
-        .withColumn("keys", matches(1))
-        .withColumn("values", F.transform(matches(2), _unquoted))
+        found = F.regexp_extract_all(doc, regex, F.lit(group))
+        return F.when(marked, F.reverse(found))
+
+    pairs = computed_once(
+        trimmed,
+        *others,
+        "doc",
+        matches(1).alias("keys"),
+        F.transform(matches(2), _unquoted).alias("values"),
     )
     reason = (
-        F.when(F.col("doc") == "", F.lit("blank"))
+        F.when(doc == "", F.lit("blank"))
         .when(F.col("keys").isNull(), F.lit("no device or type marker"))
         .when(~F.array_contains("keys", "type"), F.lit("no type"))
     )
     fields = F.struct(*[_last_occurrence(name).alias(name) for name in FIELDS])
     return with_numbers(
-        parsed.withColumn("reject_reason", reason)
-        .withColumn("f", F.when(F.col("reject_reason").isNull(), fields))
-        .drop("keys", "values")
+        computed_once(
+            pairs,
+            *others,
+            doc.alias("line"),
+            "doc",
+            fields.alias("f"),
+            reason.alias("reject_reason"),
+        )
     )
 
 
@@ -74,9 +82,9 @@ def with_numbers(df: DataFrame) -> DataFrame:
 
 def fields_from_documents(df: DataFrame) -> DataFrame:
     """The same shape from a JSON ``doc`` (CSV exports)."""
-    parsed = with_members(df, FIELDS)
+    parsed = computed_once(df, *df.columns, members(df, FIELDS).alias("d"))
     fields = [as_text(F.col(f"d.{name}")).alias(name) for name in FIELDS]
-    return with_numbers(parsed.withColumn("f", F.struct(*fields)).drop("d"))
+    return with_numbers(computed_once(parsed, *df.columns, F.struct(*fields).alias("f")))
 
 
 def read_firewall_syslog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberwatch.functions.documents import computed_once
 from emberwatch.sources.lines import read_lines, stripped
 
 HIDS_MEMBERS = [
@@ -30,28 +31,30 @@ def _schema(members: Sequence[str]) -> str:
     return ", ".join(f"`{name}` VARIANT" for name in members)
 
 
-def with_members(df: DataFrame, members: Sequence[str]) -> DataFrame:
-    """Parse ``doc`` into ``d``, a struct of VARIANT members.
+def members(df: DataFrame, names: Sequence[str]) -> Column:
+    """``doc`` parsed into a struct of VARIANT members.
 
     Repeated keys keep the last value, which Spark asks to be allowed.
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return df.withColumn(
-        "d", F.from_json("doc", _schema(members), {"allowSingleQuotes": "false"})
-    )
+    return F.from_json("doc", _schema(names), {"allowSingleQuotes": "false"})
 
 
-def _documents(lines: DataFrame, members: Sequence[str]) -> DataFrame:
+def _documents(lines: DataFrame, names: Sequence[str]) -> DataFrame:
     """Unwrap search-export envelopes and parse."""
-    line = stripped(F.col("line"))
-    wrapped = F.when(
-        line.contains('"_source"'), F.get_json_object(line, "$._source")
+    others = [name for name in lines.columns if name != "line"]
+    line = F.col("line")
+    wrapped = F.when(line.contains('"_source"'), F.get_json_object(line, "$._source"))
+    trimmed = computed_once(lines, *others, stripped(line).alias("line"))
+    documents = trimmed.withColumn("wrapped", wrapped).withColumn(
+        "doc",
+        F.when(
+            line.startswith("{") & line.endswith("}"),
+            F.when(F.col("wrapped").startswith("{"), F.col("wrapped")).otherwise(line),
+        ),
     )
-    doc = F.when(wrapped.startswith("{"), wrapped).otherwise(line)
-    shaped = line.startswith("{") & line.endswith("}")
-    return with_members(
-        lines.withColumn("doc", F.when(shaped, doc)).withColumn("blank", line == ""),
-        members,
+    return computed_once(
+        documents, *others, "line", "doc", members(documents, names).alias("d")
     )
 
 
@@ -59,21 +62,21 @@ def _has(name: str) -> Column:
     return F.col(f"d.`{name}`").isNotNull()
 
 
-def _reject(reason: Column) -> Column:
-    """First applicable reason; blank lines are no records and are marked apart."""
-    return F.when(F.col("blank"), F.lit("blank")).otherwise(reason)
+def _reject_reason(valid: Column, lacking: str) -> Column:
+    """NULL for valid records; blank lines are no records and are marked apart."""
+    return (
+        F.when(valid, F.lit(None).cast("string"))
+        .when(F.col("line") == "", "blank")
+        .when(F.json_object_keys("doc").isNull(), "not a JSON object")
+        .otherwise(lacking)
+    )
 
 
 def parse_hids_alerts(lines: DataFrame) -> DataFrame:
     """``line`` to ``doc``, ``d`` and ``reject_reason`` (NULL for valid alerts)."""
     parsed = _documents(lines, HIDS_MEMBERS)
-    reason = F.when(F.json_object_keys("doc").isNull(), F.lit("not a JSON object")).when(
-        ~(_has("timestamp") & _has("rule")), F.lit("no timestamp or rule")
-    )
     valid = _has("timestamp") & _has("rule")
-    return parsed.withColumn(
-        "reject_reason", F.when(~valid | F.col("blank"), _reject(reason))
-    ).drop("blank")
+    return parsed.withColumn("reject_reason", _reject_reason(valid, "no timestamp or rule"))
 
 
 def parse_windows_events(lines: DataFrame) -> DataFrame:
@@ -81,20 +84,10 @@ def parse_windows_events(lines: DataFrame) -> DataFrame:
     ``generic``."""
     parsed = _documents(lines, WINDOWS_MEMBERS)
     alert_form = _has("agent") & _has("rule")
-    valid = F.when(alert_form, _has("timestamp")).otherwise(
-        _has("@timestamp") | _has("timestamp")
-    )
-    reason = F.when(F.json_object_keys("doc").isNull(), F.lit("not a JSON object")).when(
-        ~valid, F.lit("no timestamp")
-    )
-    return (
-        parsed.withColumn(
-            "parser_mode",
-            F.when(alert_form, F.lit("wazuh")).otherwise(F.lit("generic")),
-        )
-        .withColumn("reject_reason", F.when(~valid | F.col("blank"), _reject(reason)))
-        .drop("blank")
-    )
+    valid = _has("timestamp") | (_has("@timestamp") & ~alert_form)
+    return parsed.withColumn(
+        "parser_mode", F.when(alert_form, F.lit("wazuh")).otherwise(F.lit("generic"))
+    ).withColumn("reject_reason", _reject_reason(valid, "no timestamp"))
 
 
 def read_hids_alerts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

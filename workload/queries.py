@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from emberwatch.functions import clock, free_text, network, text, verdicts
 from emberwatch.operators import normalize as n
 from emberwatch.operators.correlate import Correlation, candidate_incidents, correlate
-from emberwatch.operators.detect import Detection, detect, incident_facts
+from emberwatch.operators.detect import Detection, detect
 from emberwatch.operators.rules import fan_out
 from emberwatch.operators.suppress import suppress_overlaps
 from emberwatch.plans import profile, report, sinks
-from emberwatch.plans.ingest import Scan, ingest_stats, rejects_by_reason
+from emberwatch.plans.ingest import ingest_stats, rejects_by_reason
 from emberwatch.plans.pipeline import analyze_events
 from emberwatch.sources import csv_export, firewall, json_lines
 from emberwatch.sources.directory import route_by_name
@@ -98,13 +98,13 @@ def scan_windows_generic(spark, sf_dir):
 @query
 def rejects_by_reason_hids(spark, sf_dir):
     parsed = json_lines.parse_hids_alerts(lines.defective_hids_lines(spark, sf_dir))
-    return rejects_by_reason(Scan("wazuh", parsed, ()))
+    return rejects_by_reason(parsed.withColumn("source", F.lit("wazuh")))
 
 
 @query
 def ingest_accounting(spark, sf_dir):
     parsed = json_lines.parse_hids_alerts(lines.defective_hids_lines(spark, sf_dir))
-    return ingest_stats(Scan("wazuh", parsed, ()))
+    return ingest_stats(parsed.withColumn("source", F.lit("wazuh")))
 
 
 @query
