@@ -1,16 +1,15 @@
 """Typed access to loosely typed JSON.
 
-Records arrive with any JSON type anywhere.  Keeping members as VARIANT keeps the
-type, so emptiness follows the value: 0, false, "", [], {} and null are empty,
-the text "0" is not.
+Records arrive with any JSON type anywhere.  The members a normalizer reads are
+parsed as VARIANT, which keeps the type, so emptiness follows the value: 0, false,
+"", [], {} and null are empty, the text "0" is not.
 
-Normalizers first project the members they read, one column each (``project``),
-and then combine those columns.
+A member is named by its path.  Objects above it are structs, so absent members
+cost nothing, except where members differ only by case: those objects are maps.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +20,13 @@ from emberwatch.functions.text import safe_int
 Path = tuple[str, ...]
 _EMPTY_JSON = ['""', "0", "-0", "0.0", "-0.0", "false", "null", "[]", "{}"]
 
+# Objects with members that differ only by case.
+CASED_OBJECTS: set[Path] = {
+    ("data", "win", "system"), ("winlog", "event_data"), ("event_data",), ("EventData",),
+}
+# The event data object a Windows record uses, as a map in a column of its own.
+SHIPPED: Path = ("shipped",)
+
 
 def computed_once(df: DataFrame, *columns: Column | str) -> DataFrame:
     """``select`` whose results are computed once per row.
@@ -29,36 +35,52 @@ def computed_once(df: DataFrame, *columns: Column | str) -> DataFrame:
     its whole expression copied, so that a record would be parsed again for every
     filter.  Unnesting one struct per row keeps filters above.
     """
-    named = [F.col(c) if isinstance(c, str) else c for c in columns]
-    return df.select(F.inline(F.array(F.struct(*named))))
+    packed = df.select(F.struct(*columns).alias("row"))
+    return packed.select(F.inline(F.array("row")))
 
 
-def member(value: Column, *path: str) -> Column:
-    """Member of an object as VARIANT; NULL where absent or not an object."""
-    steps = "".join(f"['{name}']" for name in path)
-    return F.variant_get(value, f"${steps}", "variant")
+def member_schema(paths: Iterable[Path]) -> str:
+    """Schema for ``from_json`` that parses exactly the members at the paths."""
+    tree: dict = {}
+    for path in paths:
+        node = tree
+        for depth, part in enumerate(path):
+            if path[:depth] in CASED_OBJECTS:
+                break
+            node = node.setdefault(part, {})
 
+    def render(node: dict, at: Path) -> str:
+        if at in CASED_OBJECTS:
+            return "MAP<STRING, VARIANT>"
+        if not node:
+            return "VARIANT"
+        fields = (f"`{name}`: {render(child, (*at, name))}" for name, child in node.items())
+        return f"STRUCT<{', '.join(fields)}>"
 
-def leaf_name(path: Path) -> str:
-    """Column of a projected member.  Members differ by case and columns do not, so
-    capitals are marked."""
-    return re.sub("([A-Z])", r"^\1", "/".join(path))
+    return ", ".join(f"`{name}` {render(child, (name,))}" for name, child in tree.items())
 
 
-def project(df: DataFrame, paths: Iterable[Path], keep: list[str | Column]) -> DataFrame:
-    """One VARIANT column per path below ``d``."""
-    columns = []
-    for path in dict.fromkeys(paths):
-        value = F.col(f"d.`{path[0]}`")
-        if len(path) > 1:
-            value = member(value, *path[1:])
-        columns.append(value.alias(leaf_name(path)))
-    return df.select(*keep, *columns)
+def struct_at(*path: str) -> Column:
+    return F.col("d." + ".".join(f"`{part}`" for part in path))
 
 
 def leaf(*path: str) -> Column:
-    """A projected member."""
-    return F.col(f"`{leaf_name(path)}`")
+    """A parsed member below ``d``."""
+    parent = path[:-1]
+    if parent == SHIPPED:
+        return F.try_element_at("shipped", F.lit(path[-1]))
+    if parent in CASED_OBJECTS:
+        return F.try_element_at(struct_at(*parent), F.lit(path[-1]))
+    return struct_at(*path)
+
+
+def has_key(*path: str) -> Column:
+    """True where the top-level key is present, whatever its value."""
+    (name,) = path
+    return struct_at(name).isNotNull() | (
+        F.col("doc").contains(f'"{name}"')
+        & F.coalesce(F.array_contains(F.json_object_keys("doc"), name), F.lit(False))
+    )
 
 
 def as_text(value: Column) -> Column:
@@ -74,10 +96,6 @@ def is_truthy(value: Column) -> Column:
     return F.coalesce(~F.to_json(value).isin(_EMPTY_JSON), F.lit(False))
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(F.to_json(value).startswith("{"), F.lit(False))
-
-
 def is_string(value: Column) -> Column:
     return F.coalesce(F.to_json(value).startswith('"'), F.lit(False))
 
@@ -94,20 +112,20 @@ def _loses_placeholders(path: Path) -> bool:
     return len(path) == 2 and path[0] == "data"
 
 
+def _usable(path: Path) -> Column:
+    value = leaf(*path)
+    usable = is_truthy(value)
+    if _loses_placeholders(path):
+        usable = usable & (F.trim(as_text(value)) != "-")
+    return F.when(usable, value)
+
+
 def pick(*paths: Path) -> Column:
-    """First truthy projected member, or the last one (``a or b or c``)."""
-    candidates = F.array(
-        *[
-            F.struct(leaf(*path).alias("v"), F.lit(_loses_placeholders(path)).alias("strict"))
-            for path in paths
-        ]
-    )
-    usable = F.filter(
-        candidates,
-        lambda c: is_truthy(c["v"]) & ~(c["strict"] & (F.trim(as_text(c["v"])) == "-")),
-    )
-    first = F.get(usable, F.lit(0))["v"]
-    return first if _loses_placeholders(paths[-1]) else F.coalesce(first, leaf(*paths[-1]))
+    """First truthy member, or the last one (``a or b or c``)."""
+    chosen = [_usable(path) for path in paths]
+    if not _loses_placeholders(paths[-1]):
+        chosen.append(leaf(*paths[-1]))
+    return F.coalesce(*chosen)
 
 
 def head(value: Column) -> Column:

@@ -25,20 +25,18 @@ from emberwatch.fixed_values import (
 )
 from emberwatch.functions import clock
 from emberwatch.functions.documents import (
-    Path,
+    SHIPPED,
     as_text,
     computed_once,
+    has_key,
     head,
-    is_object,
     is_string,
     is_truthy,
     is_unsized,
     leaf,
-    leaf_name,
-    member,
     pick,
-    project,
     string_only,
+    struct_at,
     text_or_empty,
     to_integer,
 )
@@ -52,13 +50,16 @@ from emberwatch.functions.text import (
     truthy,
 )
 from emberwatch.functions.verdicts import severity_from_level
+from emberwatch.sources.json_lines import (
+    EVENT_DATA_PLACES,
+    LOG_TEXTS,
+    WIN_DATA,
+    WIN_SYSTEM,
+    paths,
+)
 from emberwatch.schema import CARRIED, EVENT_FIELDS, event_columns, extra
 
 
-def _paths(parent: Path, names: str) -> list[Path]:
-    return [(*parent, name) for name in names.split()]
-
-
 def _carried(df: DataFrame) -> list[str]:
     return [name for name in CARRIED if name in df.columns]
 
@@ -195,84 +196,64 @@ def clean_hids(rows: DataFrame) -> DataFrame:
     )
 
 
-_WIN_SYSTEM, _WIN_DATA = ("data", "win", "system"), ("data", "win", "eventdata")
-_LOG_TEXTS = [("log.original",), ("host",), ("full_log",), ("message",)]
-_HIDS_PATHS: list[Path] = [
-    ("timestamp",), ("@timestamp",), ("rule",), ("manager",), ("location",),
-    ("user_agent",), *_LOG_TEXTS,
-    *_paths(("rule",), "id level description groups mitre"),
-    *_paths(("agent",), "id name ip"),
-    *_paths(("manager",), "name"),
-    *_paths(("predecoder",), "srcip source.ip dstip destination.ip hostname program_name"),
-    *_paths(("source",), "ip port"),
-    *_paths(("destination",), "ip port"),
-    *_paths(("data",), "srcip ip dstip dstport srcport srcuser dstuser command cmdline"),
-    *_paths(("data",), "proto action id suricata.eve.dest_port suricata.eve.user"),
-    *_paths(("data",), "suricata.eve.proto"),
-    *_paths(_WIN_SYSTEM, "computer eventID eventId"),
-    *_paths(_WIN_DATA, "ipAddress sourceNetworkAddress destinationPort targetUserName"),
-    *_paths(_WIN_DATA, "subjectUserName commandLine newProcessName processName"),
-    *_paths(_WIN_DATA, "protocol logonType"),
-]
-
-
 def _hids_picks() -> dict[str, Column]:
     """Values found in one of several places, still typed."""
     return {
         "picked_time": pick(("timestamp",), ("@timestamp",)),
         "picked_src": pick(
             ("data", "srcip"), ("data", "ip"),
-            *_paths(_WIN_DATA, "ipAddress sourceNetworkAddress"),
-            ("source", "ip"), *_paths(("predecoder",), "srcip source.ip"),
+            *paths(WIN_DATA, "ipAddress sourceNetworkAddress"),
+            ("source", "ip"), *paths(("predecoder",), "srcip source.ip"),
         ),
         "picked_dst": pick(
             ("data", "dstip"), ("destination", "ip"),
-            *_paths(("predecoder",), "dstip destination.ip"), ("agent", "ip"),
+            *paths(("predecoder",), "dstip destination.ip"), ("agent", "ip"),
         ),
         "picked_host": pick(
-            ("agent", "name"), (*_WIN_SYSTEM, "computer"), ("predecoder", "hostname")
+            ("agent", "name"), (*WIN_SYSTEM, "computer"), ("predecoder", "hostname")
         ),
         "picked_port": pick(
             ("data", "dstport"), ("destination", "port"), ("source", "port"),
-            (*_WIN_DATA, "destinationPort"), ("data", "srcport"),
+            (*WIN_DATA, "destinationPort"), ("data", "srcport"),
             ("data", "suricata.eve.dest_port"),
         ),
         "picked_user": pick(
-            *_paths(("data",), "srcuser dstuser"),
-            *_paths(_WIN_DATA, "targetUserName subjectUserName"),
+            *paths(("data",), "srcuser dstuser"),
+            *paths(WIN_DATA, "targetUserName subjectUserName"),
             ("data", "suricata.eve.user"),
         ),
         "picked_process": pick(
-            *_paths(("data",), "command cmdline"),
-            *_paths(_WIN_DATA, "commandLine newProcessName processName"),
+            *paths(("data",), "command cmdline"),
+            *paths(WIN_DATA, "commandLine newProcessName processName"),
         ),
         "picked_protocol": pick(
-            ("data", "proto"), (*_WIN_DATA, "protocol"), ("data", "suricata.eve.proto")
+            ("data", "proto"), (*WIN_DATA, "protocol"), ("data", "suricata.eve.proto")
         ),
-        "picked_event_id": pick(*_paths(_WIN_SYSTEM, "eventID eventId"), ("data", "id")),
+        "picked_event_id": pick(*paths(WIN_SYSTEM, "eventID eventId"), ("data", "id")),
         "verb": as_text(pick(("data", "action"))),
     }
 
 
 def _hids_shape_error() -> Column:
     """Why a record of unexpected shape cannot become an event."""
-    description, manager = leaf("rule", "description"), leaf("manager")
+    description = leaf("rule", "description")
+    bare_manager = struct_at("manager").isNull() & has_key("manager")
     checks = [
-        (~is_object(leaf("rule")), "rule is not an object"),
+        (struct_at("rule").isNull(), "rule is not an object"),
         (description.isNotNull() & ~is_string(description), "rule.description is not text"),
-        *[(is_unsized(leaf(*path)), f"{path[0]} is not text") for path in _LOG_TEXTS],
+        *[(is_unsized(leaf(*path)), f"{path[0]} is not text") for path in LOG_TEXTS],
         (is_unsized(F.col("picked_user")), "user is not text"),
-        (manager.isNotNull() & ~is_object(manager), "manager is not an object"),
+        (bare_manager, "manager is not an object"),
     ]
     return F.coalesce(*[F.when(failed, F.lit(text)) for failed, text in checks])
 
 
 def _hids_fields(alerts: DataFrame) -> DataFrame:
-    picked = project(alerts, _HIDS_PATHS, [*_carried(alerts), _raw(alerts).alias("doc")]).withColumns(
-        _hids_picks()
-    )
+    typed = [value.alias(name) for name, value in _hids_picks().items()]
+    picked = computed_once(alerts, *_carried(alerts), _raw(alerts).alias("doc"), "d", *typed)
     port, groups = F.col("picked_port"), leaf("rule", "groups")
-    return picked.select(
+    return computed_once(
+        picked,
         *_carried(alerts),
         F.col("doc"),
         string_only(F.col("picked_time")).alias("time_text"),
@@ -291,14 +272,14 @@ def _hids_fields(alerts: DataFrame) -> DataFrame:
         as_text(F.col("picked_process")).alias("process"),
         as_text(F.col("picked_protocol")).alias("protocol"),
         F.col("verb"),
-        longest_log_text(*[string_only(leaf(*path)) for path in _LOG_TEXTS]).alias("log_text"),
+        longest_log_text(*[string_only(leaf(*path)) for path in LOG_TEXTS]).alias("log_text"),
         _hids_shape_error().alias("shape_error"),
         F.struct(
             text_or_empty(leaf("rule", "id")).alias("rule_id"),
             as_text(leaf("rule", "mitre")).alias("mitre"),
             text_or_empty(leaf("location")).alias("location"),
             text_or_empty(F.col("picked_event_id")).alias("event_id"),
-            text_or_empty(leaf(*_WIN_DATA, "logonType")).alias("logon_type"),
+            text_or_empty(leaf(*WIN_DATA, "logonType")).alias("logon_type"),
             text_or_empty(leaf("full_log")).alias("full_log"),
             text_or_empty(leaf("agent", "id")).alias("agent_id"),
             text_or_empty(leaf("manager", "name")).alias("manager"),
@@ -444,37 +425,6 @@ def normalize_firewall(records: DataFrame) -> DataFrame:
 # --- Windows events ------------------------------------------------------------------------
 
 
-_SHIPPED = ("shipped",)  # the event data object that is in use
-_EVENT_DATA_PLACES = [("winlog", "event_data"), ("event_data",), ("EventData",)]
-_WINDOWS_PATHS: list[Path] = [
-    ("timestamp",), ("@timestamp",), ("rule",), ("location",), ("full_log",),
-    ("user_agent",), ("event_id",), ("EventID",), ("event.code",), ("computer_name",),
-    ("user_name",), *_EVENT_DATA_PLACES,
-    *_paths(("rule",), "id level description"),
-    *_paths(("agent",), "id name ip"),
-    *_paths(("data",), "dstuser srcuser TargetUserName target_user srcip SourceIp"),
-    *_paths(("data",), "IpAddress source_ip command CommandLine cmd process dstport"),
-    *_paths(("data",), "DestPort dest_port logon_type LogonType event_id EventID id"),
-    *_paths(("data",), "win.system.eventID win.system.eventId"),
-    *_paths(_WIN_SYSTEM, "computer eventID eventId"),
-    *_paths(_WIN_DATA, "ipAddress sourceNetworkAddress destinationPort targetUserName"),
-    *_paths(_WIN_DATA, "subjectUserName commandLine newProcessName processName protocol"),
-    *_paths(_WIN_DATA, "logonType workstationName status subStatus"),
-    *_paths(("winlog",), "event_id computer_name channel log_name provider_name"),
-    *_paths(("winlog",), "keywords task"),
-    *_paths(("event",), "code"),
-    *_paths(("host",), "name ip"),
-    *_paths(("user",), "name"),
-    *_paths(("source",), "ip"),
-]
-_SHIPPED_PATHS = _paths(
-    _SHIPPED,
-    "TargetUserName targetUserName IpAddress ipAddress SourceNetworkAddress CommandLine"
-    " commandLine NewProcessName ProcessName DestinationPort DestPort Protocol protocol"
-    " WorkstationName workstationName LogonType logonType Status SubStatus",
-)
-
-
 def _present_text(value: Column) -> Column:
     """Text of a value that is neither null nor ''."""
     return truthy(as_text(value))
@@ -485,11 +435,10 @@ def alert_event_id() -> Column:
     carried = [
         _present_text(F.col("picked_system_id")),
         *[
-            _present_text(leaf("data", name))
-            for name in (
-                "win.system.eventID", "win.system.eventId", "event_id", "EventID", "id",
-            )
+            truthy(F.get_json_object("doc", f"$.data['win.system.{name}']"))
+            for name in ("eventID", "eventId")
         ],
+        *[_present_text(leaf("data", name)) for name in ("event_id", "EventID", "id")],
     ]
     rule_id = text_or_empty(leaf("rule", "id"))
     without_id = [key for key, value in RULE_EVENT_IDS.items() if value is None]
@@ -503,37 +452,37 @@ def alert_event_id() -> Column:
         as_text(leaf("EventID")),
         as_text(leaf("event.code")),
     )
-    return F.coalesce(*carried, F.when(is_object(leaf("rule")), by_rule).otherwise(shipped))
+    return F.coalesce(*carried, F.when(struct_at("rule").isNotNull(), by_rule).otherwise(shipped))
 
 
 def _alert_picks() -> dict[str, Column]:
     """Fields of a Windows event that came as an alert."""
     return {
         "time": pick(("timestamp",), ("@timestamp",)),
-        "src_host": leaf(*_WIN_DATA, "workstationName"),
+        "src_host": leaf(*WIN_DATA, "workstationName"),
         "src_ip": pick(
-            *_paths(("data",), "srcip SourceIp IpAddress source_ip"),
-            *_paths(_WIN_DATA, "ipAddress sourceNetworkAddress"),
+            *paths(("data",), "srcip SourceIp IpAddress source_ip"),
+            *paths(WIN_DATA, "ipAddress sourceNetworkAddress"),
         ),
         "dst_ip": leaf("agent", "ip"),
-        "dst_host": pick(("agent", "name"), (*_WIN_SYSTEM, "computer")),
+        "dst_host": pick(("agent", "name"), (*WIN_SYSTEM, "computer")),
         "dst_port": pick(
-            *_paths(("data",), "dstport DestPort dest_port"), (*_WIN_DATA, "destinationPort")
+            *paths(("data",), "dstport DestPort dest_port"), (*WIN_DATA, "destinationPort")
         ),
         "user": pick(
-            *_paths(("data",), "dstuser srcuser TargetUserName target_user"),
-            *_paths(_WIN_DATA, "targetUserName subjectUserName"),
+            *paths(("data",), "dstuser srcuser TargetUserName target_user"),
+            *paths(WIN_DATA, "targetUserName subjectUserName"),
         ),
         "process": pick(
-            *_paths(("data",), "command CommandLine cmd process"),
-            *_paths(_WIN_DATA, "commandLine newProcessName processName"),
+            *paths(("data",), "command CommandLine cmd process"),
+            *paths(WIN_DATA, "commandLine newProcessName processName"),
         ),
-        "protocol": leaf(*_WIN_DATA, "protocol"),
+        "protocol": leaf(*WIN_DATA, "protocol"),
         "logon_type": pick(
-            (*_WIN_DATA, "logonType"), *_paths(("data",), "logon_type LogonType")
+            (*WIN_DATA, "logonType"), *paths(("data",), "logon_type LogonType")
         ),
-        "status": leaf(*_WIN_DATA, "status"),
-        "sub_status": leaf(*_WIN_DATA, "subStatus"),
+        "status": leaf(*WIN_DATA, "status"),
+        "sub_status": leaf(*WIN_DATA, "subStatus"),
     }
 
 
@@ -541,55 +490,56 @@ def _shipper_picks() -> dict[str, Column]:
     """The same fields of a Windows event in shipper form."""
     return {
         "time": pick(("@timestamp",), ("timestamp",)),
-        "src_host": pick(*_paths(_SHIPPED, "WorkstationName workstationName")),
+        "src_host": pick(*paths(SHIPPED, "WorkstationName workstationName")),
         "src_ip": pick(
-            *_paths(_SHIPPED, "IpAddress ipAddress SourceNetworkAddress"), ("source", "ip")
+            *paths(SHIPPED, "IpAddress ipAddress SourceNetworkAddress"), ("source", "ip")
         ),
         "dst_ip": pick(("host", "ip"), ("agent", "ip")),
         "dst_host": pick(("winlog", "computer_name"), ("host", "name"), ("computer_name",)),
-        "dst_port": pick(*_paths(_SHIPPED, "DestinationPort DestPort")),
+        "dst_port": pick(*paths(SHIPPED, "DestinationPort DestPort")),
         "user": pick(
-            *_paths(_SHIPPED, "TargetUserName targetUserName"), ("user", "name"), ("user_name",)
+            *paths(SHIPPED, "TargetUserName targetUserName"), ("user", "name"), ("user_name",)
         ),
-        "process": pick(*_paths(_SHIPPED, "CommandLine commandLine NewProcessName ProcessName")),
-        "protocol": pick(*_paths(_SHIPPED, "Protocol protocol")),
-        "logon_type": pick(*_paths(_SHIPPED, "LogonType logonType")),
-        "status": leaf(*_SHIPPED, "Status"),
-        "sub_status": leaf(*_SHIPPED, "SubStatus"),
+        "process": pick(*paths(SHIPPED, "CommandLine commandLine NewProcessName ProcessName")),
+        "protocol": pick(*paths(SHIPPED, "Protocol protocol")),
+        "logon_type": pick(*paths(SHIPPED, "LogonType logonType")),
+        "status": leaf(*SHIPPED, "Status"),
+        "sub_status": leaf(*SHIPPED, "SubStatus"),
     }
 
 
 def _windows_picks(records: DataFrame) -> DataFrame:
     """Typed fields of both forms, in one pass over the records."""
     alert = F.col("parser_mode") == "wazuh"
-    places = F.array(*[leaf(*path) for path in _EVENT_DATA_PLACES])
-    shipped = F.get(
-        F.filter(places, lambda v: is_object(v) & is_truthy(v)), F.lit(0)
+    shipped = F.coalesce(
+        *[
+            F.when(F.size(struct_at(*path)) > 0, struct_at(*path))
+            for path in EVENT_DATA_PLACES
+        ]
     )
-    leaves = project(
-        records, _WINDOWS_PATHS, [*_carried(records), _raw(records).alias("doc"), "parser_mode"]
-    ).withColumn("event_data_in_use", F.when(~alert, shipped))
-    leaves = leaves.withColumns(
-        {
-            leaf_name(path): member(F.col("event_data_in_use"), path[-1])
-            for path in _SHIPPED_PATHS
-        }
+    leaves = computed_once(
+        records,
+        *_carried(records), _raw(records).alias("doc"), "d", "parser_mode",
+        F.when(~alert, shipped).alias("shipped"),
     )
     by_alert, by_shipper = _alert_picks(), _shipper_picks()
-    return leaves.withColumns(
+    picked = (
         {
             f"picked_{name}": F.when(alert, by_alert[name]).otherwise(by_shipper[name])
             for name in by_alert
         }
         | {
-            "picked_system_id": pick(*_paths(_WIN_SYSTEM, "eventID eventId")),
+            "picked_system_id": pick(*paths(WIN_SYSTEM, "eventID eventId")),
             "picked_event_id": pick(
                 ("winlog", "event_id"), ("event", "code"), ("event_id",), ("EventID",),
                 ("event.code",),
             ),
-            "picked_channel": pick(*_paths(("winlog",), "channel log_name")),
+            "picked_channel": pick(*paths(("winlog",), "channel log_name")),
         }
     )
+    return computed_once(
+        leaves, *leaves.columns, *[value.alias(name) for name, value in picked.items()]
+    )
 
 
 def normalize_windows(records: DataFrame) -> DataFrame:
@@ -597,7 +547,7 @@ def normalize_windows(records: DataFrame) -> DataFrame:
     if "parser_mode" not in records.columns:
         records = records.withColumn("parser_mode", F.lit("generic"))
     alert = F.col("parser_mode") == "wazuh"
-    description = F.when(is_object(leaf("rule")), leaf("rule", "description"))
+    description = leaf("rule", "description")
     by_text = first_keyword_value(F.col("description"), WINDOWS_DESCRIPTION_ACTIONS)
 
     def told(name: str) -> Column:

@@ -13,6 +13,20 @@ RECOMMENDED = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Settings the parsers need in any session; both can be set at run time.
+PARSER_SETTINGS = {
+    # Repeated JSON keys keep the last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    # The JVM never compiles methods over 8000 bytes; wide projections run faster
+    # when Spark splits them instead of fusing them into one such method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def prepare_for_parsing(spark: SparkSession) -> None:
+    for name, value in PARSER_SETTINGS.items():
+        spark.conf.set(name, value)
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     for name, value in RECOMMENDED.items():

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberwatch.fixed_values import FIREWALL_NUMERIC_FIELDS, KEY_VALUE_PATTERN
 from emberwatch.functions.documents import as_text, computed_once
 from emberwatch.functions.text import safe_int
+from emberwatch.session import prepare_for_parsing
 from emberwatch.sources.json_lines import members
 from emberwatch.sources.lines import read_lines, stripped
 
@@ -35,15 +36,22 @@ def _last_occurrence(name: str) -> Column:
 def parse_firewall_lines(lines: DataFrame) -> DataFrame:
     """``line`` to ``doc`` (the line), ``f`` (struct of texts), ``numbers`` (the
     numeric fields), ``local_time`` and ``reject_reason``."""
+    prepare_for_parsing(lines.sparkSession)
     others = [name for name in lines.columns if name != "line"]
     doc = F.col("doc")
     trimmed = computed_once(lines, *others, stripped(F.col("line")).alias("doc"))
     marked = doc.contains("devname=") | doc.contains("type=")
-    regex = F.lit("(?Ud)" + KEY_VALUE_PATTERN)
+    # Unicode-aware matching is slow and only matters beyond ASCII.
+    ascii_only = F.octet_length(doc) == F.length(doc)
 
     def matches(group: int) -> Column:
-        found = F.regexp_extract_all(doc, regex, F.lit(group))
-        return F.when(marked, F.reverse(found))
+        found = [
+            F.regexp_extract_all(doc, F.lit(flags + KEY_VALUE_PATTERN), F.lit(group))
+            for flags in ("", "(?U)")
+        ]
+        return F.when(
+            marked, F.reverse(F.when(ascii_only, found[0]).otherwise(found[1]))
+        )
 
     pairs = computed_once(
         trimmed,
@@ -82,7 +90,7 @@ def with_numbers(df: DataFrame) -> DataFrame:
 
 def fields_from_documents(df: DataFrame) -> DataFrame:
     """The same shape from a JSON ``doc`` (CSV exports)."""
-    parsed = computed_once(df, *df.columns, members(df, FIELDS).alias("d"))
+    parsed = computed_once(df, *df.columns, members(df, [(name,) for name in FIELDS]).alias("d"))
     fields = [as_text(F.col(f"d.{name}")).alias(name) for name in FIELDS]
     return with_numbers(computed_once(parsed, *df.columns, F.struct(*fields).alias("f")))
 

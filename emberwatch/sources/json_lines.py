@@ -1,8 +1,8 @@
 """JSON-lines sources: HIDS alerts and Windows events.
 
-A parsed record keeps its document as text (``doc``) and its top-level members as
-VARIANT (``d``), both from one parse.  A member that is present but null is a
-JSON null there, so key presence needs no second look at the text.
+A parsed record keeps its document as text (``doc``) and the members that
+normalization reads (``d``).  A member that is present but null is a JSON null
+there and not a missing value.
 """
 
 from __future__ import annotations
@@ -12,35 +12,71 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.functions.documents import computed_once
+from emberwatch.functions.documents import (
+    Path,
+    computed_once,
+    has_key,
+    leaf,
+    member_schema,
+)
+from emberwatch.session import prepare_for_parsing
 from emberwatch.sources.lines import read_lines, stripped
 
-HIDS_MEMBERS = [
-    "timestamp", "@timestamp", "rule", "agent", "data", "predecoder", "source",
-    "destination", "log.original", "host", "full_log", "message", "location",
-    "manager", "user_agent",
+def paths(parent: Path, names: str) -> list[Path]:
+    return [(*parent, name) for name in names.split()]
+
+
+WIN_SYSTEM: Path = ("data", "win", "system")
+WIN_DATA: Path = ("data", "win", "eventdata")
+LOG_TEXTS: list[Path] = [("log.original",), ("host",), ("full_log",), ("message",)]
+EVENT_DATA_PLACES: list[Path] = [("winlog", "event_data"), ("event_data",), ("EventData",)]
+
+HIDS_MEMBERS: list[Path] = [
+    *paths((), "timestamp @timestamp location user_agent"),
+    *LOG_TEXTS,
+    *paths(("rule",), "id level description groups mitre"),
+    *paths(("agent",), "id name ip"),
+    *paths(("manager",), "name"),
+    *paths(("predecoder",), "srcip source.ip dstip destination.ip hostname program_name"),
+    *paths(("source",), "ip port"),
+    *paths(("destination",), "ip port"),
+    *paths(("data",), "srcip ip dstip dstport srcport srcuser dstuser command cmdline"),
+    *paths(("data",), "proto action id suricata.eve.dest_port suricata.eve.user"),
+    *paths(("data",), "suricata.eve.proto"),
+    *paths(WIN_SYSTEM, "computer eventID eventId"),
+    *paths(WIN_DATA, "ipAddress sourceNetworkAddress destinationPort targetUserName"),
+    *paths(WIN_DATA, "subjectUserName commandLine newProcessName processName"),
+    *paths(WIN_DATA, "protocol logonType"),
 ]
-WINDOWS_MEMBERS = [
-    "timestamp", "@timestamp", "rule", "agent", "data", "location", "full_log",
-    "user_agent", "winlog", "event", "event_id", "EventID", "event.code", "host",
-    "computer_name", "event_data", "EventData", "user", "user_name", "source",
+WINDOWS_MEMBERS: list[Path] = [
+    *paths((), "timestamp @timestamp location full_log user_agent event_id EventID"),
+    *paths((), "event.code computer_name user_name"),
+    *[(*place, "any") for place in EVENT_DATA_PLACES],
+    *paths(("rule",), "id level description"),
+    *paths(("agent",), "id name ip"),
+    *paths(("data",), "dstuser srcuser TargetUserName target_user srcip SourceIp"),
+    *paths(("data",), "IpAddress source_ip command CommandLine cmd process dstport"),
+    *paths(("data",), "DestPort dest_port logon_type LogonType event_id EventID id"),
+    *paths(WIN_SYSTEM, "computer eventID eventId"),
+    *paths(WIN_DATA, "ipAddress sourceNetworkAddress destinationPort targetUserName"),
+    *paths(WIN_DATA, "subjectUserName commandLine newProcessName processName protocol"),
+    *paths(WIN_DATA, "logonType workstationName status subStatus"),
+    *paths(("winlog",), "event_id computer_name channel log_name provider_name"),
+    *paths(("winlog",), "keywords task"),
+    *paths(("event",), "code"),
+    *paths(("host",), "name ip"),
+    *paths(("user",), "name"),
+    *paths(("source",), "ip"),
 ]
 
 
-def _schema(members: Sequence[str]) -> str:
-    return ", ".join(f"`{name}` VARIANT" for name in members)
+def members(df: DataFrame, names: Sequence[Path]) -> Column:
+    """``doc`` parsed into ``d`` with the members at the paths as VARIANT."""
+    prepare_for_parsing(df.sparkSession)
+    return F.from_json("doc", member_schema(names), {"allowSingleQuotes": "false"})
 
 
-def members(df: DataFrame, names: Sequence[str]) -> Column:
-    """``doc`` parsed into a struct of VARIANT members.
-
-    Repeated keys keep the last value, which Spark asks to be allowed.
-    """
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return F.from_json("doc", _schema(names), {"allowSingleQuotes": "false"})
-
-
-def _documents(lines: DataFrame, names: Sequence[str]) -> DataFrame:
+def _documents(lines: DataFrame, names: Sequence[Path]) -> DataFrame:
     """Unwrap search-export envelopes and parse."""
     others = [name for name in lines.columns if name != "line"]
     line = F.col("line")
@@ -58,16 +94,16 @@ def _documents(lines: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def _has(name: str) -> Column:
-    return F.col(f"d.`{name}`").isNotNull()
-
-
-def _reject_reason(valid: Column, lacking: str) -> Column:
+def _reject_reason(valid: Column, needed: list[str], lacking: str) -> Column:
     """NULL for valid records; blank lines are no records and are marked apart."""
+    keys = F.json_object_keys("doc")
+    present = F.lit(True)
+    for name in needed:
+        present = present & F.array_contains(keys, name)
     return (
         F.when(valid, F.lit(None).cast("string"))
         .when(F.col("line") == "", "blank")
-        .when(F.json_object_keys("doc").isNull(), "not a JSON object")
+        .when(keys.isNull() | present, "not a JSON object")
         .otherwise(lacking)
     )
 
@@ -75,19 +111,34 @@ def _reject_reason(valid: Column, lacking: str) -> Column:
 def parse_hids_alerts(lines: DataFrame) -> DataFrame:
     """``line`` to ``doc``, ``d`` and ``reject_reason`` (NULL for valid alerts)."""
     parsed = _documents(lines, HIDS_MEMBERS)
-    valid = _has("timestamp") & _has("rule")
-    return parsed.withColumn("reject_reason", _reject_reason(valid, "no timestamp or rule"))
+    valid = leaf("timestamp").isNotNull() & has_key("rule")
+    return computed_once(
+        parsed,
+        *parsed.columns,
+        _reject_reason(valid, ["timestamp", "rule"], "no timestamp or rule").alias(
+            "reject_reason"
+        ),
+    )
 
 
 def parse_windows_events(lines: DataFrame) -> DataFrame:
     """As HIDS alerts, with ``parser_mode``: ``wazuh`` for the alert form, else
     ``generic``."""
     parsed = _documents(lines, WINDOWS_MEMBERS)
-    alert_form = _has("agent") & _has("rule")
-    valid = _has("timestamp") | (_has("@timestamp") & ~alert_form)
-    return parsed.withColumn(
-        "parser_mode", F.when(alert_form, F.lit("wazuh")).otherwise(F.lit("generic"))
-    ).withColumn("reject_reason", _reject_reason(valid, "no timestamp"))
+    alert_form = has_key("agent") & has_key("rule")
+    moded = computed_once(
+        parsed,
+        *parsed.columns,
+        F.when(alert_form, F.lit("wazuh")).otherwise(F.lit("generic")).alias("parser_mode"),
+    )
+    valid = leaf("timestamp").isNotNull() | (
+        leaf("@timestamp").isNotNull() & (F.col("parser_mode") == "generic")
+    )
+    return computed_once(
+        moded,
+        *moded.columns,
+        _reject_reason(valid, ["timestamp"], "no timestamp").alias("reject_reason"),
+    )
 
 
 def read_hids_alerts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
