@@ -462,3 +462,38 @@ SELECT count(*) AS total_rows, count(*) FILTER (event_id % 11 <> 0) AS parsed, c
 ORACLES["profile_normalize"] = f"""{_v()}
 SELECT CASE WHEN event_id % 4 <> 0 THEN 'ok' ELSE 'invalid Wazuh timestamp: ''soon''' END AS outcome, count(*) AS n_rows
 FROM v WHERE event_id % 11 <> 0 GROUP BY ALL"""
+
+# --- suppression and the whole pipeline ------------------------------------------------------------------------
+
+
+def _kept(incidents: str) -> str:
+    """Greedy suppression in rounds; ``status`` 0 undecided, 1 kept, 2 dropped."""
+    return f"""{incidents},
+ranked AS MATERIALIZED (SELECT id, event_count, row_number() OVER (ORDER BY event_count DESC, id) AS r FROM inc),
+held AS MATERIALIZED (SELECT r, event_id FROM mem JOIN ranked USING (id)),
+rounds AS (
+  SELECT 0 AS round, r, event_count, 0 AS status FROM ranked
+  UNION ALL
+  SELECT s.round + 1, s.r, s.event_count,
+         CASE WHEN s.status <> 0 THEN s.status WHEN c.sure > s.event_count * 0.5 THEN 2
+              WHEN c.possible <= s.event_count * 0.5 THEN 1 ELSE 0 END
+  FROM rounds s JOIN (
+    SELECT h.r, count(*) FILTER (e.kept < h.r) AS sure, count(*) FILTER (e.alive < h.r) AS possible
+    FROM held h JOIN (
+      SELECT event_id, min(h2.r) FILTER (s2.status = 1) AS kept, min(h2.r) FILTER (s2.status <> 2) AS alive
+      FROM held h2 JOIN rounds s2 ON s2.r = h2.r GROUP BY event_id) e ON e.event_id = h.event_id
+    GROUP BY h.r) c ON c.r = s.r
+  WHERE (SELECT count(*) FROM rounds WHERE status = 0) > 0),
+kept AS MATERIALIZED (
+  SELECT ranked.id, ranked.event_count FROM ranked
+  JOIN (SELECT r, max(status) AS status FROM rounds GROUP BY r) last ON last.r = ranked.r AND last.status = 1)"""
+
+
+for _suffix, _squeeze in (("", NORMAL), ("_dense", DENSE)):
+    ORACLES[f"suppress_overlapping{_suffix}"] = f"""{_kept(incidents_sql(_squeeze))}
+SELECT id, event_count FROM kept"""
+ORACLES["correlate_membership"] = f"""{_kept(incidents_sql())}
+SELECT id, event_id FROM mem JOIN kept USING (id)"""
+ORACLES["analyze_flagship"] = f"""{_kept(profiles_sql())}
+SELECT row_number() OVER (ORDER BY judged.event_count DESC, n_ips DESC, id) AS rank, id, rule_idx, key, start_us, end_us,
+       judged.event_count, n_ips, pattern, confidence, verdict FROM judged JOIN kept USING (id)"""
