@@ -11,19 +11,25 @@ from emberwatch.fixed_values import (
     KEY_VALUE_PATTERN_FREE_TEXT,
     SSH_FAILURE_PATTERN,
 )
-from emberwatch.functions.text import first_truthy, truthy
+from emberwatch.functions.text import first_truthy, let, truthy
 
 # Java needs to be told: Unicode classes, and only \n ends a line.
 _FLAGS = "(?Ud)"
 
 
+def _extract_all(text: Column, pattern: str, group: int) -> Column:
+    """All matches; Unicode-aware matching is slow and only matters beyond ASCII."""
+    plain, unicode_aware = (
+        F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(group)) for flags in ("", "(?U)")
+    )
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(unicode_aware)
+
+
 def key_value_pairs(text: Column, pattern: str = KEY_VALUE_PATTERN_FREE_TEXT) -> Column:
     """``key=value`` pairs in order, keys lower-cased, quotes stripped from values."""
-    regex = F.lit(_FLAGS + pattern)
     return F.transform(
         F.arrays_zip(
-            F.regexp_extract_all(text, regex, F.lit(1)).alias("k"),
-            F.regexp_extract_all(text, regex, F.lit(2)).alias("v"),
+            _extract_all(text, pattern, 1).alias("k"), _extract_all(text, pattern, 2).alias("v")
         ),
         lambda pair: F.struct(
             F.lower(pair["k"]).alias("k"),
@@ -37,7 +43,7 @@ def _last_value(pairs: Column, key: str) -> Column:
 
 
 def routable_addresses(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit("(?U)" + IPV4_IN_TEXT_PATTERN), F.lit(1))
+    found = _extract_all(text, IPV4_IN_TEXT_PATTERN, 1)
     return F.filter(found, lambda ip: ~ip.rlike(r"\A(0|127|255)\."))
 
 
@@ -49,8 +55,22 @@ def ssh_failure(text: Column, group: int) -> Column:
 def extract_from_text(text: Column) -> Column:
     """Struct of what the text tells: srcip, dstip, dstport, srcport, proto, action,
     severity, user, devname."""
-    all_pairs = key_value_pairs(text)
-    pairs = F.when(F.size(all_pairs) >= 5, all_pairs)
+    user, address, port = (ssh_failure(text, group) for group in (1, 2, 3))
+    found = F.struct(
+        key_value_pairs(text).alias("pairs"),
+        routable_addresses(text).alias("addresses"),
+        user.alias("user"),
+        address.alias("address"),
+        port.alias("port"),
+    )
+    return let(found, _combined)
+
+
+def _combined(found: Column) -> Column:
+    """What the pieces found in a text say together."""
+    pairs = F.when(F.size(found["pairs"]) >= 5, found["pairs"])
+    addresses = found["addresses"]
+    is_ssh = found["user"].isNotNull()
     verb = F.lower(
         F.try_element_at(
             F.filter(
@@ -60,20 +80,17 @@ def extract_from_text(text: Column) -> Column:
             F.lit(-1),
         )["v"]
     )
-    user, address, port = (ssh_failure(text, group) for group in (1, 2, 3))
-    is_ssh = user.isNotNull()
-    addresses = routable_addresses(text)
     pair_severity = F.when(verb.isin("deny", "block"), 3).when(verb.isNotNull(), 2)
     return F.struct(
         F.coalesce(
-            first_truthy(_last_value(pairs, "srcip"), address),
+            first_truthy(_last_value(pairs, "srcip"), found["address"]),
             F.try_element_at(addresses, F.lit(1)),
         ).alias("srcip"),
         F.coalesce(
             truthy(_last_value(pairs, "dstip")),
             F.when(F.size(addresses) > 1, F.try_element_at(addresses, F.lit(-1))),
         ).alias("dstip"),
-        first_truthy(_last_value(pairs, "dstport"), port).alias("dstport"),
+        first_truthy(_last_value(pairs, "dstport"), found["port"]).alias("dstport"),
         _last_value(pairs, "srcport").alias("srcport"),
         _last_value(pairs, "proto").alias("proto"),
         F.when(is_ssh, F.lit("login_failed"))
@@ -81,6 +98,6 @@ def extract_from_text(text: Column) -> Column:
         .when(verb.isNotNull(), F.lit("connection_blocked"))
         .alias("action"),
         F.coalesce(pair_severity, F.when(is_ssh, F.lit(3))).alias("severity"),
-        user.alias("user"),
+        found["user"].alias("user"),
         _last_value(pairs, "devname").alias("devname"),
     )

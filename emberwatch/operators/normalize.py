@@ -165,11 +165,11 @@ def merge_text_fallback(rows: DataFrame) -> DataFrame:
             "severity", quiet, F.coalesce(found["severity"], F.col("severity"))
         ),
     }
-    staged = rows.withColumn(
-        "found", F.when(wanted, extract_from_text(F.col("log_text")))
+    found_once = computed_once(
+        rows, *rows.columns, F.when(wanted, extract_from_text(F.col("log_text"))).alias("found")
     )
     others = [name for name in rows.columns if name not in merged]
-    return staged.select(*others, *merged.values())
+    return found_once.select(*others, *merged.values())
 
 
 def clean_hids(rows: DataFrame) -> DataFrame:
@@ -250,10 +250,9 @@ def _hids_shape_error() -> Column:
 
 def _hids_fields(alerts: DataFrame) -> DataFrame:
     typed = [value.alias(name) for name, value in _hids_picks().items()]
-    picked = computed_once(alerts, *_carried(alerts), _raw(alerts).alias("doc"), "d", *typed)
+    picked = alerts.select(*_carried(alerts), _raw(alerts).alias("doc"), "d", *typed)
     port, groups = F.col("picked_port"), leaf("rule", "groups")
-    return computed_once(
-        picked,
+    return picked.select(
         *_carried(alerts),
         F.col("doc"),
         string_only(F.col("picked_time")).alias("time_text"),
@@ -517,8 +516,7 @@ def _windows_picks(records: DataFrame) -> DataFrame:
             for path in EVENT_DATA_PLACES
         ]
     )
-    leaves = computed_once(
-        records,
+    leaves = records.select(
         *_carried(records), _raw(records).alias("doc"), "d", "parser_mode",
         F.when(~alert, shipped).alias("shipped"),
     )
@@ -537,9 +535,7 @@ def _windows_picks(records: DataFrame) -> DataFrame:
             "picked_channel": pick(*paths(("winlog",), "channel log_name")),
         }
     )
-    return computed_once(
-        leaves, *leaves.columns, *[value.alias(name) for name, value in picked.items()]
-    )
+    return leaves.withColumns(picked)
 
 
 def normalize_windows(records: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def parse_firewall_lines(lines: DataFrame) -> DataFrame:
     prepare_for_parsing(lines.sparkSession)
     others = [name for name in lines.columns if name != "line"]
     doc = F.col("doc")
-    trimmed = computed_once(lines, *others, stripped(F.col("line")).alias("doc"))
+    trimmed = lines.select(*others, stripped(F.col("line")).alias("doc"))
     marked = doc.contains("devname=") | doc.contains("type=")
     # Unicode-aware matching is slow and only matters beyond ASCII.
     ascii_only = F.octet_length(doc) == F.length(doc)
@@ -53,8 +53,7 @@ def parse_firewall_lines(lines: DataFrame) -> DataFrame:
             marked, F.reverse(F.when(ascii_only, found[0]).otherwise(found[1]))
         )
 
-    pairs = computed_once(
-        trimmed,
+    pairs = trimmed.select(
         *others,
         "doc",
         matches(1).alias("keys"),

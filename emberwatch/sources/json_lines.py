@@ -81,7 +81,7 @@ def _documents(lines: DataFrame, names: Sequence[Path]) -> DataFrame:
     others = [name for name in lines.columns if name != "line"]
     line = F.col("line")
     wrapped = F.when(line.contains('"_source"'), F.get_json_object(line, "$._source"))
-    trimmed = computed_once(lines, *others, stripped(line).alias("line"))
+    trimmed = lines.withColumn("line", stripped(line))
     documents = trimmed.withColumn("wrapped", wrapped).withColumn(
         "doc",
         F.when(
@@ -112,12 +112,9 @@ def parse_hids_alerts(lines: DataFrame) -> DataFrame:
     """``line`` to ``doc``, ``d`` and ``reject_reason`` (NULL for valid alerts)."""
     parsed = _documents(lines, HIDS_MEMBERS)
     valid = leaf("timestamp").isNotNull() & has_key("rule")
-    return computed_once(
-        parsed,
-        *parsed.columns,
-        _reject_reason(valid, ["timestamp", "rule"], "no timestamp or rule").alias(
-            "reject_reason"
-        ),
+    return parsed.withColumn(
+        "reject_reason",
+        _reject_reason(valid, ["timestamp", "rule"], "no timestamp or rule"),
     )
 
 
@@ -126,18 +123,14 @@ def parse_windows_events(lines: DataFrame) -> DataFrame:
     ``generic``."""
     parsed = _documents(lines, WINDOWS_MEMBERS)
     alert_form = has_key("agent") & has_key("rule")
-    moded = computed_once(
-        parsed,
-        *parsed.columns,
-        F.when(alert_form, F.lit("wazuh")).otherwise(F.lit("generic")).alias("parser_mode"),
+    moded = parsed.withColumn(
+        "parser_mode", F.when(alert_form, F.lit("wazuh")).otherwise(F.lit("generic"))
     )
     valid = leaf("timestamp").isNotNull() | (
         leaf("@timestamp").isNotNull() & (F.col("parser_mode") == "generic")
     )
-    return computed_once(
-        moded,
-        *moded.columns,
-        _reject_reason(valid, ["timestamp"], "no timestamp").alias("reject_reason"),
+    return moded.withColumn(
+        "reject_reason", _reject_reason(valid, ["timestamp"], "no timestamp")
     )
 
 

@@ -51,10 +51,18 @@ def view_sql(squeeze: int = NORMAL) -> str:
     return _VIEW.format(squeeze=squeeze, micros="epoch_us(ts)", table="events").strip()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when a small table arrives as fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def view(spark: SparkSession, sf_dir: str, squeeze: int = NORMAL) -> DataFrame:
     """The view as plain columns."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "event_id", "event_type", "user_id", F.expr("CAST(ts AS TIMESTAMP) AS ts")
+    events = spread(
+        spark.read.parquet(f"{sf_dir}/events.parquet").select(
+            "event_id", "event_type", "user_id", F.expr("CAST(ts AS TIMESTAMP) AS ts")
+        )
     )
     sql = _VIEW.format(squeeze=squeeze, micros="unix_micros(ts)", table="{events}")
     return spark.sql(sql, events=events)
