@@ -10,8 +10,8 @@ The work is arranged by time cell (see ``fan_out``):
 2. cells join into sessions wherever the silence between two cells is not longer
    than the window - a longer silence always opens a new window;
 3. a session no longer than the window *is* one window and needs nothing more;
-4. a longer session is folded over its distinct timestamps, or, when it is too
-   large for one array, cut into strips (``hot_sessions``);
+4. a longer session is folded over its timestamps, or, when it is too large for one
+   array, its distinct timestamps are cut into strips (``hot_sessions``);
 5. each cell then knows the window that starts in it and the one that was open
    before it, so events find their window with one equi-join on the cell.
 """
@@ -82,16 +82,14 @@ def session_cells(keyed: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, i
 
 
 def _session_points(keyed: DataFrame, long_cells: DataFrame) -> DataFrame:
-    """Distinct timestamps of long sessions: all that decides where windows open."""
+    """Timestamps of long sessions: all that decides where windows open."""
     return (
         keyed.select("rule_idx", "key", "bucket", "us")
         .join(
             long_cells.select("rule_idx", "key", "bucket", "session_id", "window_us"),
             ["rule_idx", "key", "bucket"],
         )
-        .groupBy("session_id", "window_us", "bucket", "us")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .drop("copies")
+        .select("session_id", "window_us", "bucket", "us")
     )
 
 
@@ -144,7 +142,7 @@ def anchored_windows(
         if largest_long > fold_limit:
             huge = long_cells.where(F.col("session_n") > fold_limit)
             anchors = anchors.unionByName(
-                hot_session_anchors(_session_points(keyed, huge), strip_points)
+                hot_session_anchors(_session_points(keyed, huge).distinct(), strip_points)
             )
         cell = F.col("window_us") + 1
         anchors = anchors.select(
