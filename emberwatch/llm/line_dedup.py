@@ -9,12 +9,15 @@ words, one word replaced, one inserted or one deleted.  Shorter lines always sta
 2. Two lines within one edit share the first or the last ``p`` words, where ``p`` is the
    largest power of two up to half the line.  Only lines that share such an end with a
    different line can have a partner (an exact test), and only these go on.
-3. They emit every variant within the edit bound as a hashed key: word ``i`` deleted,
-   once with (length, i), which lines with word ``i`` replaced share, and once without,
-   which the line that lacks the word has as its own key.
-4. Per variant only the earliest line is joined to the others, never all pairs, so a
-   variant that thousands of lines share gives one candidate for each of them.  Every
-   candidate's words are compared before a line is dropped.
+3. They emit the variants within the edit bound as hashed keys: the line without word
+   ``i``, for every ``i`` outside a shared end, and the line itself.  A variant's hash
+   combines one of each word with its place, so all of a line's variants come from
+   running totals from both sides, however long the line.
+4. Variants meet by equal keys.  A variant without word ``i`` meets the earliest line of
+   the same length with the same ``i`` (a replaced word), and the earliest line that is
+   the variant itself (a deleted word); that one meets the earliest longer line.  So
+   each line gets few candidates, never all pairs, even where thousands share a key.
+   The words of every candidate pair are compared before a line is dropped.
 
 Cases: null text stays null and has no lines; null ids are last in the order, and rows
 that share an id share one order of lines, so a line is dropped from all rows of that
@@ -24,12 +27,15 @@ of A-Z do not count; an empty table gives an empty result; other columns pass th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.storage import stage
 
 MIN_WORDS = 8
+# Candidate lines that are sent to all tasks at most (24 bytes each); more are joined
+# by shuffling the texts.
+SENT_LINES = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER_SPACE = "\t\x0b\f\r"
 
@@ -39,18 +45,18 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _hash(*parts: Column) -> Column:
-    return F.xxhash64(*parts)
-
-
 def _long_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, words of each line that takes part."""
+    """doc_id, line_no, words, n of each line that takes part."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    # The array is computed below the filter once, so that no expression repeats it.
-    return (
-        lines.select("doc_id", "line_no", words_of(F.col("line")).alias("words"))
-        .withColumn("n", F.size("words"))
-        .where(F.col("n") >= MIN_WORDS)
+    # A filter does not move below the row number, so the words are computed once.
+    split = lines.select(
+        "doc_id",
+        "line_no",
+        words_of(F.col("line")).alias("words"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return split.where(F.size("words") >= MIN_WORDS).select(
+        "doc_id", "line_no", "words", F.size("words").alias("n")
     )
 
 
@@ -59,10 +65,12 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("line_no"))
 
 
-def _keyed(lines: DataFrame) -> DataFrame:
-    return lines.withColumns(
-        {"k1": _hash(F.col("words")), "k2": _hash(F.lit("second"), F.col("words"))}
-    )
+def _keys(words: Column) -> dict[str, Column]:
+    return {"k1": F.xxhash64(words), "k2": F.xxhash64(F.lit("second"), words)}
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
 
 
 def _half(n: Column) -> Column:
@@ -70,99 +78,116 @@ def _half(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.floor(F.log2(F.floor(n / 2).cast("double") + 0.25))).cast("int")
 
 
-def _ends(lines: DataFrame) -> DataFrame:
-    """Hashes of the first and last words of each line, for its own length and one less."""
+def _ends() -> Column:
+    """Hashes of the first and last words, for a line's own length and for one word less."""
     words, n = F.col("words"), F.col("n")
     p, q = _half(n), _half(n - 1)
-    first = lambda size: _hash(F.lit("first"), F.slice(words, F.lit(1), size))
-    last = lambda size: _hash(F.lit("last"), F.slice(words, -size, size))
-    own = F.array(first(p), last(p))
-    shorter = F.array(first(q), last(q))
-    return lines.withColumn("ends", F.when(p == q, own).otherwise(F.concat(own, shorter)))
-
-
-def _distinct_lines(docs: DataFrame) -> DataFrame:
-    rows = _ends(_keyed(_long_lines(docs)))
-    return rows.groupBy("k1", "k2").agg(
-        F.min(_place()).alias("place"),
-        F.count(F.lit(1)).alias("times"),
-        F.first("ends").alias("ends"),
-    )
 
+    def both(size: Column) -> Column:
+        first, last = F.slice(words, F.lit(1), size), F.slice(words, -size, size)
+        return F.array(F.xxhash64(F.lit("first"), first), F.xxhash64(F.lit("last"), last))
 
-def _with_partner(distinct: DataFrame) -> DataFrame:
-    """Lines that share an end with a different line."""
-    ends = distinct.select("k1", "k2", F.explode("ends").alias("end"))
+    return F.when(p == q, both(p)).otherwise(F.concat(both(p), both(q)))
+
+
+def _with_partner(lines: DataFrame) -> DataFrame:
+    """Lines that share an end with a different line: their first place and the shared ends.
+
+    ``shared`` has 0 for the first and 1 for the last words, 2 and 3 for those of one word less.
+    """
+    ends = lines.select("k1", "k2", "doc_id", "line_no", F.posexplode("ends").alias("which", "end"))
     shared = (
         ends.groupBy("end")
-        .agg(F.count(F.lit(1)).alias("lines"))
-        .where("lines > 1")
+        .agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
+        .where("low != high")
         .select("end")
     )
-    return ends.join(stage(shared, "line_ends"), "end", "left_semi").select("k1", "k2").distinct()
-
+    return (
+        ends.join(stage(shared, "line_ends"), "end", "left_semi")
+        .groupBy("k1", "k2")
+        .agg(F.min(_place()).alias("place"), F.collect_set("which").alias("shared"))
+    )
 
-def _variants(candidates: DataFrame) -> DataFrame:
-    """All keys within the edit bound: kind, v1, v2 with the line's place.
 
-    ``kind`` 0 is the line itself, 1 the line without word i as a shorter line, 2 the
-    same with (n, i), which lines of this length with another word i share.
-    """
-    cut = F.transform(
-        F.sequence(F.lit(1), F.col("n")),
-        lambda i: F.struct(
-            i.alias("i"),
-            F.concat(
-                F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.col("n"))
-            ).alias("rest"),
-        ),
-    )
-    rest = candidates.select("place", "n", F.explode(cut).alias("cut")).select(
-        "place",
-        "n",
-        F.col("cut.i").alias("i"),
-        _hash(F.col("cut.rest")).alias("v1"),
-        _hash(F.lit("second"), F.col("cut.rest")).alias("v2"),
+def _fetched(docs: DataFrame, partners: DataFrame) -> DataFrame:
+    """The words of the partner lines, from the documents that have them first."""
+    wanted = partners.groupBy(F.col("place.doc_id").alias("wanted_id")).agg(
+        F.collect_list(F.struct("place.line_no", "k1", "k2", "shared")).alias("lines")
     )
-    own = candidates.select(
-        "place", F.lit(0).alias("kind"), F.col("k1").alias("v1"), F.col("k2").alias("v2")
+    if partners.count() <= SENT_LINES:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+    return (
+        texts.select("doc_id", F.split("text", "\n").alias("all"), F.explode("lines").alias("x"))
+        .select("doc_id", "x.*", words_of(F.get("all", F.col("x.line_no"))).alias("words"))
+        .where(F.col("k1") == F.xxhash64("words"))
+        .select("k1", "k2", _place().alias("place"), "shared", "words", F.size("words").alias("n"))
+        .dropDuplicates(["k1", "k2"])
+        # Fixed once written; short to carry.
+        .withColumn("line", F.monotonically_increasing_id())
     )
-    both = F.array(
-        F.struct(F.lit(1).alias("kind"), F.col("v1"), F.col("v2")),
-        F.struct(
-            F.lit(2).alias("kind"),
-            _hash(F.col("v1"), F.col("n"), F.col("i")).alias("v1"),
-            _hash(F.col("v2"), F.col("i"), F.col("n")).alias("v2"),
-        ),
+
+
+def _variants(candidates: DataFrame) -> DataFrame:
+    """(v1, v2, i, n, line, place): the line itself with i 0, and without each word i."""
+    words = candidates.select(
+        "line", "place", "n", "shared", F.posexplode("words").alias("at", "word")
+    ).withColumn("i", F.col("at") + 1)
+    in_line = Window.partitionBy("line").orderBy("i")
+    before = in_line.rowsBetween(Window.unboundedPreceding, -1)
+    n, i = F.col("n"), F.col("i")
+    p, q = _half(n), _half(n - 1)
+    has = lambda which: F.array_contains("shared", which)
+    inside = (
+        (has(0) & (i > p)) | (has(1) & (i <= n - p)) | (has(2) & (i > q)) | (has(3) & (i <= n - q))
     )
-    return own.unionByName(
-        rest.select("place", F.explode(both).alias("x")).select("place", "x.kind", "x.v1", "x.v2")
+
+    def total_after(moved: Column) -> Column:
+        # The whole line's total without that up to here.
+        whole = F.bit_xor(moved).over(Window.partitionBy("line"))
+        return whole.bitwiseXOR(F.bit_xor(moved).over(in_line))
+
+    def totals(seed: int) -> dict[str, Column]:
+        # A word stands in its own place before the missing word and one earlier after it.
+        own, moved = F.xxhash64(F.lit(seed), "word", "i"), F.xxhash64(F.lit(seed), "word", i - 1)
+        head = F.coalesce(F.bit_xor(own).over(before), F.lit(0))
+        return {
+            f"v{seed}": head.bitwiseXOR(total_after(moved)),
+            f"w{seed}": head.bitwiseXOR(own),
+        }
+
+    hashed = words.withColumns(totals(1) | totals(2))
+    cut = hashed.where(inside).select("v1", "v2", "i", "n", "line", "place")
+    own = hashed.where(i == n).select(
+        F.col("w1").alias("v1"), F.col("w2").alias("v2"), F.lit(0).alias("i"), "n", "line", "place"
     )
+    return cut.unionByName(own)
 
 
 def _candidate_pairs(variants: DataFrame) -> DataFrame:
-    """(earlier, place): per variant its earliest line with each later one."""
-    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place")))
-    firsts = stage(
-        variants.groupBy("v1", "v2")
-        .agg(
-            of(0).alias("whole"), of(1).alias("longer"), of(2).alias("same"),
-            F.count(F.lit(1)).alias("lines"),
-        )
-        .where("lines > 1")
-        .drop("lines"),
-        "line_variants",
+    """(before, line): earlier candidates for each line."""
+    shared = (
+        variants.groupBy("v1")
+        .agg(F.min("line").alias("low"), F.max("line").alias("high"))
+        .where("low != high")
+        .select("v1")
     )
-    met = variants.join(firsts, ["v1", "v2"])
-    # A whole line meets the longer ones that lose a word, and the other way round.
-    earlier = (
-        F.when(F.col("kind") == 0, F.col("longer"))
-        .when(F.col("kind") == 1, F.col("whole"))
-        .otherwise(F.col("same"))
+    met = stage(
+        variants.join(stage(shared, "line_shared_variants"), "v1", "left_semi"), "line_variants"
     )
+    first = F.min(F.struct("place", "line"))
+    same = stage(met.groupBy("v1", "v2", "n", "i").agg(first.alias("first")), "line_first_variants")
+    whole = same.where("i = 0").select("v1", "v2", F.col("first").alias("shorter"))
+    longer = same.where("i > 0").groupBy("v1", "v2").agg(F.min("first").alias("longer"))
+    cut, own = met.where("i > 0"), met.where("i = 0")
+    replaced = cut.join(same, ["v1", "v2", "n", "i"]).select("line", "place", "first")
+    deleted = cut.join(whole, ["v1", "v2"]).select("line", "place", F.col("shorter").alias("first"))
+    inserted = own.join(longer, ["v1", "v2"]).select("line", "place", F.col("longer").alias("first"))
     return (
-        met.select(earlier.alias("earlier"), "place")
-        .where(F.col("earlier") < F.col("place"))
+        replaced.unionByName(deleted)
+        .unionByName(inserted)
+        .where(F.col("first.place") < F.col("place"))
+        .select(F.col("first.line").alias("before"), "line")
         .distinct()
     )
 
@@ -171,66 +196,44 @@ def _one_edit(a: Column, b: Column) -> Column:
     """Whether two word lists differ by one replaced, inserted or deleted word."""
     longer = F.when(F.size(a) >= F.size(b), a).otherwise(b)
     shorter = F.when(F.size(a) >= F.size(b), b).otherwise(a)
-    differing = F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda x: x))
-    lacks = F.exists(
-        F.sequence(F.lit(1), F.size(longer)),
-        lambda i: F.concat(
-            F.slice(longer, F.lit(1), i - 1), F.slice(longer, i + 1, F.size(longer))
-        )
-        == shorter,
-    )
-    return F.when(F.size(a) == F.size(b), differing <= 1).otherwise(
-        (F.size(longer) == F.size(shorter) + 1) & lacks
-    )
+    gap = F.size(longer) - F.size(shorter)
+    differs = F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y))
+    # The first difference; what follows it must be equal, past the longer one's extra word.
+    at = F.array_position(differs, F.lit(True)).cast("int")
+    rest = F.greatest(F.size(longer) - at, F.lit(0))
+    tail = F.slice(longer, at + 1, rest) == F.slice(shorter, at + 1 - gap, rest)
+    return (gap <= 1) & ((at == 0) | tail)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of every line to drop; ``docs`` has doc_id and text."""
-    distinct = stage(_distinct_lines(docs), "line_distinct")
-    partners = stage(
-        _with_partner(distinct).join(distinct.select("k1", "k2", "place"), ["k1", "k2"]),
-        "line_partners",
-    )
-    wanted = partners.groupBy("place.doc_id").agg(
-        F.collect_list(F.struct("place.line_no", "k1", "k2")).alias("lines")
-    )
-    # A document's own candidate lines are a bounded list, which goes to the text by id.
-    lines = F.split("text", "\n")
-    fetched = (
-        docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id))
-        .select(docs.doc_id, F.explode("lines").alias("x"), lines.alias("all"))
-        .select(
-            "doc_id", "x.line_no", F.col("x.k1"), F.col("x.k2"),
-            words_of(F.get("all", F.col("x.line_no"))).alias("words"),
-        )
-        .withColumn("n", F.size("words"))
-        .where((F.col("k1") == _hash(F.col("words"))))
-        .select(_place().alias("place"), "k1", "k2", "words", "n")
-        .dropDuplicates(["place"])
+    lines = stage(
+        _long_lines(docs).select("doc_id", "line_no", *_named(_keys(F.col("words"))), _ends().alias("ends")),
+        "line_keys",
     )
-    candidates = stage(fetched, "line_candidates")
+    partners = stage(_with_partner(lines), "line_partners")
+    candidates = stage(_fetched(docs, partners), "line_candidates")
     pairs = stage(_candidate_pairs(_variants(candidates)), "line_pairs")
-    own = candidates.select("place", "words", "k1", "k2")
-    first = candidates.select(F.col("place").alias("earlier"), F.col("words").alias("before"))
+    own = candidates.select("line", "k1", "k2", "words")
+    earlier = candidates.select(F.col("line").alias("before"), F.col("words").alias("other"))
     near = (
-        pairs.join(own, "place")
-        .join(first, "earlier")
-        .where(_one_edit(F.col("words"), F.col("before")))
-        .select("k1", "k2")
+        pairs.join(own, "line")
+        .join(earlier, "before")
+        .where(_one_edit(F.col("words"), F.col("other")))
+        .select("k1", "k2", F.lit(True).alias("near"))
         .distinct()
     )
-    near = stage(near.withColumn("near", F.lit(True)), "line_near")
     # Lines of which something is to be dropped: they have an earlier partner or repeats.
     firsts = stage(
-        distinct.drop("ends")
-        .join(near, ["k1", "k2"], "left")
+        lines.groupBy("k1", "k2")
+        .agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("times"))
+        .join(stage(near, "line_near"), ["k1", "k2"], "left")
         .where("near or times > 1")
         .select("k1", "k2", "place", F.coalesce("near", F.lit(False)).alias("near")),
         "line_firsts",
     )
-    places = _keyed(_long_lines(docs)).select("k1", "k2", _place().alias("at"))
-    gone = places.join(firsts, ["k1", "k2"]).where("near or at > place")
-    return gone.select("at.doc_id", "at.line_no").distinct()
+    gone = lines.select("k1", "k2", "doc_id", "line_no").join(firsts, ["k1", "k2"])
+    return gone.where(F.col("near") | (_place() > F.col("place"))).select("doc_id", "line_no").distinct()
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,15 +11,19 @@ threshold 0.8 miss all bands with probability (1 - 0.8^4)^24, about three in a m
 
 Verification is exact, on the full sets, and never compares all pairs of a group:
 
-* Documents with equal sets are one node.
-* Nodes that share a band, directly or through others, are one group.
-* In a group, the node with the smallest set is the hub.  Every node is compared with
-  the hub.  Lemma: if x is not linked with the hub but with some y of the group, then x
-  and y share a shingle that the hub lacks - else their overlap is part of the hub's
-  with x, which is too small for a set at least as large as the hub's.
-* So a group that has several components is dealt anew by the shingles that its hub
-  lacks.  Each of those is a group with its own hub, and so on, until every group is in
-  one component or has one node.  Work follows the number of differing shingles.
+* Documents with equal sets are one node; nodes that share a band are a group.
+* In a group, the node with the smallest set is the hub, and every node is compared with
+  the hub.  Groups whose nodes are in one component then are done.
+* The nodes of the others are grouped anew by shingles, so that linked nodes still meet:
+  in the order of frequency among these nodes, two sets at the threshold share one of
+  the first |set| - ceil(0.8 |set|) + 1 shingles.  Shingles of one node only come first
+  and make no group, so most nodes drop out here.
+* Groups that still have several components go on.  Lemma: if x is not linked with the
+  hub but with some y of the group, then x and y share a shingle that the hub lacks -
+  else their overlap is part of the hub's with x, which is too small for a set at least
+  as large as the hub's.  So such a group is dealt anew by the shingles that its hub
+  lacks, as far as the same order needs them; the hub is in none of the new groups, so
+  groups shrink until none is left.  Groups with the same nodes are one.
 
 Cases: null or empty text, and text without words, has an empty set and is its own
 component; fewer words than a shingle are one shingle; equal rows are one class; a row
@@ -139,73 +143,140 @@ def _linked(overlap: Column, a: Column, b: Column, threshold: int) -> Column:
     return F.lit(100) * overlap >= F.lit(threshold) * (a + b - overlap)
 
 
-def _several(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Members of the groups that have nodes of several components, with their component."""
-    with_component = members.join(components, "node", "left").withColumn(
-        "component", F.coalesce("component", F.col("node"))
-    )
+def _several(members: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Groups that have nodes of several components, each set of nodes once: grp, node, component."""
+    if components is None:
+        found = members.withColumn("component", F.col("node"))
+    else:
+        found = members.join(components, "node", "left").withColumn(
+            "component", F.coalesce("component", F.col("node"))
+        )
     mixed = (
-        with_component.groupBy("grp")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        found.groupBy("grp")
+        .agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.bit_xor(F.xxhash64("node")).alias("sign1"),
+            F.bit_xor(F.xxhash64(F.lit("second"), F.col("node"))).alias("sign2"),
+            F.count(F.lit(1)).alias("size"),
+        )
         .where("low != high")
+        .groupBy("sign1", "sign2", "size")
+        .agg(F.min("grp").alias("grp"))
         .select("grp")
     )
-    return with_component.join(stage(mixed, "near_groups"), "grp", "left_semi")
+    return found.join(stage(mixed, "near_groups"), "grp", "left_semi")
+
+
+def _meet_hubs(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """grp, node, component, hub, hub_component for the nodes of each group, but its hub."""
+    hubs = members.join(sizes, "node").groupBy("grp").agg(F.min(F.struct("n", "node", "component")).alias("hub"))
+    hubs = stage(
+        hubs.select("grp", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component")),
+        "near_hubs",
+    )
+    return stage(members.join(hubs, "grp").where("node != hub"), "near_met")
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """node, hub, linked, overlap for different pairs."""
+    hub_sets = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub"))
+    both = pairs.distinct().join(sets.select("node", "shingles"), "node").join(hub_sets, "hub")
+    overlap, a, b = F.col("overlap"), F.col("a"), F.col("b")
+    return both.select(
+        "node",
+        "hub",
+        F.size(F.array_intersect("shingles", "of_hub")).alias("overlap"),
+        F.size("shingles").alias("a"),
+        F.size("of_hub").alias("b"),
+    ).select(
+        "node",
+        "hub",
+        "overlap",
+        (F.lit(100) * overlap >= F.lit(threshold) * (a + b - overlap)).alias("linked"),
+    )
+
+
+def _ordered(sets: DataFrame, threshold: int) -> DataFrame:
+    """node, shared (shingles of several nodes, rare ones first), first (how many of them to use).
 
+    ``first`` leaves out the nodes whose first shingles are all their own.
+    """
+    rows = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    n = F.col("n")
+    prefix = n - F.ceil(n * threshold / 100) + 1
+    return (
+        rows.join(stage(often, "near_often"), "shingle")
+        .groupBy("node", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("nodes", "shingle"))).alias("ranked"))
+        .select(
+            "node",
+            F.col("ranked.shingle").alias("shared"),
+            (prefix - (n - F.size("ranked"))).cast("int").alias("first"),
+        )
+        .where("first > 0")
+    )
 
-def verified_links(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) that connect the same nodes as all links within the groups.
+
+def verified_links(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
+    """(node, component) of all links at the threshold between nodes that share a group.
 
     ``groups`` has grp, node; ``sets`` has node, shingles.
     """
-    spark = groups.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    components = spark.createDataFrame([], "node long, component long")
     sizes = stage(sets.select("node", F.size("shingles").alias("n")), "near_sizes")
-    members = groups
-    while True:
-        members = stage(_several(members, components), "near_members")
-        if members.isEmpty():
-            return links
-        hubs = stage(
-            members.join(sizes, "node")
-            .groupBy("grp")
-            .agg(F.min(F.struct("n", "node")).alias("hub"))
-            .select("grp", F.col("hub.node").alias("hub")),
-            "near_hubs",
-        )
-        # A node meets a hub once, in however many groups the two are.
-        met = members.join(hubs, "grp").select("grp", "node", "hub").where("node != hub")
-        met = stage(met, "near_met")
-        pairs = met.select("node", "hub").distinct()
-        own = stage(pairs.join(sets, "node"), "near_pairs")
-        hub_sets = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub"))
+    links, components, ordered = None, None, None
+    members = stage(_several(groups, None), "near_members")
+    while not members.isEmpty():
+        met = _meet_hubs(members, sizes)
         compared = stage(
-            own.join(hub_sets, "hub").select(
-                "node",
-                "hub",
-                _linked(
-                    F.size(F.array_intersect("shingles", "of_hub")),
-                    F.size("shingles"),
-                    F.size("of_hub"),
-                    threshold,
-                ).alias("linked"),
-                F.array_except("shingles", "of_hub").alias("more"),
-            ),
+            _compare(met.where("component != hub_component").select("node", "hub"), sets, threshold),
             "near_compared",
         )
         new = compared.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        links = stage(links.unionByName(new), "near_links")
+        links = stage(new if links is None else links.unionByName(new), "near_links")
         components = stage(connected(links), "near_components")
-        # Groups that still have several components go on by the shingles their hub lacks.
-        whole = met.select("grp", "node").unionByName(hubs.select("grp", F.col("hub").alias("node")))
-        mixed = stage(_several(whole, components).select("grp").distinct(), "near_mixed")
-        rest = stage(met.join(mixed, "grp", "left_semi"), "near_open")
-        members = (
-            rest.join(compared.drop("linked"), ["node", "hub"])
-            .select("grp", "node", F.explode("more").alias("shingle"))
-            .select(F.xxhash64("grp", "shingle").alias("grp"), "node")
+        open_ = stage(_several(members.drop("component"), components), "near_open")
+        if ordered is None:
+            nodes = open_.select("node").distinct()
+            ordered = stage(_ordered(sets.join(nodes, "node"), threshold), "near_ordered")
+            members = ordered.select(
+                F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("grp"), "node"
+            )
+        else:
+            members = _beyond_hubs(open_.select("grp").distinct(), met, ordered, sets, threshold)
+        members = stage(_several(members, components), "near_members")
+    return components
+
+
+def _beyond_hubs(
+    groups: DataFrame, met: DataFrame, ordered: DataFrame, sets: DataFrame, threshold: int
+) -> DataFrame:
+    """New groups by the shingles that the hubs of the given ones lack."""
+    rest = stage(met.join(groups, "grp", "left_semi").select("grp", "node", "hub"), "near_rest")
+    n, overlap = F.size("shingles"), F.size(F.array_intersect("shingles", "of_hub"))
+    needed = F.ceil(n * threshold / 100)
+    hub_sets = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub"))
+    lacking = (
+        rest.select("node", "hub")
+        .distinct()
+        .join(ordered, "node")
+        .join(sets.select("node", "shingles"), "node")
+        .join(hub_sets, "hub")
+        .select(
+            "node",
+            "hub",
+            F.array_except("shared", "of_hub").alias("more"),
+            # Where the hub's part may be the whole overlap needed, one shingle beyond it is.
+            F.when(overlap >= needed, n).otherwise(F.col("first")).alias("first"),
         )
+        .select("node", "hub", F.slice("more", F.lit(1), F.col("first")).alias("more"))
+    )
+    return (
+        rest.join(stage(lacking, "near_lacking"), ["node", "hub"])
+        .select("grp", "node", F.explode("more").alias("shingle"))
+        .select(F.xxhash64("grp", "shingle").alias("grp"), "node")
+    )
 
 
 # --- the operator -------------------------------------------------------------------------
@@ -237,19 +308,17 @@ def near_dedup(
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = stage(
         banded.groupBy("band")
-        .agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("nodes"))
+        .agg(F.count(F.lit(1)).alias("nodes"))
         .where("nodes > 1")
-        .drop("nodes"),
+        .select("band"),
         "near_bands",
     )
-    candidates = (
-        banded.join(shared, "band").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    )
     groups = stage(
-        connected(candidates.distinct()).select("node", F.col("component").alias("grp")), "near_groups"
+        banded.join(shared, "band").select(F.col("band").alias("grp"), "node"), "near_banded"
     )
     wanted = stage(
-        groups.join(classes, "node").select("node", F.col("first_id").alias("doc_id"), "class"),
+        groups.select("node").distinct().join(classes, "node")
+        .select("node", F.col("first_id").alias("doc_id"), "class"),
         "near_wanted",
     )
     sets = stage(
@@ -259,7 +328,9 @@ def near_dedup(
         .dropDuplicates(["node"]),
         "near_sets",
     )
-    components = connected(verified_links(groups, sets, threshold))
+    components = verified_links(groups, sets, threshold)
+    if components is None:
+        components = classes.select("node", F.col("node").alias("component"))
     labelled = classes.select("class", "node", "first_id").join(components, "node", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", F.col("node")))
     smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
