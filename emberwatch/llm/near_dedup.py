@@ -12,18 +12,18 @@ threshold 0.8 miss all bands with probability (1 - 0.8^4)^24, about three in a m
 Verification is exact, on the full sets, and never compares all pairs of a group:
 
 * Documents with equal sets are one node; nodes that share a band are a group.
-* In a group, the node with the smallest set is the hub, and every node is compared with
-  the hub.  Groups whose nodes are in one component then are done.
+* In a group, the ``HUBS`` nodes with the smallest sets are the hubs, and every node is
+  compared with each of them.  Groups whose nodes are in one component then are done.
 * The nodes of the others are grouped anew by shingles, so that linked nodes still meet:
   in the order of frequency among these nodes, two sets at the threshold share one of
   the first |set| - ceil(0.8 |set|) + 1 shingles.  Shingles of one node only come first
   and make no group, so most nodes drop out here.
-* Groups that still have several components go on.  Lemma: if x is not linked with the
-  hub but with some y of the group, then x and y share a shingle that the hub lacks -
-  else their overlap is part of the hub's with x, which is too small for a set at least
-  as large as the hub's.  So such a group is dealt anew by the shingles that its hub
-  lacks, as far as the same order needs them; the hub is in none of the new groups, so
-  groups shrink until none is left.  Groups with the same nodes are one.
+* Groups that still have several components go on.  Lemma: if x is not linked with a
+  hub but with some y of the group that is no hub, then x and y share a shingle that
+  this hub lacks - else their overlap is part of the hub's with x, which is too small
+  for a set at least as large as the hub's.  So such a group is dealt anew by the
+  shingles that its first hub lacks, as far as the same order needs them, without its
+  hubs; groups shrink until none is left.  Groups with the same nodes are one.
 
 Cases: null or empty text, and text without words, has an empty set and is its own
 component; fewer words than a shingle are one shingle; equal rows are one class; a row
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import mix64, slices, utf8
@@ -49,6 +49,8 @@ SHINGLE = 4
 THRESHOLD = 80  # per cent
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
+# Nodes of a group that all its nodes are compared with at a time.
+HUBS = 8
 
 
 # --- sets and sketches --------------------------------------------------------------------
@@ -168,32 +170,28 @@ def _several(members: DataFrame, components: DataFrame | None) -> DataFrame:
     return found.join(stage(mixed, "near_groups"), "grp", "left_semi")
 
 
-def _meet_hubs(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """grp, node, component, hub, hub_component for the nodes of each group, but its hub."""
-    hubs = members.join(sizes, "node").groupBy("grp").agg(F.min(F.struct("n", "node", "component")).alias("hub"))
-    hubs = stage(
-        hubs.select("grp", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component")),
-        "near_hubs",
+def _hubs(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """grp, hub, hub_component, place (from 1, smallest set first) of each group's hubs."""
+    by_size = Window.partitionBy("grp").orderBy("n", "node")
+    ranked = members.join(sizes, "node").withColumn("place", F.row_number().over(by_size))
+    hubs = ranked.where(F.col("place") <= HUBS)
+    return hubs.select(
+        "grp", F.col("node").alias("hub"), F.col("component").alias("hub_component"), "place"
     )
-    return stage(members.join(hubs, "grp").where("node != hub"), "near_met")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """node, hub, linked, overlap for different pairs."""
+    """The pairs (node, hub) that are linked, once each, as (a, b)."""
+    once = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"))
     hub_sets = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub"))
-    both = pairs.distinct().join(sets.select("node", "shingles"), "node").join(hub_sets, "hub")
-    overlap, a, b = F.col("overlap"), F.col("a"), F.col("b")
-    return both.select(
-        "node",
-        "hub",
-        F.size(F.array_intersect("shingles", "of_hub")).alias("overlap"),
-        F.size("shingles").alias("a"),
-        F.size("of_hub").alias("b"),
-    ).select(
-        "node",
-        "hub",
-        "overlap",
-        (F.lit(100) * overlap >= F.lit(threshold) * (a + b - overlap)).alias("linked"),
+    both = once.distinct().join(sets.select("node", "shingles"), "node").join(hub_sets, "hub")
+    overlap, a, b = F.col("overlap"), F.size("shingles"), F.size("of_hub")
+    # A smaller set may be too small for the overlap, whatever it holds.
+    possible = both.where(F.least(a, b) * 100 >= F.greatest(a, b) * threshold)
+    return (
+        possible.withColumn("overlap", F.size(F.array_intersect("shingles", "of_hub")))
+        .where(F.lit(100) * overlap >= F.lit(threshold) * (a + b - overlap))
+        .select(F.col("hub").alias("a"), F.col("node").alias("b"))
     )
 
 
@@ -228,32 +226,36 @@ def verified_links(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFr
     links, components, ordered = None, None, None
     members = stage(_several(groups, None), "near_members")
     while not members.isEmpty():
-        met = _meet_hubs(members, sizes)
-        compared = stage(
-            _compare(met.where("component != hub_component").select("node", "hub"), sets, threshold),
-            "near_compared",
+        hubs = stage(_hubs(members, sizes), "near_hubs")
+        pairs = (
+            members.join(hubs, "grp")
+            .where("node != hub and component != hub_component")
+            .select("node", "hub")
+        )
+        linked = stage(_compare(pairs, sets, threshold), "near_linked")
+        if not linked.isEmpty():
+            links = linked if links is None else links.unionByName(linked)
+            components = stage(connected(links), "near_components")
+        others = members.drop("component").join(
+            hubs.select("grp", F.col("hub").alias("node")), ["grp", "node"], "left_anti"
         )
-        new = compared.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        links = stage(new if links is None else links.unionByName(new), "near_links")
-        components = stage(connected(links), "near_components")
-        open_ = stage(_several(members.drop("component"), components), "near_open")
         if ordered is None:
-            nodes = open_.select("node").distinct()
-            ordered = stage(_ordered(sets.join(nodes, "node"), threshold), "near_ordered")
+            open_ = stage(_several(members.drop("component"), components), "near_open")
+            ordered = stage(_ordered(sets.join(open_.select("node").distinct(), "node"), threshold), "near_ordered")
             members = ordered.select(
                 F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("grp"), "node"
             )
         else:
-            members = _beyond_hubs(open_.select("grp").distinct(), met, ordered, sets, threshold)
+            open_ = stage(_several(others, components), "near_open")
+            first = hubs.where("place = 1").select("grp", "hub")
+            members = _beyond_hubs(open_.join(first, "grp").select("grp", "node", "hub"), ordered, sets, threshold)
         members = stage(_several(members, components), "near_members")
     return components
 
 
-def _beyond_hubs(
-    groups: DataFrame, met: DataFrame, ordered: DataFrame, sets: DataFrame, threshold: int
-) -> DataFrame:
-    """New groups by the shingles that the hubs of the given ones lack."""
-    rest = stage(met.join(groups, "grp", "left_semi").select("grp", "node", "hub"), "near_rest")
+def _beyond_hubs(met: DataFrame, ordered: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """New groups of the nodes of ``met`` (grp, node, hub) by the shingles that the hub lacks."""
+    rest = stage(met, "near_rest")
     n, overlap = F.size("shingles"), F.size(F.array_intersect("shingles", "of_hub"))
     needed = F.ceil(n * threshold / 100)
     hub_sets = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub"))
