@@ -50,7 +50,7 @@ ROUNDS = 2
 MINIBATCH = 1 << 15
 RATE = 0.3
 # A block's text, about, and how many blocks a small table is cut into at least.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
 LEAST_BLOCKS = 64
 CHUNK = 1 << 12  # weights that one row of an averaging step holds
 END = b""

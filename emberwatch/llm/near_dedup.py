@@ -248,20 +248,22 @@ def verified_links(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFr
         else:
             open_ = stage(_several(others, components), "near_open")
             first = hubs.where("place = 1").select("grp", "hub")
-            members = _beyond_hubs(open_.join(first, "grp").select("grp", "node", "hub"), ordered, sets, threshold)
+            members = _beyond_hubs(open_.join(first, "grp").select("node", "hub"), ordered, sets, threshold)
         members = stage(_several(members, components), "near_members")
     return components
 
 
 def _beyond_hubs(met: DataFrame, ordered: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """New groups of the nodes of ``met`` (grp, node, hub) by the shingles that the hub lacks."""
-    rest = stage(met, "near_rest")
+    """New groups of the nodes of ``met`` (node, hub) by the shingles that the hub lacks.
+
+    Groups with the same first hub are dealt together.  A new group's hub comes after
+    the old one in the order of (size, node), so this ends.
+    """
     n, overlap = F.size("shingles"), F.size(F.array_intersect("shingles", "of_hub"))
     needed = F.ceil(n * threshold / 100)
     hub_sets = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub"))
     lacking = (
-        rest.select("node", "hub")
-        .distinct()
+        met.distinct()
         .join(ordered, "node")
         .join(sets.select("node", "shingles"), "node")
         .join(hub_sets, "hub")
@@ -275,9 +277,9 @@ def _beyond_hubs(met: DataFrame, ordered: DataFrame, sets: DataFrame, threshold:
         .select("node", "hub", F.slice("more", F.lit(1), F.col("first")).alias("more"))
     )
     return (
-        rest.join(stage(lacking, "near_lacking"), ["node", "hub"])
-        .select("grp", "node", F.explode("more").alias("shingle"))
-        .select(F.xxhash64("grp", "shingle").alias("grp"), "node")
+        stage(lacking, "near_lacking")
+        .select("hub", "node", F.explode("more").alias("shingle"))
+        .select(F.xxhash64("hub", "shingle").alias("grp"), "node")
     )
 
 
