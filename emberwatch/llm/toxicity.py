@@ -37,6 +37,8 @@ CHAR_ROWS, CHAR_WIDTH = 1 << 10, 6
 INPUT = WORD_WIDTH + CHAR_WIDTH
 HIDDEN, ATTEND = 8, 8
 EPOCHS, ROUNDS, RATE, BATCH = 4, 3, 0.01, 128
+# A small sample takes smaller batches and more epochs, up to this many steps in a round.
+LEAST_STEPS, LEAST_BATCH = 160, 16
 HELD_BACK = 4
 WINDOWS_AT_ONCE = 4096
 CLOSED = 30.0  # update gate of padding: the state stays as it is
@@ -304,16 +306,18 @@ def fit(texts: list[bytes], labels: list[int], share: float, seed: int = 5) -> M
         score = top if turn == 0 else logits_of(p, words, windows)
         chosen = _picked(score, owner, toxic, random)
         chosen = chosen[~held[owner[chosen]]]
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - (turn * EPOCHS + epoch) / (ROUNDS * EPOCHS + 1))
+        size = min(BATCH, max(LEAST_BATCH, len(chosen) // 16))
+        epochs = max(EPOCHS, -(-LEAST_STEPS * size // max(1, len(chosen))))
+        for epoch in range(epochs):
+            rate = RATE * (1 - (turn + epoch / epochs) / (ROUNDS + 0.1))
             chosen = random.permutation(chosen)
-            for i in range(0, len(chosen), BATCH):
-                batch = windows[chosen[i : i + BATCH]]
+            for i in range(0, len(chosen), size):
+                batch = windows[chosen[i : i + size]]
                 used, at = np.unique(batch, return_inverse=True)
                 if used[0] != 0:
                     used, at = np.append(0, used), at + 1
                 some = _subset(all_hashed, used[1:] - 1)
-                label = toxic[owner[chosen[i : i + BATCH]]]
+                label = toxic[owner[chosen[i : i + size]]]
                 adam.step(p, gradients(p, some, at.reshape(batch.shape), label), rate)
     logit = np.full(len(texts), -np.inf)
     np.maximum.at(logit, owner, logits_of(p, words, windows))
