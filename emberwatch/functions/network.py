@@ -87,6 +87,14 @@ def trust_entries(config: Mapping | None) -> list[str]:
     return sorted(found)
 
 
+def _network(entry: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network | None:
+    """The network of an entry; a host name, say, is none and contains no address."""
+    try:
+        return ipaddress.ip_network(entry, strict=False)
+    except ValueError:
+        return None
+
+
 def is_trusted_ip(column: Column, config: Mapping | None, match: str = "prefix") -> Column:
     """Trust test for one address.
 
@@ -103,7 +111,7 @@ def is_trusted_ip(column: Column, config: Mapping | None, match: str = "prefix")
             prefixes, lambda prefix: F.startswith(column, prefix)
         )
     elif match == "cidr":
-        networks = [ipaddress.ip_network(entry, strict=False) for entry in entries]
+        networks = [net for net in map(_network, entries) if net is not None]
         ranges = [
             F.struct(
                 F.lit(int(net.network_address)).cast("bigint").alias("lo"),

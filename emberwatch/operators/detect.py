@@ -317,7 +317,9 @@ def indicators() -> list[tuple[str, Column, Column, Column]]:
          text("vulnerability scanner: %s", F.col("scanner"))),
         ("FP4", F.col("clockwork"), F.lit(-30), F.lit("evenly spaced, likely scheduled")),
         ("FP5", n <= 2, F.lit(-15), F.lit("fewer than three events")),
-        ("FP6", F.col("n_maintenance") > 0, (-20 * F.col("n_maintenance")).cast("int"),
+        # Far below any score, so that the bound never shows and the delta stays an INT.
+        ("FP6", F.col("n_maintenance") > 0,
+         F.greatest(F.lit(-2_000_000_000), -20 * F.col("n_maintenance")).cast("int"),
          text("%d events of maintenance processes", F.col("n_maintenance"))),
         ("FP7", F.col("routine_word").isNotNull(), F.lit(-20),
          text("rule description: %s", F.col("routine_word"))),

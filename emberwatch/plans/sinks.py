@@ -29,11 +29,22 @@ def to_contract(events: DataFrame) -> DataFrame:
 
 
 def write_events(events: DataFrame, path: str, fmt: str = "json") -> None:
-    """Normalized events as JSON lines or parquet."""
+    """Normalized events as JSON lines or parquet.
+
+    In JSON every line has all fields of the contract; ``extra`` is an object of the
+    members that are there, and ``raw_event`` is one too where the record was JSON.
+    """
     contract = to_contract(events)
+    writer = contract.write
     if fmt == "json":
-        contract = contract.withColumn("extra", F.to_json("extra"))
-    contract.write.format(fmt).save(path)
+        raw = F.col("raw_event")
+        writer = contract.withColumns(
+            {
+                "extra": F.parse_json(F.to_json("extra")),
+                "raw_event": F.coalesce(F.try_parse_json(raw), raw.cast("variant")),
+            }
+        ).write.option("ignoreNullFields", "false")
+    writer.format(fmt).save(path)
 
 
 def report_tables(

@@ -29,9 +29,9 @@ def staging_root(spark: SparkSession) -> str:
             "it is unset on this cluster"
         )
     # Single-JVM runs (tests, laptops) have one machine, so a local folder is shared.
-    return _LOCAL_FALLBACK.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="emberwatch-")
-    )
+    if context.applicationId not in _LOCAL_FALLBACK:
+        _LOCAL_FALLBACK[context.applicationId] = tempfile.mkdtemp(prefix="emberwatch-")
+    return _LOCAL_FALLBACK[context.applicationId]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -141,3 +141,20 @@ def test_profile(spark, tmp_path, sample, expected):
     }
     distinct = {r["column"]: r["n_distinct"] for r in profile.profile_values(cells, columns, sample).collect()}
     assert distinct["odd"] == 4
+
+
+def test_trust_entries_that_are_no_network(spark):
+    from emberwatch.functions.network import is_trusted_ip
+
+    trust = {"trusted_hosts": {"ips": ["printer-7"], "subnets": ["172.19.4.0/22"]}}
+    rows = spark.createDataFrame([("172.19.6.9",), ("172.19.9.9",)], "ip string")
+    found = rows.select(is_trusted_ip(F.col("ip"), trust, match="cidr")).collect()
+    assert [r[0] for r in found] == [True, False]
+
+
+def test_many_maintenance_events_keep_an_int_delta(spark):
+    from emberwatch.operators.detect import indicators
+
+    delta = next(d for code, _, d, _ in indicators() if code == "FP6")
+    row = spark.createDataFrame([(200_000_000,)], "n_maintenance long").select(delta.alias("d")).first()
+    assert row["d"] == -2_000_000_000
