@@ -50,7 +50,9 @@ THRESHOLD = 80  # per cent
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 # Nodes of a group that all its nodes are compared with at a time.
-HUBS = 8
+HUBS = 64
+# 64-bit words of a set's parity map.
+MAP_WORDS = 8
 
 
 # --- sets and sketches --------------------------------------------------------------------
@@ -141,8 +143,16 @@ def _sets(width: int):
 # --- verification -------------------------------------------------------------------------
 
 
-def _linked(overlap: Column, a: Column, b: Column, threshold: int) -> Column:
-    return F.lit(100) * overlap >= F.lit(threshold) * (a + b - overlap)
+def _measured(sets: DataFrame) -> DataFrame:
+    """node, n (size of the set), parity (a map with a bit flipped for each shingle)."""
+    words = [
+        F.expr(
+            f"aggregate(shingles, 0L, (word, s) -> word ^ IF((shiftright(s, 6) & {MAP_WORDS - 1}) = {i},"
+            " shiftleft(1L, CAST(s & 63 AS INT)), 0L))"
+        )
+        for i in range(MAP_WORDS)
+    ]
+    return sets.select("node", F.size("shingles").alias("n"), F.array(*words).alias("parity"))
 
 
 def _several(members: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -180,18 +190,35 @@ def _hubs(members: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (node, hub) that are linked, once each, as (a, b)."""
-    once = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"))
-    hub_sets = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub"))
-    both = once.distinct().join(sets.select("node", "shingles"), "node").join(hub_sets, "hub")
-    overlap, a, b = F.col("overlap"), F.size("shingles"), F.size("of_hub")
-    # A smaller set may be too small for the overlap, whatever it holds.
-    possible = both.where(F.least(a, b) * 100 >= F.greatest(a, b) * threshold)
+def _compare(pairs: DataFrame, measured: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (node, hub) that are linked, once each, as (a, b).
+
+    Two sets differ in at least as many shingles as their parity maps differ in bits,
+    so most pairs are told apart without moving a set.
+    """
+    once = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    m, n = F.col("m"), F.col("n")
+    of_a = measured.select(F.col("node").alias("a"), n.alias("m"), F.col("parity").alias("map_a"))
+    of_b = measured.select(F.col("node").alias("b"), "n", F.col("parity").alias("map_b"))
+    differ = F.lit(0)
+    for i in range(MAP_WORDS):
+        differ = differ + F.bit_count(F.col("map_a")[i].bitwiseXOR(F.col("map_b")[i]))
+    possible = (
+        once.distinct()
+        .join(of_a, "a")
+        .join(of_b, "b")
+        .where(F.least(m, n) * 100 >= F.greatest(m, n) * threshold)
+        .where(differ * (100 + threshold) <= (m + n) * (100 - threshold))
+        .select("a", "b", "m", "n")
+    )
+    overlap = F.size(F.array_intersect("of_a", "of_b"))
     return (
-        possible.withColumn("overlap", F.size(F.array_intersect("shingles", "of_hub")))
-        .where(F.lit(100) * overlap >= F.lit(threshold) * (a + b - overlap))
-        .select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        stage(possible, "near_possible")
+        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+        .withColumn("overlap", overlap)
+        .where(F.lit(100) * F.col("overlap") >= F.lit(threshold) * (m + n - F.col("overlap")))
+        .select(F.col("b").alias("a"), F.col("a").alias("b"))
     )
 
 
@@ -222,7 +249,8 @@ def verified_links(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFr
 
     ``groups`` has grp, node; ``sets`` has node, shingles.
     """
-    sizes = stage(sets.select("node", F.size("shingles").alias("n")), "near_sizes")
+    measured = stage(_measured(sets), "near_sizes")
+    sizes = measured.select("node", "n")
     links, components, ordered = None, None, None
     members = stage(_several(groups, None), "near_members")
     while not members.isEmpty():
@@ -232,7 +260,7 @@ def verified_links(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFr
             .where("node != hub and component != hub_component")
             .select("node", "hub")
         )
-        linked = stage(_compare(pairs, sets, threshold), "near_linked")
+        linked = stage(_compare(pairs, measured, sets, threshold), "near_linked")
         if not linked.isEmpty():
             links = linked if links is None else links.unionByName(linked)
             components = stage(connected(links), "near_components")
