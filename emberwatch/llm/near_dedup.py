@@ -13,17 +13,18 @@ Verification is exact, on the full sets, and never compares all pairs of a group
 
 * Documents with equal sets are one node; nodes that share a band are a group.
 * In a group, the ``HUBS`` nodes with the smallest sets are the hubs, and every node is
-  compared with each of them.  Groups whose nodes are in one component then are done.
+  compared with each of them, with the most similar one first.  A hub is done with its
+  group then, and a group whose other nodes are in one component is done.
 * The nodes of the others are grouped anew by shingles, so that linked nodes still meet:
   in the order of frequency among these nodes, two sets at the threshold share one of
   the first |set| - ceil(0.8 |set|) + 1 shingles.  Shingles of one node only come first
   and make no group, so most nodes drop out here.
-* Groups that still have several components go on.  Lemma: if x is not linked with a
-  hub but with some y of the group that is no hub, then x and y share a shingle that
-  this hub lacks - else their overlap is part of the hub's with x, which is too small
-  for a set at least as large as the hub's.  So such a group is dealt anew by the
-  shingles that its first hub lacks, as far as the same order needs them, without its
-  hubs; groups shrink until none is left.  Groups with the same nodes are one.
+* In these groups, hubs are the nodes beyond the group's largest component.  Rounds go
+  on, each with twice as many hubs up to ``MOST_HUBS``, until no group has nodes of
+  several components; every round takes its hubs out of their groups, so this ends.
+  Pairs in one component are never compared.  Groups with the same nodes are one.
+* Size and parity map rule out a pair inside the join that would make it; only pairs
+  that may be linked become rows.
 
 Cases: null or empty text, and text without words, has an empty set and is its own
 component; fewer words than a shingle are one shingle; equal rows are one class; a row
@@ -51,6 +52,9 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 # Nodes of a group that all its nodes are compared with at a time.
 HUBS = 64
+# The same in later rounds, at most.
+MOST_HUBS = 1_000
+PAIR = ["node", "hub", "m", "n", "differ"]
 # 64-bit words of a set's parity map.
 MAP_WORDS = 8
 
@@ -180,48 +184,107 @@ def _several(members: DataFrame, components: DataFrame | None) -> DataFrame:
     return found.join(stage(mixed, "near_groups"), "grp", "left_semi")
 
 
-def _hubs(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """grp, hub, hub_component, place (from 1, smallest set first) of each group's hubs."""
+def _hubs(members: DataFrame, measured: DataFrame, count: int, first: bool) -> DataFrame:
+    """grp, hub, hub_component, n, hub_map of each group's hubs.
+
+    At first these are the smallest sets, later the smallest ones beyond the group's
+    largest component, so that few nodes outside a large component are done at once.
+    """
+    able = members
+    if not first:
+        tally = members.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("size"))
+        main = tally.groupBy("grp").agg(
+            F.max_by("component", F.struct("size", "component")).alias("main")
+        )
+        able = members.join(main, "grp").where("component != main").drop("main")
     by_size = Window.partitionBy("grp").orderBy("n", "node")
-    ranked = members.join(sizes, "node").withColumn("place", F.row_number().over(by_size))
-    hubs = ranked.where(F.col("place") <= HUBS)
-    return hubs.select(
-        "grp", F.col("node").alias("hub"), F.col("component").alias("hub_component"), "place"
+    ranked = able.join(measured, "node").withColumn("place", F.row_number().over(by_size))
+    return ranked.where(F.col("place") <= count).select(
+        "grp",
+        F.col("node").alias("hub"),
+        F.col("component").alias("hub_component"),
+        "n",
+        F.col("parity").alias("hub_map"),
     )
 
 
-def _compare(pairs: DataFrame, measured: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (node, hub) that are linked, once each, as (a, b).
+def _possible(members: DataFrame, hubs: DataFrame, measured: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of a node and a hub of its group that may be linked: node, hub, m, n, differ.
 
     Two sets differ in at least as many shingles as their parity maps differ in bits,
-    so most pairs are told apart without moving a set.
+    so most pairs are told apart inside the join, and without moving a set.
     """
-    once = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    nodes = members.join(measured.select("node", F.col("n").alias("m"), "parity"), "node")
     m, n = F.col("m"), F.col("n")
-    of_a = measured.select(F.col("node").alias("a"), n.alias("m"), F.col("parity").alias("map_a"))
-    of_b = measured.select(F.col("node").alias("b"), "n", F.col("parity").alias("map_b"))
     differ = F.lit(0)
     for i in range(MAP_WORDS):
-        differ = differ + F.bit_count(F.col("map_a")[i].bitwiseXOR(F.col("map_b")[i]))
-    possible = (
-        once.distinct()
-        .join(of_a, "a")
-        .join(of_b, "b")
+        differ = differ + F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("hub_map")[i]))
+    return (
+        nodes.join(hubs, "grp")
+        .where("node != hub and component != hub_component")
         .where(F.least(m, n) * 100 >= F.greatest(m, n) * threshold)
         .where(differ * (100 + threshold) <= (m + n) * (100 - threshold))
-        .select("a", "b", "m", "n")
+        .select("node", "hub", "m", "n", differ.alias("differ"))
+        .distinct()
     )
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Those of the pairs (node, hub, m, n) that are linked, as (a, b), on the full sets."""
+    once = pairs.select(
+        F.least("node", "hub").alias("a"),
+        F.greatest("node", "hub").alias("b"),
+        (F.col("m") + F.col("n")).alias("both"),
+    ).distinct()
     overlap = F.size(F.array_intersect("of_a", "of_b"))
     return (
-        stage(possible, "near_possible")
-        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+        once.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
         .withColumn("overlap", overlap)
-        .where(F.lit(100) * F.col("overlap") >= F.lit(threshold) * (m + n - F.col("overlap")))
-        .select(F.col("b").alias("a"), F.col("a").alias("b"))
+        .where(F.lit(100) * F.col("overlap") >= F.lit(threshold) * (F.col("both") - F.col("overlap")))
+        .select("a", "b")
     )
 
 
+def _between(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components, with low and high of the two."""
+    of_node = components.select("node", F.col("component").alias("node_label"))
+    of_hub = components.select(F.col("node").alias("hub"), F.col("component").alias("hub_label"))
+    labels = F.coalesce("node_label", "node"), F.coalesce("hub_label", "hub")
+    found = pairs.join(of_node, "node", "left").join(of_hub, "hub", "left")
+    return found.select(*PAIR, F.least(*labels).alias("low"), F.greatest(*labels).alias("high")).where("low != high")
+
+
+def _nearest_hub(pairs: DataFrame) -> DataFrame:
+    """One pair of each node."""
+    closest = F.min_by(F.struct("hub", "m", "n"), F.struct("differ", "hub")).alias("best")
+    return pairs.groupBy("node").agg(closest).select("node", "best.*")
+
+
+def _nearest_components(pairs: DataFrame) -> DataFrame:
+    """One pair of each two components."""
+    closest = F.min_by(F.struct("node", "hub", "m", "n"), F.struct("differ", "node", "hub")).alias("best")
+    return pairs.groupBy("low", "high").agg(closest).select("best.*")
+
+
+def _merged(links: DataFrame, components: DataFrame | None) -> DataFrame:
+    """(node, component) with the links (a, b) added; only components are walked over."""
+    if components is None:
+        return stage(connected(links), "near_components")
+    of_a = components.select(F.col("node").alias("a"), F.col("component").alias("label_a"))
+    of_b = components.select(F.col("node").alias("b"), F.col("component").alias("label_b"))
+    named = links.join(of_a, "a", "left").join(of_b, "b", "left")
+    moved = connected(
+        named.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    )
+    target = moved.select(F.col("node").alias("component"), F.col("component").alias("target"))
+    known = components.join(target, "component", "left").select(
+        "node", F.coalesce("target", "component").alias("component")
+    )
+    added = moved.join(components, "node", "left_anti")
+    return stage(known.unionByName(added), "near_components")
+
+
 def _ordered(sets: DataFrame, threshold: int) -> DataFrame:
     """node, shared (shingles of several nodes, rare ones first), first (how many of them to use).
 
@@ -250,67 +313,39 @@ def verified_links(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFr
     ``groups`` has grp, node; ``sets`` has node, shingles.
     """
     measured = stage(_measured(sets), "near_sizes")
-    sizes = measured.select("node", "n")
-    links, components, ordered = None, None, None
+    components, first, count = None, True, HUBS
     members = stage(_several(groups, None), "near_members")
     while not members.isEmpty():
-        hubs = stage(_hubs(members, sizes), "near_hubs")
-        pairs = (
-            members.join(hubs, "grp")
-            .where("node != hub and component != hub_component")
-            .select("node", "hub")
-        )
-        linked = stage(_compare(pairs, measured, sets, threshold), "near_linked")
-        if not linked.isEmpty():
-            links = linked if links is None else links.unionByName(linked)
-            components = stage(connected(links), "near_components")
-        others = members.drop("component").join(
-            hubs.select("grp", F.col("hub").alias("node")), ["grp", "node"], "left_anti"
-        )
-        if ordered is None:
-            open_ = stage(_several(members.drop("component"), components), "near_open")
-            ordered = stage(_ordered(sets.join(open_.select("node").distinct(), "node"), threshold), "near_ordered")
-            members = ordered.select(
-                F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("grp"), "node"
+        hubs = stage(_hubs(members, measured, count, first), "near_hubs")
+        pairs = stage(_possible(members, hubs, measured, threshold), "near_possible")
+        if first:
+            # A link with the most similar hub puts most nodes in their component, and one
+            # link between two components is as good as all.
+            for closest in (_nearest_hub, _nearest_components):
+                links = stage(_linked(closest(pairs), sets, threshold), "near_linked")
+                if links.isEmpty():
+                    break
+                components = _merged(links, components)
+                pairs = _between(pairs, components)
+        links = stage(_linked(pairs, sets, threshold), "near_linked")
+        if not links.isEmpty():
+            components = _merged(links, components)
+        done = hubs.select("grp", F.col("hub").alias("node"))
+        members = members.drop("component").join(done, ["grp", "node"], "left_anti")
+        if first:
+            open_ = stage(_several(members, components).select("node").distinct(), "near_open")
+            ordered = _ordered(sets.join(open_, "node"), threshold)
+            members = stage(
+                ordered.select(F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("grp"), "node"),
+                "near_ordered",
             )
         else:
-            open_ = stage(_several(others, components), "near_open")
-            first = hubs.where("place = 1").select("grp", "hub")
-            members = _beyond_hubs(open_.join(first, "grp").select("node", "hub"), ordered, sets, threshold)
+            count = min(2 * count, MOST_HUBS)
         members = stage(_several(members, components), "near_members")
+        first = False
     return components
 
 
-def _beyond_hubs(met: DataFrame, ordered: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """New groups of the nodes of ``met`` (node, hub) by the shingles that the hub lacks.
-
-    Groups with the same first hub are dealt together.  A new group's hub comes after
-    the old one in the order of (size, node), so this ends.
-    """
-    n, overlap = F.size("shingles"), F.size(F.array_intersect("shingles", "of_hub"))
-    needed = F.ceil(n * threshold / 100)
-    hub_sets = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub"))
-    lacking = (
-        met.distinct()
-        .join(ordered, "node")
-        .join(sets.select("node", "shingles"), "node")
-        .join(hub_sets, "hub")
-        .select(
-            "node",
-            "hub",
-            F.array_except("shared", "of_hub").alias("more"),
-            # Where the hub's part may be the whole overlap needed, one shingle beyond it is.
-            F.when(overlap >= needed, n).otherwise(F.col("first")).alias("first"),
-        )
-        .select("node", "hub", F.slice("more", F.lit(1), F.col("first")).alias("more"))
-    )
-    return (
-        stage(lacking, "near_lacking")
-        .select("hub", "node", F.explode("more").alias("shingle"))
-        .select(F.xxhash64("hub", "shingle").alias("grp"), "node")
-    )
-
-
 # --- the operator -------------------------------------------------------------------------
 
 
