@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberwatch.operators.normalize import split_normalized
+from emberwatch.operators.ordering import number_rows
 from emberwatch.schema import EVENT_FIELDS, LINEAGE
 from emberwatch.sources.csv_export import csv_columns, read_csv_export
 from emberwatch.sources.directory import list_files, route_files
@@ -139,10 +140,6 @@ class Ingest:
     stats: DataFrame
 
 
-# One block row takes about 100 bytes, so this stays near 100 MB.
-BROADCAST_BLOCKS = 1_000_000
-
-
 def number_events(events: DataFrame) -> DataFrame:
     """Add ``event_id``: unique, ascending in input order (file, block, line).
 
@@ -152,21 +149,16 @@ def number_events(events: DataFrame) -> DataFrame:
     """
     row_bits = 33
     block = ["file_name", "file_path", "block_start"]
+    order = [F.col(name) for name in block]
     blocks = stage(
-        events.groupBy(*block)
-        .count()
-        .withColumn("block_no", F.row_number().over(Window.orderBy(*block)).cast("bigint"))
-        .drop("count"),
-        "blocks",
+        number_rows(events.select(*block).distinct(), order, "block_no", "block_order"), "blocks"
     )
-    few = blocks.count() <= BROADCAST_BLOCKS
     row_in_task = F.col("row_id").bitwiseAND((1 << row_bits) - 1)
-    numbered = events.join(F.broadcast(blocks) if few else blocks, block).select(
+    return events.join(blocks, block).select(
         (F.shiftleft("block_no", row_bits) + row_in_task).alias("event_id"),
         *LINEAGE,
         *EVENT_FIELDS,
     )
-    return numbered if few else stage(numbered, "events")
 
 
 def ingest(scans: Sequence[Scan]) -> Ingest:
