@@ -326,7 +326,7 @@ def verified_links(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFr
                 if links.isEmpty():
                     break
                 components = _merged(links, components)
-                pairs = _between(pairs, components)
+                pairs = stage(_between(pairs, components), "near_between")
         links = stage(_linked(pairs, sets, threshold), "near_linked")
         if not links.isEmpty():
             components = _merged(links, components)
