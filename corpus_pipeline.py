@@ -5,7 +5,8 @@ shared folder and read again by the next one.
 
 1. language: documents whose language cannot be told with confidence go.  Labels of the
    table are learned from; the decision uses the text alone.
-2. lines: lines within one word edit of an earlier line are cut.
+2. lines: lines within one word edit of an earlier line are cut; of fewer than eight
+   words, those equal to an earlier line.
 3. near copies: of each group linked by 5-word shingles at a similarity of 0.8 or more
    the document with the smallest id stays.
 4. benchmark: spans of benchmark windows are cut.
@@ -44,7 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(line_dedup.line_dedup(docs), docs.columns)
+    return _counted(line_dedup.line_dedup(docs, every_line=True), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

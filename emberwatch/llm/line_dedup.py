@@ -2,11 +2,17 @@
 
 A line is a sequence of words.  A line of at least ``MIN_WORDS`` words is dropped when a
 line before it, in the order of (doc_id, line number), is within one word edit: equal
-words, one word replaced, one inserted or one deleted.  Shorter lines always stay.
+words, one word replaced, one inserted or one deleted.
 
-1. Every long line gets a 128-bit key of its words; per key the first place stays, the
-   later places are dropped.
-2. Two lines within one edit share the first or the last ``p`` words, where ``p`` is the
+With ``every_line``, as the query and the pipeline call it, every non-blank line takes
+part: a shorter line is dropped when a line before it has equal words, as one changed
+word of few makes a different line; and each character of a script written without
+spaces (``SPACELESS``) is a word, so lines of such a script are long lines too.  Without
+it shorter lines always stay and words are what stands between white space.
+
+1. Every line that takes part gets a 128-bit key of its words; per key the first place
+   stays, the later places are dropped.
+2. Two long lines within one edit share the first or the last ``p`` words, where ``p`` is the
    largest power of two up to half the line.  Only lines that share such an end with a
    different line can have a partner (an exact test), and only these go on.
 3. They emit the variants within the edit bound as hashed keys: the line without word
@@ -38,24 +44,34 @@ MIN_WORDS = 8
 SENT_LINES = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER_SPACE = "\t\x0b\f\r"
+# Thai, Lao, Tibetan, Myanmar; Khmer; kana and Han: as ranges, since Java looks up a
+# character's script several times as slowly.
+SPACELESS = (
+    r"[\u0E00-\u109F\u1780-\u17FF\u19E0-\u19FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF"
+    r"\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{1B000}-\x{1B16F}\x{20000}-\x{3FFFF}]"
+)
 
 
-def words_of(line: Column) -> Column:
+def words_of(line: Column, every_line: bool = False) -> Column:
     plain = F.translate(line, UPPER + OTHER_SPACE, LOWER + " " * len(OTHER_SPACE))
+    if every_line:
+        # Only lines that are not all ASCII can have such characters.
+        apart = F.regexp_replace(plain, SPACELESS, " $0 ")
+        plain = F.when(F.octet_length(plain) > F.char_length(plain), apart).otherwise(plain)
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _long_lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, every_line: bool) -> DataFrame:
     """doc_id, line_no, words, n of each line that takes part."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # A filter does not move below the row number, so the words are computed once.
     split = lines.select(
         "doc_id",
         "line_no",
-        words_of(F.col("line")).alias("words"),
+        words_of(F.col("line"), every_line).alias("words"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return split.where(F.size("words") >= MIN_WORDS).select(
+    return split.where(F.size("words") >= (1 if every_line else MIN_WORDS)).select(
         "doc_id", "line_no", "words", F.size("words").alias("n")
     )
 
@@ -87,7 +103,9 @@ def _ends() -> Column:
         first, last = F.slice(words, F.lit(1), size), F.slice(words, -size, size)
         return F.array(F.xxhash64(F.lit("first"), first), F.xxhash64(F.lit("last"), last))
 
-    return F.when(p == q, both(p)).otherwise(F.concat(both(p), both(q)))
+    ends = F.when(p == q, both(p)).otherwise(F.concat(both(p), both(q)))
+    # Shorter lines meet by their keys alone.
+    return F.when(n >= MIN_WORDS, ends).otherwise(F.array().cast("array<bigint>"))
 
 
 def _with_partner(lines: DataFrame) -> DataFrame:
@@ -109,7 +127,7 @@ def _with_partner(lines: DataFrame) -> DataFrame:
     )
 
 
-def _fetched(docs: DataFrame, partners: DataFrame) -> DataFrame:
+def _fetched(docs: DataFrame, partners: DataFrame, every_line: bool) -> DataFrame:
     """The words of the partner lines, from the documents that have them first."""
     wanted = partners.groupBy(F.col("place.doc_id").alias("wanted_id")).agg(
         F.collect_list(F.struct("place.line_no", "k1", "k2", "shared")).alias("lines")
@@ -119,7 +137,7 @@ def _fetched(docs: DataFrame, partners: DataFrame) -> DataFrame:
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
     return (
         texts.select("doc_id", F.split("text", "\n").alias("all"), F.explode("lines").alias("x"))
-        .select("doc_id", "x.*", words_of(F.get("all", F.col("x.line_no"))).alias("words"))
+        .select("doc_id", "x.*", words_of(F.get("all", F.col("x.line_no")), every_line).alias("words"))
         .where(F.col("k1") == F.xxhash64("words"))
         .select("k1", "k2", _place().alias("place"), "shared", "words", F.size("words").alias("n"))
         .dropDuplicates(["k1", "k2"])
@@ -205,14 +223,16 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (gap <= 1) & ((at == 0) | tail)
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
     """(doc_id, line_no) of every line to drop; ``docs`` has doc_id and text."""
     lines = stage(
-        _long_lines(docs).select("doc_id", "line_no", *_named(_keys(F.col("words"))), _ends().alias("ends")),
+        _lines(docs, every_line).select(
+            "doc_id", "line_no", *_named(_keys(F.col("words"))), _ends().alias("ends")
+        ),
         "line_keys",
     )
     partners = stage(_with_partner(lines), "line_partners")
-    candidates = stage(_fetched(docs, partners), "line_candidates")
+    candidates = stage(_fetched(docs, partners, every_line), "line_candidates")
     pairs = stage(_candidate_pairs(_variants(candidates)), "line_pairs")
     own = candidates.select("line", "k1", "k2", "words")
     earlier = candidates.select(F.col("line").alias("before"), F.col("words").alias("other"))
@@ -236,11 +256,13 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone.where(F.col("near") | (_place() > F.col("place"))).select("doc_id", "line_no").distinct()
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every_line: bool = False
+) -> DataFrame:
     """All columns of ``docs`` with ``text`` cleaned, plus n_lines and n_dropped."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     per_doc = (
-        stage(dropped_lines(source), "line_dropped")
+        stage(dropped_lines(source, every_line), "line_dropped")
         .groupBy(F.col("doc_id").alias("__gone_id"))
         .agg(F.collect_set("line_no").alias("__gone"))
     )

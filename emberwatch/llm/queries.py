@@ -44,7 +44,7 @@ def op1_warc_merge(spark, sf_dir):
 @query
 def op2_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.line_dedup(docs)
+    return line_dedup.line_dedup(docs, every_line=True)
 
 
 @query

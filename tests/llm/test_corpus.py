@@ -127,6 +127,35 @@ def test_line_dedup_equals_all_pairs(spark, monkeypatch):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_reaches_every_line(spark):
+    rng = random.Random(12)
+    short = ["les.", "LES.", "released under the MIT license.", "one two three four five six seven", "}", "日本", "é"]
+    long = ["a b c d e f g h", "a b c d e f g", "日本語の文は空白なしで書かれる", "日本語の文は空白なしに書かれる", "ภาษาไทยเขียนติดกัน"]
+    texts = ["\n".join(rng.choice([*short, *long, "", " \t"]) for _ in range(rng.randrange(6))) for _ in range(20)]
+    texts += [None, "released under the BSD license.", "one two three four five six eight", "ภาษาไทยเขียนติดกับ"]
+    units = re.compile("[\u3040-\u30ff\u4e00-\u9fff\u0e01-\u0e4d]|[^ \t\u3040-\u30ff\u4e00-\u9fff\u0e01-\u0e4d]+")
+    seen, want = [], []
+    for t in texts:
+        kept = []
+        for line in (t or "").split("\n"):
+            w = units.findall(lower(line))
+            gone = w and any(
+                w == x or min(len(w), len(x)) >= 8 and (
+                    len(w) == len(x) and sum(a != b for a, b in zip(w, x, strict=True)) == 1
+                    or abs(len(w) - len(x)) == 1
+                    and any(max(w, x, key=len)[:i] + max(w, x, key=len)[i + 1 :] == min(w, x, key=len)
+                            for i in range(max(len(w), len(x))))
+                )
+                for x in seen
+            )
+            seen.append(w)
+            kept += [] if gone else [line]
+        want.append(None if t is None else "\n".join(kept))
+    query = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs_of(spark, texts), every_line=True).collect()}
+    assert [query[i] for i in range(len(texts))] == want
+    assert want[-3:-1] == texts[-3:-1]  # one changed word of few is another line
+
+
 # --- near copies --------------------------------------------------------------------------
 
 
