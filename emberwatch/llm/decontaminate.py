@@ -23,14 +23,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberwatch.llm.common import plain, plain_words, slices, utf8
+from emberwatch.storage import stage
 
 WINDOW = 10
 BLOCK_BYTES = 4_000_000
@@ -326,8 +329,12 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"\n".join(out)
 
 
+def _texts_cut(texts: list[bytes], null: list[bool]) -> pa.Array:
+    return pa.array([None if n else t.decode() for n, t in zip(null, texts, strict=True)], pa.string())
+
+
 def _cut(block: Block, column: int):
-    """Cuts what a block finds; words that a cut brings together are searched again."""
+    """Cuts what the only block finds; words that a cut brings together are searched again."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -337,23 +344,52 @@ def _cut(block: Block, column: int):
                     texts[i] = cut_words(texts[i], spans)
                     spans = search_shard(block, [texts[i]])[0][1]
             columns = [batch.column(i) for i in range(batch.num_columns)]
-            null = columns[column].is_null().to_pylist()
-            columns[column] = pa.array(
-                [None if n else t.decode() for n, t in zip(null, texts, strict=True)], pa.string()
-            )
+            columns[column] = _texts_cut(texts, columns[column].is_null().to_pylist())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return task
 
 
+def _cut_found(column: int, own: int):
+    """Cuts the merged spans of all blocks once; ``__changed`` tells which rows had any."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            begins, ends = (batch.column(names.index(f"__{x}")).to_pylist() for x in ("begins", "ends"))
+            texts = [
+                cut_words(t, list(zip(a, b, strict=True))) if a else t
+                for t, a, b in zip(utf8(batch.column(column)), begins, ends, strict=True)
+            ]
+            columns = [batch.column(i) for i in range(own)]
+            columns[column] = _texts_cut(texts, columns[column].is_null().to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array([bool(a) for a in begins], pa.bool_())], [*names[:own], "__changed"]
+            )
+
+    return task
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """``docs`` with the spans of benchmark windows cut from ``text``; other documents as they were.
 
-    With several blocks each is searched until it finds nothing more, one after the other.
+    All blocks are searched in the same text and their spans cut together; the documents
+    that had any are searched again for all blocks, until nothing is found.  With one
+    block a task does so on its own, with several each round is written.
     """
-    clean = docs
-    for block in blocks_of(benchmark, window, block_bytes):
-        clean = clean.mapInArrow(_cut(block, docs.columns.index("text")), docs.schema)
-    return clean
+    column, own = docs.columns.index("text"), len(docs.columns)
+    blocks = blocks_of(benchmark, window, block_bytes)
+    first = next(blocks)
+    if next(blocks, None) is None:
+        return docs.mapInArrow(_cut(first, column), docs.schema)
+    changed = T.StructType([*docs.schema.fields, T.StructField("__changed", T.BooleanType())])
+    todo, done = docs, []
+    while True:
+        found = find(todo.withColumn("__text", F.col("text")), benchmark, window, block_bytes)
+        cut = stage(found.mapInArrow(_cut_found(column, own), changed), "benchmark_cut")
+        done.append(cut.where("not __changed").select(docs.columns))
+        todo = cut.where("__changed").select(docs.columns)
+        if todo.isEmpty():
+            return reduce(DataFrame.unionAll, done)

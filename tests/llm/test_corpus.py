@@ -271,6 +271,27 @@ def test_contamination_equals_scan(spark):
     assert by_id[30] is None and all(by_id[i] == texts[i] for i in got if not got[i]["contaminated"])
 
 
+def test_decontaminate_blocks_cut_together(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    stem, outer = words("s", 12), words("o", 20).split()
+    items = [(str(k), f"{stem} {words(f'e{k}x', 5)}") for k in range(6)] + [("outer", " ".join(outer)), ("in", words("n", 15))]
+    texts = [f"before {stem} {words(f'e{k}x', 5)} after" for k in range(6)]
+    # Only once other items are gone do the words of one stand together.
+    texts += [" ".join([*outer[:7], x, *outer[7:14]]) for x in (items[-1][1], items[0][1], items[1][1])]
+    texts += [f"{words('n', 7)} {' '.join(outer)} {' '.join(f'n{i}' for i in range(7, 15))}", "clean text", None, ""]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    docs = docs_of(spark, texts)
+    assert len(list(decontaminate.blocks_of(benchmark, decontaminate.WINDOW, 60))) > 4
+    one, several = (
+        {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, benchmark, block_bytes=n).collect()}
+        for n in (decontaminate.BLOCK_BYTES, 60)
+    )
+    assert several == one
+    assert [(one[i] or "").split() for i in range(len(texts))] == [
+        *[["before", "after"]] * 6, *[[]] * 4, ["clean", "text"], [], []
+    ]
+
+
 def test_suffix_array():
     rng = np.random.default_rng(5)
     for n in (1, 2, 50, 200):
