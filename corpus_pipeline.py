@@ -8,7 +8,7 @@ shared folder and read again by the next one.
 2. lines: lines within one word edit of an earlier line are cut; of fewer than eight
    words, those equal to an earlier line.
 3. near copies: of each group linked by 5-word shingles at a similarity of 0.8 or more
-   the document with the smallest id stays.
+   one row stays, that with the smallest id (null is last); ids may repeat or be null.
 4. benchmark: spans of benchmark windows are cut.
 5. packing: what is left becomes token sequences, one row per piece.
 
@@ -49,9 +49,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_dedup(docs, shingle=SHINGLE, threshold=THRESHOLD)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
+    # Rows are told apart by a key of their own, fixed once written.
+    keyed = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "corpus_rows")
+    found = near_dedup.near_dedup(keyed, doc_id="__row", shingle=SHINGLE, threshold=THRESHOLD)
+    members = found.select(F.col("doc_id").alias("__row"), "component_id").join(
+        keyed.select("__row", "doc_id"), "__row"
+    )
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__row")
+    first = members.groupBy("component_id").agg(F.min(place).alias("first"))
+    return keyed.join(first.select("first.__row"), "__row", "left_semi").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -416,6 +416,20 @@ def test_lm_base_scores_and_normalisation(spark):
     assert lm_score.log10_buckets(trainer.w, stream).sum() > before
 
 
+def test_pipeline_near_copies_with_odd_ids(spark):
+    import corpus_pipeline
+
+    body = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcde"}
+    near = body["a"].replace("a39", "z")
+    rows = [(1, body["a"]), (2, near), (2, body["b"])]  # one id on a near copy and on other text
+    rows += [(3, body["c"]), (3, body["c"]), (None, body["d"]), (None, body["d"])]  # equal rows
+    rows += [(None, body["e"]), (9, body["e"]), (None, near), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, SF_DIR).collect()]
+    want = [(1, body["a"]), (2, body["b"]), (3, body["c"]), (None, body["d"]), (9, body["e"]), (4, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
