@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.llm import (
+    collocations,
     decontaminate,
     exact_dedup,
+    hard_negatives,
     langid,
     line_dedup,
     lm_score,
     near_dedup,
+    neighbours,
     packing,
     secrets,
     toxicity,
@@ -95,3 +98,19 @@ def op5_toxicity(spark, sf_dir):
 @query
 def op10_lm_score(spark, sf_dir):
     return lm_score.lm_score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
