@@ -5,16 +5,16 @@ Level by level, a phrase of n words is counted only if it can reach ``min_count`
 
 1. Words are counted per language; those that reach the count are numbered, and texts are
    written once as arrays of these numbers (-1: another word, or the end of a piece).
-2. Safe positions of the level are hashed into bins; a bin's count is an upper bound of
-   that of each phrase in it.  Distinct phrases of bins that reach the count are the
-   candidates, less those with a part that was counted below it.
+2. Safe positions of the level are hashed into bins, twice; a bin's count is an upper
+   bound of that of each phrase in it.  Distinct phrases whose two bins reach the count
+   are the candidates, less those with a part that was counted below it.
 3. Candidates are cut into blocks of ``BLOCK`` phrases; each block becomes a double-array
    trie (``double_array``) and is broadcast.  All text positions advance in it at once,
    digit by digit; the cells in which phrases end are counted by ``bincount`` in each
    task, and the counts of all tasks are summed.
 
 Bounds: a broadcast holds one block of words (``WORDS``), one of candidates, or a bitmap of
-at most 2^``MOST_BITS`` bins; more data make more blocks, each with a pass over the number
+at most 2 * 2^``MOST_BITS`` bins; more data make more blocks, each with a pass over the number
 arrays.  Fuller bins let more candidates through and change no result.
 
 The score of a cut after k words is floor(10^6 a a / (l r)) in 38-digit decimals, exact for
@@ -177,12 +177,18 @@ def windows(numbers: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return value
 
 
-def _set(bitmap: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    return (bitmap[bins >> 3] >> (bins & 7).astype(np.uint8) & 1).astype(bool)
+def _bins(hashed: np.ndarray, bits: int) -> np.ndarray:
+    """Two bins for each hash, the second among the latter half of all bins."""
+    second = hashed & np.uint64((1 << bits) - 1) | np.uint64(1 << bits)
+    return np.stack([hashed >> np.uint64(64 - bits), second]).astype(np.int64)
 
 
-def _bins(hashed: np.ndarray, bits: int) -> np.ndarray:
-    return (hashed >> np.uint64(64 - bits)).astype(np.int64)
+def _set(bitmap: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Whether both bins are marked."""
+    good = np.ones(bins.shape[1], dtype=bool)
+    for half in bins:
+        good[good] = bitmap[half[good] >> 3] >> (half[good] & 7).astype(np.uint8) & 1
+    return good
 
 
 def safe_starts(numbers: np.ndarray, own: int, length: int, bits: int, shorter: np.ndarray | None) -> np.ndarray:
@@ -216,17 +222,23 @@ def _bin_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _add(counts: np.ndarray, bins: np.ndarray, added: np.ndarray, most: int) -> None:
-    """Counts that stop at ``most``; ``bins`` are distinct."""
-    counts[bins] = np.minimum(counts[bins].astype(np.int64) + added, most)
+    """Adds to counts that stop at ``most``."""
+    order = np.argsort(bins, kind="stable")
+    bins, added = bins[order], added[order]
+    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]][: len(bins)])
+    if len(first):
+        total = np.add.reduceat(added.astype(np.int64), first)
+        counts[bins[first]] = np.minimum(counts[bins[first]].astype(np.int64) + total, most)
 
 
 def _count_bins(length: int, bits: int, shorter: Broadcast | None, most: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.uint8)
+        counts = np.zeros(2 << bits, dtype=np.uint8)
         for numbers, own in _arrays(batches):
             starts = safe_starts(numbers, own, length, bits, shorter and shorter.value)
-            bins, added = np.unique(_bins(windows(numbers, starts, length), bits), return_counts=True)
-            _add(counts, bins, added, most)
+            phrases, added = np.unique(windows(numbers, starts, length), return_counts=True)
+            for half in _bins(phrases, bits):
+                _add(counts, half, added, most)
         yield from _bin_rows(counts)
 
     return task
@@ -251,9 +263,9 @@ def _sum_bins(most: int):
 
 
 def _bitmap(rows: DataFrame, bits: int, most: int) -> np.ndarray:
-    """One bit for each bin whose count reaches ``most``; at most 2^MOST_BITS of them."""
+    """One bit for each bin whose count reaches ``most``; at most 2^(MOST_BITS + 1) of them."""
     full = rows.repartition("block").mapInArrow(_sum_bins(most), "block int, full binary")
-    bitmap = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    bitmap = np.zeros((2 << bits) // 8, dtype=np.uint8)
     for row in full.collect():
         begin = row.block * ROW_BINS // 8
         bitmap[begin : begin + ROW_BINS // 8] = np.frombuffer(row.full, np.uint8)
@@ -272,11 +284,13 @@ def _schema(length: int, more: str = "") -> str:
 
 
 def distinct(found: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that differ from the row before in the order of their hashes."""
+    """Distinct rows in the order of their hashes."""
     order = np.argsort(hashed, kind="stable")
-    found, hashed = found[order], hashed[order]
-    kept = np.ones(len(found), dtype=bool)
-    kept[1:] = (found[1:] != found[:-1]).any(axis=1)
+    differ = (found[order[1:]] != found[order[:-1]]).any(axis=1)
+    if (differ & (hashed[order[1:]] == hashed[order[:-1]])).any():  # one hash, two phrases
+        order = np.lexsort((*found.T, hashed))
+        differ = (found[order[1:]] != found[order[:-1]]).any(axis=1)
+    kept = order[np.r_[True, differ][: len(order)]]
     return found[kept], hashed[kept]
 
 
@@ -284,7 +298,7 @@ def _marked_bins(length: int, bits: int, most: int):
     """The bins of given phrases, as full ones."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.uint8)
+        counts = np.zeros(2 << bits, dtype=np.uint8)
         for batch in batches:
             flat = np.stack([c.to_numpy() for c in batch.columns], axis=1).ravel()
             counts[_bins(windows(flat, np.arange(0, len(flat), length), length), bits)] = most
@@ -293,14 +307,21 @@ def _marked_bins(length: int, bits: int, most: int):
     return task
 
 
-def _candidates(length: int, bits: int, shorter: Broadcast | None, full: Broadcast):
+def _candidates(length: int, bits: int, shorter: Broadcast | None, full: Broadcast, parts_: int):
+    """Distinct phrases of a task, packed by part; a part is a range of hashes."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, hashed = np.zeros((0, length), np.int32), np.zeros(0, np.uint64)
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(found[:, i])) for i in range(length)], _names(length)
-            )
+        def rows() -> Iterator[pa.RecordBatch]:
+            least = np.array([(i << 64) // parts_ for i in range(parts_)], dtype=np.uint64)
+            edges = [*np.searchsorted(hashed, least), len(hashed)]
+            for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if b > a:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part], pa.int32()), pa.array([found[a:b].tobytes()], pa.binary())],
+                        ["part", "phrases"],
+                    )
 
         for numbers, own in _arrays(batches):
             starts = safe_starts(numbers, own, length, bits, shorter and shorter.value)
@@ -311,10 +332,30 @@ def _candidates(length: int, bits: int, shorter: Broadcast | None, full: Broadca
             more, keys = distinct(more, keys)
             found, hashed = distinct(np.concatenate([found, more]), np.concatenate([hashed, keys]))
             if len(found) > HELD:
-                yield rows()
+                yield from rows()
                 found, hashed = found[:0], hashed[:0]
-        if len(found):
-            yield rows()
+        yield from rows()
+
+    return task
+
+
+def _merged(length: int):
+    """Distinct phrases of each part, as rows; a task holds the parts dealt to it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                flat = np.frombuffer(packed.as_buffer(), np.int32)
+                more, keys = flat.reshape(-1, length), windows(flat, np.arange(0, len(flat), length), length)
+                if part in held:
+                    before, hashes = held[part]
+                    more, keys = np.concatenate([before, more]), np.concatenate([hashes, keys])
+                held[part] = distinct(more, keys)
+        for found, _ in held.values():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(found[:, i])) for i in range(length)], _names(length)
+            )
 
     return task
 
@@ -387,6 +428,7 @@ class _Search:
         self.vocabulary = self._number_words(everything.where(F.col("n") >= min_count), words)
         self.numbers = self._number_texts(texts)
         tokens_ = everything.agg(F.sum("n")).first()[0] or 0
+        self.parts = max(64, tokens_ >> 20)
         self.bits = min(MOST_BITS, max(LEAST_BITS, int(tokens_ // 2).bit_length()))
 
     def _number_words(self, frequent: DataFrame, words: int) -> DataFrame:
@@ -434,7 +476,10 @@ class _Search:
             before = self._shared_bitmap(marked)
         counted = self.numbers.mapInArrow(_count_bins(length, self.bits, before, self.min_count), _BIN_SCHEMA)
         full = self._shared_bitmap(counted)
-        found = self.numbers.mapInArrow(_candidates(length, self.bits, before, full), _schema(length)).distinct()
+        packed = self.numbers.mapInArrow(
+            _candidates(length, self.bits, before, full, self.parts), "part int, phrases binary"
+        )
+        found = packed.repartition("part").mapInArrow(_merged(length), _schema(length))
         if length > 2:
             for shift in (0, 1):
                 part = [F.col(f"w{i}").alias(f"w{i + shift}") for i in range(length - 1)]

@@ -27,14 +27,24 @@ class Trie:
     def nbytes(self) -> int:
         return self.base.nbytes + self.check.nbytes + self.accept.nbytes
 
+    def __post_init__(self) -> None:
+        # The cell after each first symbol, -1 for none: one look-up in place of its digits.
+        cells, symbols = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        for _ in range(self.digits):
+            below = self.base[cells][:, None].astype(np.int64) + np.arange(RADIX)
+            parent, digit = np.nonzero(self.check[below] == cells[:, None])
+            cells, symbols = below[parent, digit], symbols[parent] * RADIX + digit
+        self.first = np.full(int(symbols.max(initial=0)) + 2, -1, dtype=np.int32)
+        self.first[symbols] = cells
+
     def ends(self, symbols: np.ndarray, length: int, starts: np.ndarray) -> np.ndarray:
         """Cells reached by reading ``length`` symbols from each of ``starts``, all at once.
 
         A start is dropped at the first digit without a transition; symbols are >= 0.
         """
-        state = np.zeros(len(starts), dtype=np.int32)
-        at = starts
-        for step in range(length):
+        state = self.first[np.minimum(symbols[starts], len(self.first) - 1)]
+        at, state = starts[state >= 0], state[state >= 0]
+        for step in range(1, length):
             read = symbols[at + step]
             for digit in range(self.digits - 1, -1, -1):
                 cell = self.base[state] + (read >> (8 * digit) & (RADIX - 1)).astype(np.int32)

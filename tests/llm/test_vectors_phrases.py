@@ -230,6 +230,13 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     assert [t for p in cut for t in collocations.tokens(p)] == collocations.tokens(text)
 
 
+def test_distinct_phrases_with_one_hash():
+    phrases = np.array([[1, 2], [3, 4], [1, 2], [3, 4], [5, 6]], dtype=np.int32)
+    found, _ = collocations.distinct(phrases, np.array([7, 7, 7, 7, 1], dtype=np.uint64))
+    assert found.tolist() == [[5, 6], [1, 2], [3, 4]]
+    assert len(collocations.distinct(phrases[:0], np.zeros(0, np.uint64))[0]) == 0
+
+
 def test_double_array_holds_exactly_its_sequences():
     rng = np.random.default_rng(8)
     for count, symbols, length in ((1, 1, 2), (40, 4, 3), (3000, 700, 2), (2000, 70_000, 3)):
