@@ -10,8 +10,8 @@ The work is arranged by time cell (see ``fan_out``):
 2. cells join into sessions wherever the silence between two cells is not longer
    than the window - a longer silence always opens a new window;
 3. a session no longer than the window *is* one window and needs nothing more;
-4. a longer session is folded over its timestamps, or, when it is too large for one
-   array, its distinct timestamps are cut into strips (``hot_sessions``);
+4. a longer session's window starts are the chain of links between its timestamps; a
+   session of any size is followed in bounded pieces (``session_chains``);
 5. each cell then knows the window that starts in it and the one that was open
    before it, so events find their window with one equi-join on the cell.
 """
@@ -23,14 +23,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberwatch.operators.hot_sessions import hot_session_anchors
 from emberwatch.operators.rules import DEFAULT_RULES, Rule, fan_out, per_rule
+from emberwatch.operators.session_chains import STRIP_POINTS, session_starts
 from emberwatch.storage import stage, stage_measured
 
-# Sessions up to this many events are folded in one array; larger ones are cut.
-FOLD_LIMIT = 20_000
-
-
 _IS_LONG = "session_last_us - session_first_us > window_us"
 
 
@@ -50,7 +46,7 @@ def session_cells(keyed: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, i
     by_session = Window.partitionBy("rule_idx", "key", "session")
     silence = F.col("first_us") - F.lag("last_us").over(by_key)
     sessions = (
-        cells.withColumn("window_us", per_rule(rules, "window_us"))
+        cells.withColumn("window_us", per_rule(rules, "window_us").cast("bigint"))
         .withColumn(
             "opens",
             F.when(silence <= F.col("window_us"), F.lit(0)).otherwise(F.lit(1)),
@@ -86,36 +82,17 @@ def _session_points(keyed: DataFrame, long_cells: DataFrame) -> DataFrame:
     return (
         keyed.select("rule_idx", "key", "bucket", "us")
         .join(
-            long_cells.select("rule_idx", "key", "bucket", "session_id", "window_us"),
+            long_cells.select("rule_idx", "key", "bucket", "session_id", "session_n", "window_us"),
             ["rule_idx", "key", "bucket"],
         )
-        .select("session_id", "window_us", "bucket", "us")
-    )
-
-
-def _folded_anchors(points: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list("us"))
-    opened = F.aggregate(
-        F.col("points"),
-        F.array().cast("array<bigint>"),
-        lambda starts, us: F.when(
-            (F.size(starts) == 0)
-            | (us > F.element_at(starts, -1) + F.col("window_us")),
-            F.concat(starts, F.array(us)),
-        ).otherwise(starts),
-    )
-    return (
-        points.groupBy("session_id", "window_us")
-        .agg(ordered.alias("points"))
-        .select("session_id", "window_us", F.explode(opened).alias("anchor_us"))
+        .select("session_id", "window_us", "us", "session_n")
     )
 
 
 def anchored_windows(
     events: DataFrame,
     rules: Sequence[Rule] = DEFAULT_RULES,
-    fold_limit: int = FOLD_LIMIT,
-    strip_points: int | None = None,
+    strip_points: int = STRIP_POINTS,
 ) -> tuple[DataFrame, DataFrame]:
     """Assign every keyed event to its window.
 
@@ -137,33 +114,26 @@ def anchored_windows(
 
     if largest_long:
         long_cells = cells.where(_IS_LONG)
-        foldable = long_cells.where(F.col("session_n") <= fold_limit)
-        anchors = _folded_anchors(_session_points(keyed, foldable))
-        if largest_long > fold_limit:
-            huge = long_cells.where(F.col("session_n") > fold_limit)
-            anchors = anchors.unionByName(
-                hot_session_anchors(_session_points(keyed, huge).distinct(), strip_points)
-            )
-        cell = F.col("window_us") + 1
-        anchors = anchors.select(
+        anchors = session_starts(_session_points(keyed, long_cells), largest_long, strip_points).select(
             "session_id",
-            F.floor((F.col("anchor_us") - F.pmod("anchor_us", cell)) / cell)
-            .cast("bigint")
-            .alias("bucket"),
+            F.expr("(anchor_us - pmod(anchor_us, window_us + 1)) div (window_us + 1)").alias("bucket"),
             "anchor_us",
         )
-        before = (
-            Window.partitionBy("session_id")
-            .orderBy("bucket")
-            .rowsBetween(Window.unboundedPreceding, -1)
+        opened = stage(
+            long_cells.join(anchors, ["session_id", "bucket"]).select(
+                "session_id", "bucket", "anchor_us", F.col("cell_id").alias("window_id")
+            ),
+            "window_starts",
+        )
+        # A window reaches into the next cell at most.
+        before = opened.select(
+            "session_id",
+            (F.col("bucket") + 1).alias("bucket"),
+            F.col("anchor_us").alias("open_anchor_us"),
+            F.col("window_id").alias("open_window_id"),
         )
-        opening = (
-            long_cells.join(anchors, ["session_id", "bucket"], "left")
-            .withColumn(
-                "window_id", F.when(F.col("anchor_us").isNotNull(), F.col("cell_id"))
-            )
-            .withColumn("open_anchor_us", F.last("anchor_us", True).over(before))
-            .withColumn("open_window_id", F.last("window_id", True).over(before))
+        opening = long_cells.join(opened, ["session_id", "bucket"], "left").join(
+            before, ["session_id", "bucket"], "left"
         )
         starts = starts.unionByName(opening.select(*starts.columns))
 

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberwatch.operators.anchors import FOLD_LIMIT, anchored_windows
+from emberwatch.operators.anchors import anchored_windows
 from emberwatch.operators.ordering import number_rows
 from emberwatch.operators.rules import DEFAULT_RULES, Rule, per_rule
+from emberwatch.operators.session_chains import STRIP_POINTS
 from emberwatch.operators.suppress import suppress_overlaps
 from emberwatch.storage import stage
 
@@ -29,14 +30,13 @@ class Correlation:
 def candidate_incidents(
     events: DataFrame,
     rules: Sequence[Rule] = DEFAULT_RULES,
-    fold_limit: int = FOLD_LIMIT,
-    strip_points: int | None = None,
+    strip_points: int = STRIP_POINTS,
 ) -> Correlation:
     """Every window with enough events, numbered, before suppression.
 
     Ids follow rule, then the key's first event, then window start.
     """
-    assignments, cells = anchored_windows(events, rules, fold_limit, strip_points)
+    assignments, cells = anchored_windows(events, rules, strip_points)
     windows = assignments.groupBy("window_id").agg(
         F.count(F.lit(1)).alias("event_count"),
         F.min("us").alias("start_us"),
@@ -90,11 +90,10 @@ def candidate_incidents(
 def correlate(
     events: DataFrame,
     rules: Sequence[Rule] = DEFAULT_RULES,
-    fold_limit: int = FOLD_LIMIT,
-    strip_points: int | None = None,
+    strip_points: int = STRIP_POINTS,
 ) -> Correlation:
     """Candidates, suppression, and the membership of what is kept."""
-    candidates = candidate_incidents(events, rules, fold_limit, strip_points)
+    candidates = candidate_incidents(events, rules, strip_points)
     kept = stage(suppress_overlaps(candidates.incidents, candidates.membership), "kept")
     membership = candidates.membership.join(kept.select("window_id"), "window_id")
     return Correlation(kept, stage(membership, "membership"))

@@ -64,10 +64,11 @@ def model_tuples(incidents):
 CASES = [
     pytest.param(1, 400, 600, 0.0, 1_000_000, {}, id="sparse"),
     pytest.param(2, 600, 120, 0.5, 1_000_000, {}, id="hot-folded"),
-    pytest.param(3, 600, 240, 0.5, 1_000_000, {"fold_limit": 3, "strip_points": 7}, id="hot-strips"),
-    pytest.param(4, 500, 90, 0.9, 1, {"fold_limit": 3, "strip_points": 40}, id="dense-strips"),
-    pytest.param(5, 300, 400, 0.4, 900_000_001, {"fold_limit": 1, "strip_points": 2}, id="cell-edges"),
-    pytest.param(6, 300, 400, 0.4, 900_000_000, {"fold_limit": 1, "strip_points": 3}, id="window-edges"),
+    pytest.param(3, 600, 240, 0.5, 1_000_000, {"strip_points": 7}, id="hot-strips"),
+    pytest.param(4, 500, 90, 0.9, 1, {"strip_points": 40}, id="dense-strips"),
+    pytest.param(5, 300, 400, 0.4, 900_000_001, {"strip_points": 2}, id="cell-edges"),
+    pytest.param(6, 300, 400, 0.4, 900_000_000, {"strip_points": 3}, id="window-edges"),
+    pytest.param(7, 500, 300, 0.9, 1_000_000, {"strip_points": 1}, id="one-point-strips"),
 ]
 
 

@@ -258,6 +258,16 @@ SELECT rule_idx, key, count(*) AS n, min(us) AS first_us, max(us) AS last_us FRO
 for _name, _squeeze in (("anchored_windows", NORMAL), ("anchored_windows_dense", DENSE)):
     ORACLES[_name] = f"""{incidents_sql(_squeeze)}
 SELECT rule_idx, key, start_us, end_us, event_count FROM inc"""
+ORACLES["anchored_windows_hot"] = f"""WITH RECURSIVE v AS MATERIALIZED ({view_sql(NORMAL)}),
+points AS (SELECT us, count(*) AS n FROM v GROUP BY us),
+following AS MATERIALIZED (
+  SELECT us, n, min(us) OVER (ORDER BY us RANGE BETWEEN 900000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM points),
+anchors AS (
+  SELECT min(us) AS anchor FROM points
+  UNION ALL
+  SELECT f.nxt FROM anchors a JOIN following f ON f.us = a.anchor WHERE f.nxt IS NOT NULL)
+SELECT 0 AS rule_idx, 'ANY' AS key, anchor AS start_us, max(us) AS end_us, CAST(sum(n) AS BIGINT) AS event_count
+FROM points p ASOF JOIN anchors a ON p.us >= a.anchor GROUP BY anchor"""
 ORACLES["incident_ids"] = f"{incidents_sql()} SELECT id, rule_idx, key, start_us, first_event_id FROM inc"
 ORACLES["incident_membership"] = f"{incidents_sql()} SELECT id, event_id FROM mem"
 

@@ -17,7 +17,7 @@ from emberwatch.functions import clock, free_text, network, text, verdicts
 from emberwatch.operators import normalize as n
 from emberwatch.operators.correlate import Correlation, candidate_incidents, correlate
 from emberwatch.operators.detect import Detection, detect
-from emberwatch.operators.rules import fan_out
+from emberwatch.operators.rules import Rule, fan_out
 from emberwatch.operators.suppress import suppress_overlaps
 from emberwatch.plans import profile, report, sinks
 from emberwatch.plans.ingest import ingest_stats, rejects_by_reason
@@ -565,6 +565,17 @@ def anchored_windows_dense(spark, sf_dir):
     return _windows(candidates(spark, sf_dir, DENSE))
 
 
+# One key for all events, whose session is cut into strips of a few hundred events.
+HOT_RULES = (Rule("Everything", ("protocol",), 15, 1),)
+HOT_STRIP = 300
+
+
+@query
+def anchored_windows_hot(spark, sf_dir):
+    same = events(spark, sf_dir).withColumn("protocol", F.lit("ANY"))
+    return _windows(candidate_incidents(same, HOT_RULES, HOT_STRIP))
+
+
 @query
 def incident_ids(spark, sf_dir):
     return candidates(spark, sf_dir).incidents.select(
