@@ -27,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from emberwatch.llm.common import joined, slices
+from emberwatch.storage import stage
 
 UNKNOWN = "und"
 SAMPLE = 6_000
@@ -68,23 +70,22 @@ def subwords(data: np.ndarray, order: int) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's used buckets (16 bits each) and their shares (float32), packed."""
     for batch in slices(batches):
         data, starts = joined(batch.column(1))
-        rows = []
+        buckets, shares = [], []
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if b - a < max(ORDERS):
-                rows.append(([], []))
-                continue
-            counts = sum(np.bincount(subwords(data[a:b], o), minlength=BUCKETS) for o in ORDERS)
-            used = np.flatnonzero(counts)
-            rows.append((used.tolist(), counts[used].tolist()))
+                used, share = np.zeros(0, np.int64), np.zeros(0, np.float32)
+            else:
+                counts = sum(np.bincount(subwords(data[a:b], o), minlength=BUCKETS) for o in ORDERS)
+                used = np.flatnonzero(counts)
+                share = counts[used].astype(np.float32) / counts.sum()
+            buckets.append(used.astype(np.uint16).tobytes())
+            shares.append(share.astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([r[0] for r in rows], pa.list_(pa.int32())),
-                pa.array([r[1] for r in rows], pa.list_(pa.int32())),
-            ],
-            ["label", "buckets", "counts"],
+            [batch.column(0), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())],
+            ["label", "buckets", "shares"],
         )
 
 
@@ -108,16 +109,14 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list, seed: int = 7) -> Model:
-    """Train on (label, buckets, counts) rows and calibrate on those held back."""
-    rows = [r for r in rows if len(r[1])]
+def fit(rows: list[tuple[str, bytes, bytes]], seed: int = 7) -> Model:
+    """Train on (label, buckets, shares) rows, packed, and calibrate on those held back."""
+    rows = [r for r in rows if r[1]]
     labels = sorted({r[0] for r in rows})
     number = {label: i for i, label in enumerate(labels)}
     random = np.random.default_rng(seed)
     rows = [rows[i] for i in random.permutation(len(rows))]
-    features = [
-        (np.asarray(b), (np.asarray(c, dtype=np.float32) / np.sum(c))[:, None]) for _, b, c in rows
-    ]
+    features = [(np.frombuffer(b, np.uint16), np.frombuffer(c, np.float32)[:, None]) for _, b, c in rows]
     target = np.array([number[r[0]] for r in rows], dtype=np.int64)
     held = np.arange(len(rows)) % HELD_BACK == 0 if len(rows) >= 20 * HELD_BACK else np.zeros(len(rows), bool)
     table = (random.standard_normal((BUCKETS, WIDTH)) / WIDTH).astype(np.float32)
@@ -160,10 +159,13 @@ def train(labelled: DataFrame, limit: int = SAMPLE) -> Model:
     """``labelled`` has label, text and pick, a value that the sample is picked by."""
     sample = _sampled(labelled.where("label is not null"), limit)
     features = sample.select("label", "text").mapInArrow(
-        _features, "label string, buckets array<int>, counts array<int>"
+        _features, "label string, buckets binary, shares binary"
     )
-    rows = [(r["label"], r["buckets"], r["counts"]) for r in features.toLocalIterator()]
-    return fit(sorted(rows))
+    # Made by all tasks, then read a part at a time: six bytes for each bucket that a text uses.
+    found = stage(features, "language_features").toLocalIterator()
+    rows = [(r["label"], bytes(r["buckets"]), bytes(r["shares"])) for r in found]
+    rows.sort()
+    return fit(rows)
 
 
 def _has_letter(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -230,9 +232,8 @@ def predict(model: Model, docs: DataFrame, text: str = "text", keep: list[str] |
     """The ``keep`` columns with lang_pred, score and rejected."""
     kept = [F.col(c) for c in (keep or [])]
     rows = docs.select(*kept, F.col(text).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    schema = ", ".join([*fields, "lang_pred string", "score double", "rejected boolean"])
-    return rows.mapInArrow(_predict(model), schema)
+    judged = StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return rows.mapInArrow(_predict(model), StructType([*rows.schema.fields[:-1], *judged.fields]))
 
 
 def labelled_rows(docs: DataFrame, label: Column, learn: Column) -> DataFrame:
