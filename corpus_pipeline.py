@@ -40,8 +40,9 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learn = F.coalesce(fold() != 0, F.lit(False))
     model = langid.train(langid.labelled_rows(docs, F.col("lang"), learn))
-    judged = langid.predict(model, docs, keep=docs.columns)
-    return judged.where("not rejected").select(docs.columns)
+    # The rows as one column: a table may have columns of the names that the operator adds.
+    packed = docs.select(F.struct("*").alias("__doc"), "text")
+    return langid.predict(model, packed, keep=["__doc"]).where("not rejected").select("__doc.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
