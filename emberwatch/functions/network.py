@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ipaddress
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -68,15 +67,6 @@ def protocol_name(number: Column) -> Column:
     return F.coalesce(named, number.cast("string"))
 
 
-def ipv4_number(column: Column) -> Column:
-    """Numeric value of a dotted IPv4 address, NULL for anything else."""
-    octets = F.split(column, r"\.")
-    value = F.lit(0).cast("bigint")
-    for place in range(4):
-        value = value * 256 + F.element_at(octets, place + 1).cast("bigint")
-    return F.when(column.rlike(_ANY_IPV4), value)
-
-
 def trust_entries(config: Mapping | None) -> list[str]:
     """Addresses and subnets of both trust sections, sorted and without repeats."""
     found: set[str] = set()
@@ -85,45 +75,3 @@ def trust_entries(config: Mapping | None) -> list[str]:
         for kind in ("ips", "subnets"):
             found.update(e for e in part.get(kind) or [] if isinstance(e, str))
     return sorted(found)
-
-
-def _network(entry: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network | None:
-    """The network of an entry; a host name, say, is none and contains no address."""
-    try:
-        return ipaddress.ip_network(entry, strict=False)
-    except ValueError:
-        return None
-
-
-def is_trusted_ip(column: Column, config: Mapping | None, match: str = "prefix") -> Column:
-    """Trust test for one address.
-
-    ``prefix`` takes each entry, without any ``0/``, as a text prefix.  ``cidr``
-    is real containment in the listed networks.
-    """
-    entries = trust_entries(config)
-    if not entries:
-        return F.lit(False)
-    if match == "prefix":
-        prefixes = F.array(*[F.lit(entry.replace("0/", "")) for entry in entries])
-        exact = F.array(*[F.lit(entry) for entry in entries])
-        hit = F.array_contains(exact, column) | F.exists(
-            prefixes, lambda prefix: F.startswith(column, prefix)
-        )
-    elif match == "cidr":
-        networks = [net for net in map(_network, entries) if net is not None]
-        ranges = [
-            F.struct(
-                F.lit(int(net.network_address)).cast("bigint").alias("lo"),
-                F.lit(int(net.broadcast_address)).cast("bigint").alias("hi"),
-            )
-            for net in networks
-            if net.version == 4
-        ]
-        if not ranges:
-            return F.lit(False)
-        number = ipv4_number(column)
-        hit = F.exists(F.array(*ranges), lambda r: number.between(r["lo"], r["hi"]))
-    else:
-        raise ValueError(f"unknown trust match: {match!r}")
-    return F.coalesce(hit, F.lit(False))

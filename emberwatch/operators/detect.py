@@ -28,12 +28,12 @@ from emberwatch.functions.network import (
     is_external_ip,
     is_internal_ip,
     is_sensitive_port,
-    is_trusted_ip,
 )
 from emberwatch.functions.text import contains_any, first_word_found, truthy
 from emberwatch.functions.verdicts import in_office_hours, verdict
 from emberwatch.operators.correlate import Correlation
 from emberwatch.operators.ordering import number_rows
+from emberwatch.operators.trust import MATCHES, Trust, trust_table, trusted_addresses
 from emberwatch.storage import stage
 
 SECOND_US = 1_000_000
@@ -120,9 +120,22 @@ def _value_counts(facts: DataFrame) -> DataFrame:
     )
 
 
+def _trusted_address(facts: DataFrame, trust: Trust, trust_match: str) -> DataFrame:
+    """The smallest trusted internal address of each incident that has one."""
+    if trust_match not in MATCHES:
+        raise ValueError(f"unknown trust match: {trust_match!r}")
+    entries = trust_table(facts.sparkSession, trust)
+    if entries is None:
+        return facts.sparkSession.createDataFrame([], "window_id bigint, trusted_ip string")
+    internal = incident_values(facts, ["ip"]).where(is_internal_ip(F.col("value")))
+    pairs = internal.select("window_id", F.col("value").alias("ip"))
+    known = stage(trusted_addresses(pairs, entries, trust_match), "trusted")
+    return pairs.join(known, "ip").groupBy("window_id").agg(F.min("ip").alias("trusted_ip"))
+
+
 def incident_statistics(
     facts: DataFrame,
-    trust: Mapping | None = None,
+    trust: Trust = None,
     trust_match: str = "prefix",
     rules: PatternRules = PatternRules(),
 ) -> DataFrame:
@@ -135,9 +148,6 @@ def incident_statistics(
     def smallest(test) -> Column:
         return F.least(F.min(F.when(test(src), src)), F.min(F.when(test(dst), dst)))
 
-    def trusted(ip: Column) -> Column:
-        return is_internal_ip(ip) & is_trusted_ip(ip, trust, trust_match)
-
     moment = [F.col("us"), F.col("event_id")]
     severity = F.when(F.col("severity") != 0, F.col("severity"))
     port = F.when(F.col("dst_port") != 0, F.col("dst_port"))
@@ -171,12 +181,12 @@ def incident_statistics(
         F.bool_or(lateral_port).alias("any_lateral_port"),
         F.bool_or(either(is_internal_ip)).alias("any_internal"),
         smallest(is_external_ip).alias("external_ip"),
-        smallest(trusted).alias("trusted_ip"),
         F.min(F.when(F.col("scanner").isNotNull(), scanned)).alias("scanned"),
         F.min(F.when(F.col("routine_word").isNotNull(), routine)).alias("routine"),
     )
     return (
         totals.join(_value_counts(facts), "window_id", "left")
+        .join(_trusted_address(facts, trust, trust_match), "window_id", "left")
         .fillna(0, ["n_ips", "n_users", "n_ports", "n_hosts"])
         .withColumn("scanner", F.col("scanned.scanner"))
         .withColumn("routine_word", F.col("routine.routine_word"))
@@ -353,7 +363,7 @@ def score(profiles: DataFrame) -> DataFrame:
 def incident_profiles(
     incidents: DataFrame,
     facts: DataFrame,
-    trust: Mapping | None = None,
+    trust: Trust = None,
     trust_match: str = "prefix",
     rules: PatternRules = PatternRules(),
 ) -> DataFrame:
@@ -388,7 +398,7 @@ class Detection:
 def detect(
     correlation: Correlation,
     events: DataFrame,
-    trust: Mapping | None = None,
+    trust: Trust = None,
     trust_match: str = "prefix",
     rules: PatternRules = PatternRules(),
 ) -> Detection:

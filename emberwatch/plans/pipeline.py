@@ -43,18 +43,20 @@ def parse(
 def analyze_events(
     events: DataFrame,
     rules: Sequence[Rule] = DEFAULT_RULES,
-    trust: Mapping | str | None = None,
+    trust: Mapping | DataFrame | str | None = None,
     trust_match: str = "prefix",
     patterns: Mapping | str | None = None,
     ingested: Ingest | None = None,
 ) -> Analysis:
     """Correlate and judge an event table.
 
-    ``events`` needs a unique ``event_id`` that ascends in input order.
+    ``events`` needs a unique ``event_id`` that ascends in input order.  ``trust`` is a
+    document, its path, or a table of entries of any length.
     """
     correlation = correlate(events, rules)
+    trusted = trust if isinstance(trust, DataFrame) else load_document(trust)
     detection = detect(
-        correlation, events, load_document(trust), trust_match, load_pattern_rules(patterns)
+        correlation, events, trusted, trust_match, load_pattern_rules(patterns)
     )
     return Analysis(ingested, events, correlation, detection)
 

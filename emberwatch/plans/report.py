@@ -13,6 +13,7 @@ from emberwatch.fixed_values import VERDICTS
 from emberwatch.functions.text import duration_text, first_truthy, truthy
 from emberwatch.functions.verdicts import severity_label
 from emberwatch.operators.detect import Detection, incident_values
+from emberwatch.operators.ordering import number_rows
 from emberwatch.plans.ingest import Ingest
 
 SECOND_US = 1_000_000
@@ -291,15 +292,15 @@ def recommendations(detection: Detection) -> DataFrame:
 
 
 def incident_event_list(detection: Detection) -> DataFrame:
-    """Every event of every incident; ``(us, event_id)`` is its order in the incident.
+    """Every event of every incident with its number in the incident, by time.
 
-    Events are not numbered here: a number would need each incident sorted in one
-    task.  ``write_event_lists`` sorts them within the written files instead.
+    One range-partitioned sort numbers all events; the number in an incident is the
+    distance from the incident's first one, so no task holds an incident.
     """
     incidents = detection.incidents.select("window_id", "id")
     dash, unknown = F.lit("-"), F.lit("?")
     port = F.when(F.col("dst_port") != 0, F.col("dst_port").cast("string"))
-    return detection.facts.join(incidents, "window_id").select(
+    listed = detection.facts.join(incidents, "window_id").select(
         "id",
         "event_id",
         "us",
@@ -313,6 +314,14 @@ def incident_event_list(detection: Detection) -> DataFrame:
         "source",
         F.coalesce(truthy(F.col("result")), dash).alias("result"),
     )
+    order = [F.col("id").asc(), F.col("us").asc(), F.col("event_id").asc()]
+    numbered = number_rows(listed, order, "overall", "event_list")
+    first = numbered.groupBy("id").agg(F.min("overall").alias("first"))
+    return (
+        numbered.join(first, "id")
+        .withColumn("number", F.col("overall") - F.col("first") + 1)
+        .select("id", "number", *listed.columns[1:])
+    )
 
 
 def document_overview(detection: Detection) -> DataFrame:

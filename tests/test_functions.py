@@ -143,13 +143,48 @@ def test_profile(spark, tmp_path, sample, expected):
     assert distinct["odd"] == 4
 
 
-def test_trust_entries_that_are_no_network(spark):
-    from emberwatch.functions.network import is_trusted_ip
+def _known(spark, addresses, trust, match="cidr"):
+    from emberwatch.operators.trust import trust_table, trusted_addresses
+
+    rows = spark.createDataFrame([(a,) for a in addresses], "ip string")
+    return {r["ip"] for r in trusted_addresses(rows, trust_table(spark, trust), match).collect()}
 
+
+def test_trust_entries_that_are_no_network(spark):
     trust = {"trusted_hosts": {"ips": ["printer-7"], "subnets": ["172.19.4.0/22"]}}
-    rows = spark.createDataFrame([("172.19.6.9",), ("172.19.9.9",)], "ip string")
-    found = rows.select(is_trusted_ip(F.col("ip"), trust, match="cidr")).collect()
-    assert [r[0] for r in found] == [True, False]
+    assert _known(spark, ["172.19.6.9", "172.19.9.9", "printer-7", None, ""], trust) == {"172.19.6.9"}
+    assert _known(spark, ["printer-7", "x"], trust, "prefix") == {"printer-7"}
+    assert _known(spark, ["10.0.0.1"], None) == set()
+
+
+def test_trusted_networks_against_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    draw = random.Random(11)
+    entries = ["0.0.0.0/1", "::/3", "10.1.2.3", "2001:db8::1", "bad", "1.2.3.4/33"]
+    for _ in range(60):
+        version, size = draw.choice([(4, draw.randrange(4, 33)), (6, draw.randrange(4, 129))])
+        kind = ipaddress.IPv4Address if version == 4 else ipaddress.IPv6Address
+        entries.append(f"{kind(draw.getrandbits(32 if version == 4 else 128))}/{size}")
+    networks = [ipaddress.ip_network(e, strict=False) for e in entries if "bad" not in e and "/33" not in e]
+    addresses = ["", "::", "255.255.255.255", "10.1.2.3", "2001:DB8:0:0::1", "10.1.2.3/8", "fe80::1%eth0"]
+    for net in networks:  # the first and last of each, and their neighbours
+        for number in (int(net[0]) - 1, int(net[0]), int(net[-1]), int(net[-1]) + 1):
+            if 0 <= number < 2**net.max_prefixlen:
+                addresses.append(str(type(net[0])(number)))
+    table = spark.createDataFrame([(e, 1) for e in entries], "network string, entry int")
+
+    def inside(text):
+        try:
+            address = ipaddress.ip_address(text.partition("%")[0])
+        except ValueError:
+            return False
+        return any(address.version == net.version and address in net for net in networks)
+
+    wanted = {a for a in addresses if inside(a)}
+    assert _known(spark, addresses, table) == wanted
+    assert 50 < len(wanted) < len(set(addresses))
 
 
 def test_many_maintenance_events_keep_an_int_delta(spark):

@@ -371,6 +371,20 @@ ORACLES["trust_prefix"] = _trust_counts(
     "({0} LIKE '10.0.1.1%' OR {0} LIKE '192.168.5.29%' OR {0} LIKE '10.0.3.24%')"
 )
 ORACLES["trust_cidr"] = _trust_counts(_CIDR)
+ORACLES["trust_networks"] = f"""{_v()},
+n AS (SELECT event_id % 40 AS part, event_id % 16 AS host FROM v),
+a AS (
+  SELECT '2001:db8:' || to_base(part, 16) || '::' || to_base(host, 16) AS ip, part % 4 = 0 AS trusted FROM n
+  UNION ALL
+  SELECT '2001:0DB8:' || lpad(to_base(part, 16), 4, '0') || ':0:0:0:0:' || to_base(host, 16), part % 4 = 0 FROM n
+  UNION ALL
+  SELECT 'fd00::' || lower(to_base(part, 16)) || ':0:' || lower(to_base(host, 16)), part % 4 = 0 FROM n
+  UNION ALL
+  SELECT '::ffff:10.9.' || part % 2 || '.' || host, true FROM n
+  UNION ALL
+  SELECT '10.9.' || host || '.' || part, host BETWEEN 8 AND 15 OR (host = 3 AND part = 7) FROM n)
+SELECT CASE WHEN ip LIKE '2001:db8%' THEN lower(ip) ELSE ip END AS ip, count(*) AS n, any_value(trusted) AS trusted
+FROM a GROUP BY 1"""
 ORACLES["score_and_verdict"] = f"{profiles_sql()} SELECT id, confidence, verdict FROM judged"
 ORACLES["score_with_trust"] = f"{profiles_sql(NORMAL, _CIDR)} SELECT id, confidence, verdict FROM judged"
 ORACLES["incident_reasons"] = f"""{profiles_sql()}
@@ -436,7 +450,8 @@ SELECT judged.id, verdict, pattern,
             ELSE '' END AS steps
 FROM judged LEFT JOIN {_first("ips", "ip", 3, where="ip NOT LIKE '10.%'")} i ON i.id = judged.id"""
 ORACLES["incident_event_list"] = f"""{incidents_sql()}
-SELECT id, event_id, us, severity, coalesce(action, '?') AS action, coalesce(user_name, '?') AS user_name,
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY us, event_id) AS number, event_id, us, severity,
+       coalesce(action, '?') AS action, coalesce(user_name, '?') AS user_name,
        coalesce(src_ip, '?') AS origin, coalesce(dst_host, dst_ip, '?') AS target,
        coalesce(CAST(nullif(dst_port, 0) AS VARCHAR), '-') AS port, source, coalesce(result, '-') AS result FROM mem"""
 ORACLES["document_overview"] = f"""{profiles_sql()}

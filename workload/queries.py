@@ -19,6 +19,7 @@ from emberwatch.operators.correlate import Correlation, candidate_incidents, cor
 from emberwatch.operators.detect import Detection, detect
 from emberwatch.operators.rules import Rule, fan_out
 from emberwatch.operators.suppress import suppress_overlaps
+from emberwatch.operators.trust import trust_table, trusted_addresses
 from emberwatch.plans import profile, report, sinks
 from emberwatch.plans.ingest import ingest_stats, rejects_by_reason
 from emberwatch.plans.pipeline import analyze_events
@@ -666,23 +667,27 @@ TRUST = {
 }
 
 
-def _trusted(spark, sf_dir, match) -> DataFrame:
+def _addresses(spark, sf_dir) -> DataFrame:
     addresses = F.inline(
         F.array(F.struct(F.col("src_ip").alias("ip")), F.struct(F.col("dst_ip").alias("ip")))
     )
-    trusted = network.is_internal_ip(F.col("ip")) & network.is_trusted_ip(
-        F.col("ip"), TRUST, match
-    )
-    return (
-        view(spark, sf_dir)
-        .select(addresses)
-        .where(F.col("ip").isNotNull())
-        .groupBy("ip")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("ip", "n", trusted.alias("trusted"))
+    return view(spark, sf_dir).select(addresses).where(F.col("ip").isNotNull())
+
+
+def _with_trust(addresses, trust, match) -> DataFrame:
+    """Each address, how often it occurs, and whether the list covers it."""
+    known = trusted_addresses(addresses, trust_table(addresses.sparkSession, trust), match)
+    counted = addresses.groupBy("ip").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(known.withColumn("known", F.lit(True)), "ip", "left").select(
+        "ip", "n", F.coalesce("known", F.lit(False)).alias("known")
     )
 
 
+def _trusted(spark, sf_dir, match) -> DataFrame:
+    trusted = network.is_internal_ip(F.col("ip")) & F.col("known")
+    return _with_trust(_addresses(spark, sf_dir), TRUST, match).select("ip", "n", trusted.alias("trusted"))
+
+
 @query
 def trust_prefix(spark, sf_dir):
     return _trusted(spark, sf_dir, "prefix")
@@ -693,6 +698,29 @@ def trust_cidr(spark, sf_dir):
     return _trusted(spark, sf_dir, "cidr")
 
 
+# Networks of both families by the fours of their part; a name and a bad network are none.
+NETWORKS = [f"2001:DB8:{part:x}::/48" for part in range(0, 40, 4)] + [
+    f"fd00::{part:x}:0:0/96" for part in range(0, 40, 4)
+] + ["::ffff:10.9.0.0/112", "10.9.8.0/21", "10.9.3.7", "backup-host", "10.9.0.0/40"]
+
+
+@query
+def trust_networks(spark, sf_dir):
+    """A trust table of both address families, over addresses made of the events."""
+    part, host = F.col("event_id") % 40, F.col("event_id") % 16
+    low = F.lower(F.hex(part))
+    forms = [
+        F.concat(F.lit("2001:db8:"), low, F.lit("::"), F.lower(F.hex(host))),
+        F.concat(F.lit("2001:0DB8:"), F.lpad(F.hex(part), 4, "0"), F.lit(":0:0:0:0:"), F.hex(host)),
+        F.concat(F.lit("fd00::"), low, F.lit(":0:"), F.lower(F.hex(host))),
+        F.concat(F.lit("::ffff:10.9."), (part % 2).cast("string"), F.lit("."), host.cast("string")),
+        F.concat(F.lit("10.9."), host.cast("string"), F.lit("."), part.cast("string")),
+    ]
+    addresses = view(spark, sf_dir).select(F.explode(F.array(*forms)).alias("ip"))
+    listed = spark.createDataFrame([(entry,) for entry in NETWORKS], "entry string")
+    return _with_trust(addresses, listed, "cidr").select("ip", "n", F.col("known").alias("trusted"))
+
+
 @query
 def score_and_verdict(spark, sf_dir):
     return judged(spark, sf_dir).incidents.select("id", "confidence", "verdict")
@@ -787,7 +815,7 @@ def recommendations(spark, sf_dir):
 @query
 def incident_event_list(spark, sf_dir):
     return report.incident_event_list(judged(spark, sf_dir)).select(
-        "id", "event_id", "us", "severity", "action", F.col("user").alias("user_name"),
+        "id", "number", "event_id", "us", "severity", "action", F.col("user").alias("user_name"),
         "origin", "target", "port", "source", "result",
     )
 
