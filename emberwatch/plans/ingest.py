@@ -140,27 +140,47 @@ class Ingest:
     stats: DataFrame
 
 
-def number_events(events: DataFrame) -> DataFrame:
-    """Add ``event_id``: unique, ascending in input order (file, block, line).
+_BLOCK = ["file_name", "file_path", "block_start"]
+_ROW_BITS = 33
 
-    A block's rows were read in order by one task, so the block's place among all
-    blocks and the row's place in its task make the id.  There is one row per input
-    split in the ranking, no more than the scan had tasks.
+
+def block_numbers(events: DataFrame) -> DataFrame:
+    """The input splits of ``events``, numbered in order of file and place.
+
+    There is one row per split, no more than the scan had tasks.
     """
-    row_bits = 33
-    block = ["file_name", "file_path", "block_start"]
-    order = [F.col(name) for name in block]
-    blocks = stage(
-        number_rows(events.select(*block).distinct(), order, "block_no", "block_order"), "blocks"
+    order = [F.col(name) for name in _BLOCK]
+    return stage(
+        number_rows(events.select(*_BLOCK).distinct(), order, "block_no", "block_order"), "blocks"
     )
-    row_in_task = F.col("row_id").bitwiseAND((1 << row_bits) - 1)
-    return events.join(blocks, block).select(
-        (F.shiftleft("block_no", row_bits) + row_in_task).alias("event_id"),
+
+
+def with_event_ids(events: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Add ``event_id`` from the numbers of the blocks.
+
+    A block's rows were read in order by one task, so the block's place among all
+    blocks and the row's place in its task make the id.
+    """
+    row_in_task = F.col("row_id").bitwiseAND((1 << _ROW_BITS) - 1)
+    return events.join(blocks, _BLOCK).select(
+        (F.shiftleft("block_no", _ROW_BITS) + row_in_task).alias("event_id"),
         *LINEAGE,
         *EVENT_FIELDS,
     )
 
 
+def number_events(events: DataFrame) -> DataFrame:
+    """Add ``event_id``: unique, ascending in input order (file, block, line)."""
+    return with_event_ids(events, block_numbers(events))
+
+
+def rejected(records: DataFrame) -> DataFrame:
+    """The corrupt records with their reasons."""
+    return records.where(is_corrupt()).select(
+        *LINEAGE, "source", F.col("raw_event").alias("line"), "reject_reason"
+    )
+
+
 def ingest(scans: Sequence[Scan]) -> Ingest:
     """Normalize all scans into one staged table, reading every file once.
 
@@ -172,7 +192,4 @@ def ingest(scans: Sequence[Scan]) -> Ingest:
         reduce(DataFrame.unionByName, [scan.normalized() for scan in scans]), "normalized"
     )
     events, errors = split_normalized(records)
-    rejects = records.where(is_corrupt()).select(
-        *LINEAGE, "source", F.col("raw_event").alias("line"), "reject_reason"
-    )
-    return Ingest(number_events(events), errors, rejects, ingest_stats(records))
+    return Ingest(number_events(events), errors, rejected(records), ingest_stats(records))

@@ -71,6 +71,25 @@ SELECT 'wazuh' AS source, source AS file_name, count(*) AS total_lines,
        count(*) FILTER (action = 'connection_allowed') AS parsed,
        count(*) FILTER (action IN ('login_failed', 'login_success', 'user_created')) AS skipped
 FROM v GROUP BY v.source"""
+_BAD_TIMES = """CASE action WHEN 'login_failed' THEN 'invalid Wazuh timestamp: ''not-a-timestamp'''
+       WHEN 'login_success' THEN 'missing Wazuh timestamp'
+       WHEN 'user_created' THEN 'invalid Wazuh timestamp: ''2024-13-01T00:00:00Z''' END"""
+ORACLES["tail_accounting"] = f"""{_v()},
+bad AS (SELECT CASE action WHEN 'user_created' THEN 'no timestamp or rule' ELSE 'not a JSON object' END AS what
+  FROM v WHERE action IN ('login_failed', 'login_success', 'user_created'))
+SELECT 'events' AS kind, 'distinct ids' AS what, count(*) FILTER (action = 'connection_allowed')
+  + count(*) FILTER (action IN ('connection_allowed', 'process_create')) AS n FROM v
+UNION ALL SELECT 'rejects', what, count(*) FROM bad GROUP BY what
+UNION ALL SELECT 'errors', {_BAD_TIMES}, count(*) FROM v WHERE action IN ('login_failed', 'login_success', 'user_created') GROUP BY 2
+UNION ALL SELECT 'stats', 'total_lines', 2 * count(*) FROM v
+UNION ALL SELECT 'stats', 'parsed', count(*) + count(*) FILTER (action = 'connection_allowed') FROM v
+UNION ALL SELECT 'stats', 'skipped', (SELECT count(*) FROM bad)"""
+ORACLES["ingest_directory"] = f"""{_v()}
+SELECT source, count(*) AS n_events, min(us) AS first_us, max(us) AS last_us, 3 AS n_files,
+       count(*) FILTER (action = 'login_failed' AND source <> 'fortigate') AS n_login_failed, count(*) AS n_parsed, 0 AS n_skipped
+FROM (SELECT 'wazuh' AS source, us, action FROM v UNION ALL SELECT 'windows', us, action FROM v
+      UNION ALL SELECT 'fortigate', CASE WHEN event_id % 2 = 0 THEN us ELSE us - us % 1000000 END, action FROM v)
+GROUP BY source"""
 ORACLES["normalize_errors"] = f"""{_v()}
 SELECT CASE action WHEN 'login_failed' THEN 'invalid Wazuh timestamp: ''not-a-timestamp'''
        WHEN 'login_success' THEN 'missing Wazuh timestamp'

@@ -7,6 +7,7 @@ whole pipeline have their own queries.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,10 +22,12 @@ from emberwatch.operators.rules import Rule, fan_out
 from emberwatch.operators.suppress import suppress_overlaps
 from emberwatch.operators.trust import trust_table, trusted_addresses
 from emberwatch.plans import profile, report, sinks
-from emberwatch.plans.ingest import ingest_stats, rejects_by_reason
+from emberwatch.plans.ingest import ingest, ingest_stats, read_directory, rejects_by_reason
 from emberwatch.plans.pipeline import analyze_events
 from emberwatch.sources import csv_export, firewall, json_lines
 from emberwatch.sources.directory import route_by_name
+from emberwatch.storage import staging_root
+from emberwatch.streaming.tail import tail
 from workload import lines
 from workload.event_view import DENSE, NORMAL, events, view
 
@@ -108,6 +111,63 @@ def ingest_accounting(spark, sf_dir):
     return ingest_stats(parsed.withColumn("source", F.lit("wazuh")))
 
 
+def _written(lines_: DataFrame, folder: str, name: str) -> None:
+    """The lines as text files below ``folder``, the name at the start of each file's."""
+    context = lines_.sparkSession.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    lines_.select("line").repartition(3).write.text(f"{folder}/{name}.parts")
+    source = hadoop.Path(f"{folder}/{name}.parts")
+    files = source.getFileSystem(context._jsc.hadoopConfiguration())
+    for i, status in enumerate(files.globStatus(hadoop.Path(source, "part-*"))):
+        files.rename(status.getPath(), hadoop.Path(f"{folder}/{name}-{i}.json"))
+
+
+def _folder(spark) -> str:
+    return f"{staging_root(spark)}/emberwatch/logs-{uuid.uuid4().hex}"
+
+
+@query
+def tail_accounting(spark, sf_dir):
+    """Files with defects tailed in several micro-batches: what became of every line."""
+    folder = _folder(spark)
+    _written(lines.defective_hids_lines(spark, sf_dir), f"{folder}/in", "alerts")
+    _written(lines.badly_timed_hids_lines(spark, sf_dir), f"{folder}/in", "times")
+    tailed, running = tail(
+        spark, f"{folder}/in/*.json", "wazuh", f"{folder}/out", f"{folder}/checkpoint", files_per_batch=2
+    )
+    running.awaitTermination()
+    events_ = tailed.events.agg(
+        F.lit("events").alias("kind"), F.lit("distinct ids").alias("what"), F.countDistinct("event_id").alias("n")
+    )
+    rows = [events_]
+    for kind, reason in (("rejects", "reject_reason"), ("errors", "error")):
+        counted = tailed.table(kind).groupBy(F.col(reason).alias("what")).agg(F.count(F.lit(1)).alias("n"))
+        rows.append(counted.select(F.lit(kind).alias("kind"), "what", "n"))
+    for column in ("total_lines", "parsed", "skipped"):
+        total = F.sum(column).alias("n")
+        rows.append(tailed.table("stats").agg(F.lit("stats").alias("kind"), F.lit(column).alias("what"), total))
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def ingest_directory(spark, sf_dir):
+    """A folder of files of three sources: routed, read, normalized and numbered."""
+    folder = _folder(spark)
+    _written(lines.hids_lines(spark, sf_dir), folder, "wazuh-alerts")
+    _written(lines.firewall_lines(spark, sf_dir), folder, "fortigate-traffic")
+    _written(lines.windows_shipper_lines(spark, sf_dir), folder, "windows-events")
+    read = ingest(read_directory(spark, folder).scans)
+    found = read.events.groupBy("source").agg(
+        F.countDistinct("event_id").alias("n_events"),
+        F.min(micros()).alias("first_us"),
+        F.max(micros()).alias("last_us"),
+        F.countDistinct("file_name").alias("n_files"),
+        F.count_if(F.col("action") == "login_failed").alias("n_login_failed"),
+    )
+    counted = read.stats.groupBy("source").agg(F.sum("parsed").alias("n_parsed"), F.sum("skipped").alias("n_skipped"))
+    return found.join(counted, "source")
+
+
 @query
 def normalize_errors(spark, sf_dir):
     parsed = json_lines.parse_hids_alerts(lines.badly_timed_hids_lines(spark, sf_dir))
