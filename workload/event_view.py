@@ -45,10 +45,35 @@ FROM (
 
 NORMAL, DENSE = 60, 600
 
+# A quarter of the events are transfers to one address in one instant of the evening, a
+# quarter are group changes; the rest is as it was.
+_PLANTED = """
+SELECT event_id, CASE WHEN event_id % 4 = 1 THEN 1704118500000000 ELSE us END AS us, k, source,
+       CASE WHEN event_id % 4 = 1 THEN '10.77.0.' || CAST(event_id % 12 AS STRING) ELSE src_ip END AS src_ip,
+       CASE WHEN event_id % 4 = 1 THEN '198.51.100.7' ELSE dst_ip END AS dst_ip,
+       CASE WHEN event_id % 4 = 1 THEN 'OUTSIDE' WHEN event_id % 4 = 2 THEN 'DIRECTORY' ELSE dst_host END AS dst_host,
+       CASE WHEN event_id % 4 IN (1, 2) THEN CAST(0 AS INT) ELSE dst_port END AS dst_port,
+       CASE WHEN event_id % 4 IN (0, 3) THEN user_name END AS user_name,
+       CASE WHEN event_id % 4 IN (0, 3) THEN process END AS process,
+       CASE WHEN event_id % 4 IN (0, 3) THEN src_host END AS src_host,
+       CASE WHEN event_id % 4 = 1 THEN 'connection_allowed' WHEN event_id % 4 = 2 THEN 'user_added_to_group'
+            ELSE action END AS action,
+       CASE WHEN event_id % 4 IN (0, 3) THEN result END AS result,
+       protocol, severity, rule_description, full_log
+FROM ({view}) c
+"""
+PLANTED = -1
+
+
+def _view_text(squeeze: int, micros: str, table: str) -> str:
+    if squeeze == PLANTED:
+        return _PLANTED.format(view=_VIEW.format(squeeze=NORMAL, micros=micros, table=table))
+    return _VIEW.format(squeeze=squeeze, micros=micros, table=table)
+
 
 def view_sql(squeeze: int = NORMAL) -> str:
     """The view for DuckDB."""
-    return _VIEW.format(squeeze=squeeze, micros="epoch_us(ts)", table="events").strip()
+    return _view_text(squeeze, "epoch_us(ts)", "events").strip()
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -64,7 +89,7 @@ def view(spark: SparkSession, sf_dir: str, squeeze: int = NORMAL) -> DataFrame:
             "event_id", "event_type", "user_id", F.expr("CAST(ts AS TIMESTAMP) AS ts")
         )
     )
-    sql = _VIEW.format(squeeze=squeeze, micros="unix_micros(ts)", table="{events}")
+    sql = _view_text(squeeze, "unix_micros(ts)", "{events}")
     return spark.sql(sql, events=events)
 
 

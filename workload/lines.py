@@ -98,6 +98,31 @@ def defective_hids_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(view(spark, sf_dir), line)
 
 
+def defective_firewall_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Firewall lines without their markers for some event types, and blank ones."""
+    whole = F.concat(_pair("devname", F.lit("FW"), '"'), F.lit(" type=traffic "), _pair("srcip", F.col("dst_ip")))
+    line = (
+        F.when(F.col("action") == "login_failed", _pair("srcip", F.col("dst_ip")))
+        .when(F.col("action") == "login_success", _pair("devname", F.lit("FW"), '"'))
+        .when(F.col("action") == "process_create", F.lit(" \t"))
+        .otherwise(whole)
+    )
+    return _lines(view(spark, sf_dir), line)
+
+
+def defective_windows_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows lines with planted defects, by event type."""
+    doc = F.to_json(F.struct(F.concat(_time(CLOCK), F.lit("Z")).alias("@timestamp"), F.struct("dst_host").alias("winlog")))
+    line = (
+        F.when(F.col("action") == "login_failed", F.substring(doc, F.lit(2), F.length(doc)))
+        .when(F.col("action") == "login_success", F.concat(doc, F.lit(",")))
+        .when(F.col("action") == "user_created", F.to_json(F.struct(F.lit("x").alias("message"))))
+        .when(F.col("action") == "process_create", F.lit(""))
+        .otherwise(doc)
+    )
+    return _lines(view(spark, sf_dir), line)
+
+
 def badly_timed_hids_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HIDS lines whose times are bad for some event types."""
     time = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from emberwatch import fixed_values as fv
 from emberwatch.operators.rules import DEFAULT_RULES
 from workload import queries as q
-from workload.event_view import DENSE, NORMAL, view_sql
+from workload.event_view import DENSE, NORMAL, PLANTED, view_sql
 
 ORACLES: dict[str, str] = {}
 
@@ -74,6 +74,18 @@ FROM v GROUP BY v.source"""
 _BAD_TIMES = """CASE action WHEN 'login_failed' THEN 'invalid Wazuh timestamp: ''not-a-timestamp'''
        WHEN 'login_success' THEN 'missing Wazuh timestamp'
        WHEN 'user_created' THEN 'invalid Wazuh timestamp: ''2024-13-01T00:00:00Z''' END"""
+_ISO = """strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S')
+  || CASE WHEN us % 1000000 <> 0 THEN '.' || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00'"""
+ORACLES["contract_json"] = f"""{_v()}
+SELECT {_ISO} AS time, src_ip, dst_host, dst_port, user_name, severity,
+       list_extract([3, 5, 8, 13], severity) AS rule_level, dst_host AS raw_name, count(*) AS n
+FROM v GROUP BY ALL"""
+ORACLES["rejects_by_reason_firewall"] = f"""{_v()}
+SELECT 'fortigate' AS source, CASE action WHEN 'login_failed' THEN 'no device or type marker' ELSE 'no type' END AS reject_reason,
+       count(*) AS n FROM v WHERE action IN ('login_failed', 'login_success') GROUP BY ALL"""
+ORACLES["rejects_by_reason_windows"] = f"""{_v()}
+SELECT 'windows' AS source, CASE action WHEN 'user_created' THEN 'no timestamp' ELSE 'not a JSON object' END AS reject_reason,
+       count(*) AS n FROM v WHERE action IN ('login_failed', 'login_success', 'user_created') GROUP BY ALL"""
 ORACLES["tail_accounting"] = f"""{_v()},
 bad AS (SELECT CASE action WHEN 'user_created' THEN 'no timestamp or rule' ELSE 'not a JSON object' END AS what
   FROM v WHERE action IN ('login_failed', 'login_success', 'user_created'))
@@ -288,6 +300,14 @@ anchors AS (
 SELECT 0 AS rule_idx, 'ANY' AS key, anchor AS start_us, max(us) AS end_us, CAST(sum(n) AS BIGINT) AS event_count
 FROM points p ASOF JOIN anchors a ON p.us >= a.anchor GROUP BY anchor"""
 ORACLES["incident_ids"] = f"{incidents_sql()} SELECT id, rule_idx, key, start_us, first_event_id FROM inc"
+ORACLES["select_incident"] = f"""{incidents_sql()}
+SELECT id, rule_idx, key, start_us, end_us, event_count FROM inc WHERE id = 3"""
+ORACLES["pipeline_counters"] = f"""{incidents_sql()}
+SELECT (SELECT count(*) + count(*) FILTER (action = 'connection_allowed') FROM v) AS raw_events,
+       (SELECT count(*) FILTER (action = 'connection_allowed') + count(*) FILTER (action IN ('connection_allowed', 'process_create')) FROM v)
+         AS normalized_events,
+       (SELECT 2 * count(*) FILTER (action IN ('login_failed', 'login_success', 'user_created')) FROM v) AS skipped,
+       count(*) AS incidents, CAST(coalesce(sum(event_count), 0) AS BIGINT) AS events_grouped FROM inc"""
 ORACLES["incident_membership"] = f"{incidents_sql()} SELECT id, event_id FROM mem"
 
 # --- detection ------------------------------------------------------------------------------------------
@@ -372,7 +392,7 @@ ORACLES["incidents_raw"] = f"""{profiles_sql()}
 SELECT id, event_count, start_us, end_us, n_ips, n_users, n_ports, n_hosts, sources FROM p"""
 ORACLES["incident_order"] = f"""{profiles_sql()}
 SELECT row_number() OVER (ORDER BY event_count DESC, n_ips DESC, id) AS rank, id, event_count, n_ips FROM p"""
-for _suffix, _squeeze in (("", NORMAL), ("_dense", DENSE)):
+for _suffix, _squeeze in (("", NORMAL), ("_dense", DENSE), ("_planted", PLANTED)):
     ORACLES[f"classify_patterns{_suffix}"] = f"{profiles_sql(_squeeze)} SELECT id, pattern FROM pattern"
     for _prefix in ("TP", "FP"):
         ORACLES[f"{_prefix.lower()}_indicators{_suffix}"] = f"""{profiles_sql(_squeeze)}
@@ -533,7 +553,7 @@ kept AS MATERIALIZED (
   JOIN (SELECT r, max(status) AS status FROM rounds GROUP BY r) last ON last.r = ranked.r AND last.status = 1)"""
 
 
-for _suffix, _squeeze in (("", NORMAL), ("_dense", DENSE)):
+for _suffix, _squeeze in (("", NORMAL), ("_dense", DENSE), ("_planted", PLANTED)):
     ORACLES[f"suppress_overlapping{_suffix}"] = f"""{_kept(incidents_sql(_squeeze))}
 SELECT id, event_count FROM kept"""
 ORACLES["correlate_membership"] = f"""{_kept(incidents_sql())}

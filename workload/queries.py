@@ -18,6 +18,7 @@ from emberwatch.functions import clock, free_text, network, text, verdicts
 from emberwatch.operators import normalize as n
 from emberwatch.operators.correlate import Correlation, candidate_incidents, correlate
 from emberwatch.operators.detect import Detection, detect
+from emberwatch.operators.normalize import split_normalized
 from emberwatch.operators.rules import Rule, fan_out
 from emberwatch.operators.suppress import suppress_overlaps
 from emberwatch.operators.trust import trust_table, trusted_addresses
@@ -29,7 +30,7 @@ from emberwatch.sources.directory import route_by_name
 from emberwatch.storage import staging_root
 from emberwatch.streaming.tail import tail
 from workload import lines
-from workload.event_view import DENSE, NORMAL, events, view
+from workload.event_view import DENSE, NORMAL, PLANTED, events, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -105,6 +106,41 @@ def rejects_by_reason_hids(spark, sf_dir):
     return rejects_by_reason(parsed.withColumn("source", F.lit("wazuh")))
 
 
+@query
+def rejects_by_reason_firewall(spark, sf_dir):
+    parsed = firewall.parse_firewall_lines(lines.defective_firewall_lines(spark, sf_dir))
+    return rejects_by_reason(parsed.withColumn("source", F.lit("fortigate")))
+
+
+@query
+def rejects_by_reason_windows(spark, sf_dir):
+    parsed = json_lines.parse_windows_events(lines.defective_windows_lines(spark, sf_dir))
+    return rejects_by_reason(parsed.withColumn("source", F.lit("windows")))
+
+
+@query
+def contract_json(spark, sf_dir):
+    """Normalized events written as JSON lines and read again as text."""
+    path = _folder(spark)
+    parsed = json_lines.parse_hids_alerts(lines.hids_lines(spark, sf_dir))
+    sinks.write_events(split_normalized(n.normalize_hids(parsed))[0], path)
+    written = spark.read.text(path)
+    found = F.json_tuple(
+        "value", "timestamp", "src_ip", "dst_host", "dst_port", "user", "severity"
+    ).alias("time", "src_ip", "dst_host", "dst_port", "user_name", "severity")
+    return (
+        written.where(F.size(F.json_object_keys("value")) == 15)
+        .select(
+            found,
+            F.get_json_object("value", "$.extra.rule_level").cast("int").alias("rule_level"),
+            F.get_json_object("value", "$.raw_event.agent.name").alias("raw_name"),
+        )
+        .withColumns({"dst_port": F.col("dst_port").cast("int"), "severity": F.col("severity").cast("int")})
+        .groupBy("time", "src_ip", "dst_host", "dst_port", "user_name", "severity", "rule_level", "raw_name")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 @query
 def ingest_accounting(spark, sf_dir):
     parsed = json_lines.parse_hids_alerts(lines.defective_hids_lines(spark, sf_dir))
@@ -644,6 +680,23 @@ def incident_ids(spark, sf_dir):
     )
 
 
+@query
+def select_incident(spark, sf_dir):
+    return report.select_incident(judged(spark, sf_dir).incidents, 3).select(
+        "id", "rule_idx", key_text().alias("key"), "start_us", "end_us", "event_count"
+    )
+
+
+@query
+def pipeline_counters(spark, sf_dir):
+    """Counters of a folder with defects, beside those of the incidents."""
+    folder = _folder(spark)
+    _written(lines.defective_hids_lines(spark, sf_dir), folder, "wazuh-alerts")
+    _written(lines.badly_timed_hids_lines(spark, sf_dir), folder, "wazuh-times")
+    read = ingest(read_directory(spark, folder).scans)
+    return report.pipeline_stats(read, judged(spark, sf_dir))
+
+
 @query
 def incident_membership(spark, sf_dir):
     found = candidates(spark, sf_dir)
@@ -693,6 +746,11 @@ def classify_patterns_dense(spark, sf_dir):
     return judged(spark, sf_dir, DENSE).incidents.select("id", "pattern")
 
 
+@query
+def classify_patterns_planted(spark, sf_dir):
+    return judged(spark, sf_dir, PLANTED).incidents.select("id", "pattern")
+
+
 def _indicator_table(incidents: DataFrame, prefix: str) -> DataFrame:
     codes = F.transform(
         F.filter("reasoning", lambda x: x["code"].startswith(prefix)),
@@ -711,11 +769,21 @@ def tp_indicators_dense(spark, sf_dir):
     return _indicator_table(judged(spark, sf_dir, DENSE).incidents, "TP")
 
 
+@query
+def tp_indicators_planted(spark, sf_dir):
+    return _indicator_table(judged(spark, sf_dir, PLANTED).incidents, "TP")
+
+
 @query
 def fp_indicators(spark, sf_dir):
     return _indicator_table(judged(spark, sf_dir).incidents, "FP")
 
 
+@query
+def fp_indicators_planted(spark, sf_dir):
+    return _indicator_table(judged(spark, sf_dir, PLANTED).incidents, "FP")
+
+
 @query
 def fp_indicators_dense(spark, sf_dir):
     return _indicator_table(judged(spark, sf_dir, DENSE).incidents, "FP")
