@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberwatch.fixed_values import (
     ACTION_EXCLUDED_COLUMNS,
@@ -30,7 +29,8 @@ from emberwatch.functions.documents import computed_once
 from emberwatch.functions.text import let
 from emberwatch.sources.json_lines import HIDS_MEMBERS, WINDOWS_MEMBERS, members
 from emberwatch.sources.firewall import fields_from_documents
-from emberwatch.sources.lines import stripped, with_lineage
+from emberwatch.sources.csv_records import read_csv_records
+from emberwatch.sources.lines import LINEAGE_ORDER, stripped
 
 SURPLUS = "__surplus_cell"
 
@@ -229,12 +229,10 @@ def parse_csv_rows(rows: DataFrame, columns: Sequence[str], kind: str, mappings=
     return computed_once(documents, *documents.columns, members(documents, names).alias("d"))
 
 
-def _reader(spark: SparkSession):
-    return spark.read.options(
-        header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE",
-        enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        nullValue="", encoding="UTF-8",
-    )
+_CELLS = {
+    "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
@@ -251,10 +249,16 @@ def csv_columns(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_csv_cells(spark: SparkSession, paths, columns: Sequence[str]) -> DataFrame:
-    """Rows as ``c0..cN`` with a sentinel for surplus cells, plus lineage."""
+    """Rows as ``c0..cN`` with a sentinel for surplus cells, plus lineage.
+
+    Files are read in splits, whatever their cells hold (``csv_records``).
+    """
     names = [f"c{place}" for place in range(len(columns))] + [SURPLUS]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return with_lineage(_reader(spark).schema(schema).csv(paths), *names)
+    records = read_csv_records(spark, paths)
+    cells = F.from_csv("record", ", ".join(f"{name} string" for name in names), _CELLS)
+    return computed_once(records, *LINEAGE_ORDER, cells.alias("cells")).select(
+        *[F.col(f"cells.{name}").alias(name) for name in names], *LINEAGE_ORDER
+    )
 
 
 def read_csv_export(

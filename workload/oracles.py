@@ -96,6 +96,9 @@ UNION ALL SELECT 'errors', {_BAD_TIMES}, count(*) FROM v WHERE action IN ('login
 UNION ALL SELECT 'stats', 'total_lines', 2 * count(*) FROM v
 UNION ALL SELECT 'stats', 'parsed', count(*) + count(*) FILTER (action = 'connection_allowed') FROM v
 UNION ALL SELECT 'stats', 'skipped', (SELECT count(*) FROM bad)"""
+ORACLES["csv_records"] = """
+SELECT doc_id, lang, CAST(length(coalesce(text, '')) AS INT) AS n_chars, md5(coalesce(text, '')) AS digest, false AS surplus
+FROM documents"""
 ORACLES["ingest_directory"] = f"""{_v()}
 SELECT source, count(*) AS n_events, min(us) AS first_us, max(us) AS last_us, 3 AS n_files,
        count(*) FILTER (action = 'login_failed' AND source <> 'fortigate') AS n_login_failed, count(*) AS n_parsed, 0 AS n_skipped

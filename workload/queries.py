@@ -27,7 +27,7 @@ from emberwatch.plans.ingest import ingest, ingest_stats, read_directory, reject
 from emberwatch.plans.pipeline import analyze_events
 from emberwatch.sources import csv_export, firewall, json_lines
 from emberwatch.sources.directory import route_by_name
-from emberwatch.storage import staging_root
+from emberwatch.storage import stage, staging_root
 from emberwatch.streaming.tail import tail
 from workload import lines
 from workload.event_view import DENSE, NORMAL, PLANTED, events, view
@@ -185,6 +185,28 @@ def tail_accounting(spark, sf_dir):
     return reduce(DataFrame.unionByName, rows)
 
 
+@query
+def csv_records(spark, sf_dir):
+    """Whole texts with line ends and quotes in the cells of one file, read in many splits."""
+    folder = _folder(spark)
+    columns = ["doc_id", "lang", "text"]
+    table(spark, sf_dir, "documents").select(*columns).coalesce(1).write.options(
+        header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(folder)
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        cells = stage(csv_export.read_csv_cells(spark, folder, columns), "csv_cells")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    text = F.coalesce("c2", F.lit(""))
+    return cells.select(
+        F.col("c0").cast("long").alias("doc_id"), F.col("c1").alias("lang"),
+        F.char_length(text).alias("n_chars"), F.md5(text).alias("digest"),
+        F.col(csv_export.SURPLUS).isNotNull().alias("surplus"),
+    )
+
+
 @query
 def ingest_directory(spark, sf_dir):
     """A folder of files of three sources: routed, read, normalized and numbered."""
