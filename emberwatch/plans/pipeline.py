@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +12,7 @@ from emberwatch.operators.correlate import Correlation, correlate
 from emberwatch.operators.detect import Detection, detect
 from emberwatch.operators.rules import DEFAULT_RULES, Rule
 from emberwatch.plans.ingest import Ingest, ingest, read_directory, scan_file
+from emberwatch.storage import Owner, owned
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,18 @@ class Analysis:
     events: DataFrame
     correlation: Correlation
     detection: Detection
+    staged: Owner | None = None
+
+    def close(self) -> None:
+        """Release what was staged for the run; its tables cannot be read afterwards."""
+        if self.staged is not None:
+            self.staged.release()
+
+    def __enter__(self) -> Analysis:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def parse(
@@ -53,12 +66,13 @@ def analyze_events(
     ``events`` needs a unique ``event_id`` that ascends in input order.  ``trust`` is a
     document, its path, or a table of entries of any length.
     """
-    correlation = correlate(events, rules)
-    trusted = trust if isinstance(trust, DataFrame) else load_document(trust)
-    detection = detect(
-        correlation, events, trusted, trust_match, load_pattern_rules(patterns)
-    )
-    return Analysis(ingested, events, correlation, detection)
+    with owned(events.sparkSession) as staged:
+        correlation = correlate(events, rules)
+        trusted = trust if isinstance(trust, DataFrame) else load_document(trust)
+        detection = detect(
+            correlation, events, trusted, trust_match, load_pattern_rules(patterns)
+        )
+    return Analysis(ingested, events, correlation, detection, staged)
 
 
 def analyze(
@@ -70,13 +84,16 @@ def analyze(
     **options,
 ) -> Analysis:
     """Files of one source, or every recognised file of a directory, to incidents."""
-    if path and source:
-        scans = [scan_file(spark, source, path, load_mappings(mappings))]
-    elif directory:
-        scans = read_directory(spark, directory, load_mappings(mappings)).scans
-    else:
-        raise ValueError("give path and source, or directory")
-    ingested = ingest(scans)
-    if ingested.events.isEmpty():
-        raise ValueError("no event could be parsed from any file")
-    return analyze_events(ingested.events, ingested=ingested, **options)
+    with owned(spark) as staged:
+        if path and source:
+            scans = [scan_file(spark, source, path, load_mappings(mappings))]
+        elif directory:
+            scans = read_directory(spark, directory, load_mappings(mappings)).scans
+        else:
+            raise ValueError("give path and source, or directory")
+        ingested = ingest(scans)
+        if ingested.events.isEmpty():
+            raise ValueError("no event could be parsed from any file")
+        run = analyze_events(ingested.events, ingested=ingested, **options)
+        staged.paths += run.staged.paths
+    return replace(run, staged=staged)

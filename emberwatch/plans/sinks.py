@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberwatch.plans import report as r
 from emberwatch.plans.ingest import Ingest
 from emberwatch.operators.detect import Detection
+from emberwatch.storage import owned, publish
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
@@ -86,17 +87,17 @@ def write_report(
     fmt: str = "parquet",
 ) -> list[str]:
     """Write each table below ``path``; the event lists are sorted by incident and
-    time across files."""
-    tables = report_tables(detection, events, detail, verbose)
-    for name, table in tables.items():
-        if name == "incident_event_list":
+    time across files.  Tables appear when all are complete; what is staged for them
+    is released."""
+    with owned(events.sparkSession, release=True):
+        tables = report_tables(detection, events, detail, verbose)
+        if "incident_event_list" in tables:
             order = ["id", "us", "event_id"]
-            table = table.repartitionByRange(*order).sortWithinPartitions(*order)
-        table.write.format(fmt).save(f"{path}/{name}")
-    return sorted(tables)
+            listed = tables["incident_event_list"]
+            tables["incident_event_list"] = listed.repartitionByRange(*order).sortWithinPartitions(*order)
+        return publish(tables, path, fmt)
 
 
-def write_problems(ingested: Ingest, path: str, fmt: str = "parquet") -> None:
+def write_problems(ingested: Ingest, path: str, fmt: str = "parquet") -> list[str]:
     """Corrupt records and normalization errors."""
-    ingested.rejects.write.format(fmt).save(f"{path}/rejects")
-    ingested.errors.write.format(fmt).save(f"{path}/errors")
+    return publish({"rejects": ingested.rejects, "errors": ingested.errors}, path, fmt)
