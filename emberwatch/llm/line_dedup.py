@@ -25,23 +25,29 @@ it shorter lines always stay and words are what stands between white space.
    each line gets few candidates, never all pairs, even where thousands share a key.
    The words of every candidate pair are compared before a line is dropped.
 
-Cases: null text stays null and has no lines; null ids are last in the order, and rows
-that share an id share one order of lines, so a line is dropped from all rows of that
-id or from none; blank lines and line ends stay; white space inside a line and the case
-of A-Z do not count; an empty table gives an empty result; other columns pass through.
+Each row of the input is written once with a key of its own (``__row``), by which dropped
+lines are cut.  Words travel as one string per line, hashed as a string, and only from the
+first place of a line that can have a partner.
+
+Cases: null text stays null and has no lines; null ids are last in the order; rows that
+share an id, or have none, stand in the order of their keys, so the first of equal rows
+keeps its lines and a line that occurs nowhere else stays in every case; blank lines and
+line ends stay; white space inside a line and the case of A-Z do not count; an empty table
+gives an empty result; other columns pass through, but ``n_lines`` and ``n_dropped`` are
+replaced unless ``counts`` is false.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.storage import stage
 
 MIN_WORDS = 8
-# Candidate lines that are sent to all tasks at most (24 bytes each); more are joined
-# by shuffling the texts.
-SENT_LINES = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER_SPACE = "\t\x0b\f\r"
 # Thai, Lao, Tibetan, Myanmar; Khmer; kana and Han: as ranges, since Java looks up a
@@ -52,41 +58,49 @@ SPACELESS = (
 )
 
 
-def words_of(line: Column, every_line: bool = False) -> Column:
-    plain = F.translate(line, UPPER + OTHER_SPACE, LOWER + " " * len(OTHER_SPACE))
+def _normal(lines: DataFrame, every_line: bool) -> DataFrame:
+    """``line`` as its words with one space between them, in ``plain``."""
+    line = F.col("line")
+    ascii_only = F.octet_length(line) == F.char_length(line)
+    # Case is folded for A-Z alone; the quick way does just that to ASCII.
+    other = F.translate(line, UPPER, LOWER)
     if every_line:
-        # Only lines that are not all ASCII can have such characters.
-        apart = F.regexp_replace(plain, SPACELESS, " $0 ")
-        plain = F.when(F.octet_length(plain) > F.char_length(plain), apart).otherwise(plain)
-    return F.array_remove(F.split(plain, " "), "")
+        other = F.regexp_replace(other, SPACELESS, " $0 ")
+    folded = lines.withColumn("plain", F.when(ascii_only, F.lower(line)).otherwise(other))
+    odd = reduce(or_, (F.contains("plain", F.lit(x)) for x in [*OTHER_SPACE, "  "]))
+    one_space = F.regexp_replace("plain", f"[ {OTHER_SPACE}]+", " ")
+    return folded.withColumn("plain", F.trim(F.when(odd, one_space).otherwise(F.col("plain"))))
 
 
 def _lines(docs: DataFrame, every_line: bool) -> DataFrame:
-    """doc_id, line_no, words, n of each line that takes part."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    # A filter does not move below the row number, so the words are computed once.
-    split = lines.select(
-        "doc_id",
-        "line_no",
-        words_of(F.col("line"), every_line).alias("words"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return split.where(F.size("words") >= (1 if every_line else MIN_WORDS)).select(
-        "doc_id", "line_no", "words", F.size("words").alias("n")
-    )
+    """Place, k1, k2 of each line that takes part, and of a long one ``plain`` and ``ends``."""
+    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    plain = F.col("plain")
+    spaces = F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit("")))
+    # A filter does not move below the task's numbers, so lines are made plain once.
+    counted = _normal(lines, every_line).select(
+        "doc_id", "row", "line_no", "plain",
+        F.when(plain == "", 0).otherwise(spaces + 1).alias("n"),
+        F.monotonically_increasing_id().alias("barrier"),
+    )
+    long = F.col("n") >= MIN_WORDS
+    return counted.where(F.col("n") >= (1 if every_line else MIN_WORDS)).select(
+        _place().alias("place"),
+        plain_hash("k1"), plain_hash("k2", "second"),
+        F.when(long, plain).alias("plain"),
+        # Shorter lines meet by their keys alone.
+        F.when(long, _ends()).alias("ends"),
+    )
+
+
+def plain_hash(name: str, *seed: str) -> Column:
+    return F.xxhash64(*[F.lit(x) for x in seed], "plain").alias(name)
 
 
 def _place() -> Column:
     """Order of lines; rows without an id come last."""
-    return F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("line_no"))
-
-
-def _keys(words: Column) -> dict[str, Column]:
-    return {"k1": F.xxhash64(words), "k2": F.xxhash64(F.lit("second"), words)}
-
-
-def _named(columns: dict[str, Column]) -> list[Column]:
-    return [column.alias(name) for name, column in columns.items()]
+    late = F.col("doc_id").isNull()
+    return F.struct(late.alias("late"), F.col("doc_id"), F.col("row"), F.col("line_no"))
 
 
 def _half(n: Column) -> Column:
@@ -96,24 +110,22 @@ def _half(n: Column) -> Column:
 
 def _ends() -> Column:
     """Hashes of the first and last words, for a line's own length and for one word less."""
-    words, n = F.col("words"), F.col("n")
+    plain, n = F.col("plain"), F.col("n")
     p, q = _half(n), _half(n - 1)
 
     def both(size: Column) -> Column:
-        first, last = F.slice(words, F.lit(1), size), F.slice(words, -size, size)
+        first, last = (F.call_function("substring_index", plain, F.lit(" "), x) for x in (size, -size))
         return F.array(F.xxhash64(F.lit("first"), first), F.xxhash64(F.lit("last"), last))
 
-    ends = F.when(p == q, both(p)).otherwise(F.concat(both(p), both(q)))
-    # Shorter lines meet by their keys alone.
-    return F.when(n >= MIN_WORDS, ends).otherwise(F.array().cast("array<bigint>"))
+    return F.when(p == q, both(p)).otherwise(F.concat(both(p), both(q)))
 
 
-def _with_partner(lines: DataFrame) -> DataFrame:
+def _with_partner(firsts: DataFrame) -> DataFrame:
     """Lines that share an end with a different line: their first place and the shared ends.
 
     ``shared`` has 0 for the first and 1 for the last words, 2 and 3 for those of one word less.
     """
-    ends = lines.select("k1", "k2", "doc_id", "line_no", F.posexplode("ends").alias("which", "end"))
+    ends = firsts.select("k1", "k2", "place", F.posexplode("ends").alias("which", "end"))
     shared = (
         ends.groupBy("end")
         .agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
@@ -123,27 +135,20 @@ def _with_partner(lines: DataFrame) -> DataFrame:
     return (
         ends.join(stage(shared, "line_ends"), "end", "left_semi")
         .groupBy("k1", "k2")
-        .agg(F.min(_place()).alias("place"), F.collect_set("which").alias("shared"))
+        .agg(F.min("place").alias("place"), F.collect_set("which").alias("shared"))
     )
 
 
-def _fetched(docs: DataFrame, partners: DataFrame, every_line: bool) -> DataFrame:
-    """The words of the partner lines, from the documents that have them first."""
-    wanted = partners.groupBy(F.col("place.doc_id").alias("wanted_id")).agg(
-        F.collect_list(F.struct("place.line_no", "k1", "k2", "shared")).alias("lines")
-    )
-    if partners.count() <= SENT_LINES:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
-    return (
-        texts.select("doc_id", F.split("text", "\n").alias("all"), F.explode("lines").alias("x"))
-        .select("doc_id", "x.*", words_of(F.get("all", F.col("x.line_no")), every_line).alias("words"))
-        .where(F.col("k1") == F.xxhash64("words"))
-        .select("k1", "k2", _place().alias("place"), "shared", "words", F.size("words").alias("n"))
-        .dropDuplicates(["k1", "k2"])
-        # Fixed once written; short to carry.
-        .withColumn("line", F.monotonically_increasing_id())
-    )
+def _candidates(lines: DataFrame, partners: DataFrame) -> DataFrame:
+    """The words of the partner lines, from the places that have them first."""
+    texts = lines.where("plain is not null").select("place.row", "place.line_no", "plain")
+    at = partners.withColumns({"row": F.col("place.row"), "line_no": F.col("place.line_no")})
+    words = texts.join(at, ["row", "line_no"]).withColumn("words", F.split("plain", " "))
+    # ``line`` is fixed once written, and short to carry.
+    return words.select(
+        "k1", "k2", "place", "shared", "words", F.size("words").alias("n"),
+        F.monotonically_increasing_id().alias("line"),
+    )
 
 
 def _variants(candidates: DataFrame) -> DataFrame:
@@ -184,6 +189,7 @@ def _variants(candidates: DataFrame) -> DataFrame:
 
 def _candidate_pairs(variants: DataFrame) -> DataFrame:
     """(before, line): earlier candidates for each line."""
+    variants = stage(variants, "line_all_variants")
     shared = (
         variants.groupBy("v1")
         .agg(F.min("line").alias("low"), F.max("line").alias("high"))
@@ -224,15 +230,16 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 
 def dropped_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
-    """(doc_id, line_no) of every line to drop; ``docs`` has doc_id and text."""
-    lines = stage(
-        _lines(docs, every_line).select(
-            "doc_id", "line_no", *_named(_keys(F.col("words"))), _ends().alias("ends")
+    """(row, line_no) of every line to drop; ``docs`` has doc_id, text and a key ``row`` per row."""
+    lines = stage(_lines(docs, every_line), "line_keys")
+    firsts = stage(
+        lines.groupBy("k1", "k2").agg(
+            F.min("place").alias("place"), F.count(F.lit(1)).alias("times"), F.any_value("ends").alias("ends")
         ),
-        "line_keys",
+        "line_firsts",
     )
-    partners = stage(_with_partner(lines), "line_partners")
-    candidates = stage(_fetched(docs, partners, every_line), "line_candidates")
+    partners = stage(_with_partner(firsts), "line_partners")
+    candidates = stage(_candidates(lines, partners), "line_candidates")
     pairs = stage(_candidate_pairs(_variants(candidates)), "line_pairs")
     own = candidates.select("line", "k1", "k2", "words")
     earlier = candidates.select(F.col("line").alias("before"), F.col("words").alias("other"))
@@ -244,40 +251,36 @@ def dropped_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
         .distinct()
     )
     # Lines of which something is to be dropped: they have an earlier partner or repeats.
-    firsts = stage(
-        lines.groupBy("k1", "k2")
-        .agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("times"))
-        .join(stage(near, "line_near"), ["k1", "k2"], "left")
+    repeated = stage(
+        firsts.join(stage(near, "line_near"), ["k1", "k2"], "left")
         .where("near or times > 1")
-        .select("k1", "k2", "place", F.coalesce("near", F.lit(False)).alias("near")),
-        "line_firsts",
+        .select("k1", "k2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")),
+        "line_repeated",
     )
-    gone = lines.select("k1", "k2", "doc_id", "line_no").join(firsts, ["k1", "k2"])
-    return gone.where(F.col("near") | (_place() > F.col("place"))).select("doc_id", "line_no").distinct()
+    gone = lines.select("k1", "k2", "place").join(repeated, ["k1", "k2"])
+    return gone.where("near or place > first").select("place.row", "place.line_no")
 
 
 def line_dedup(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every_line: bool = False
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every_line: bool = False, counts: bool = True
 ) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cleaned, plus n_lines and n_dropped."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    per_doc = (
+    """All columns of ``docs`` with ``text`` cleaned, plus n_lines and n_dropped with ``counts``."""
+    keyed = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "line_docs")
+    source = keyed.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col("__row").alias("row")
+    )
+    per_row = (
         stage(dropped_lines(source, every_line), "line_dropped")
-        .groupBy(F.col("doc_id").alias("__gone_id"))
+        .groupBy(F.col("row").alias("__row"))
         .agg(F.collect_set("line_no").alias("__gone"))
     )
-    joined = docs.join(per_doc, F.col(doc_id).eqNullSafe(F.col("__gone_id")), "left")
-    lines = F.split(F.col(text), "\n")
-    numbered = F.arrays_zip(lines.alias("line"), F.sequence(F.lit(0), F.size(lines) - 1).alias("no"))
-    kept = F.transform(
-        F.filter(numbered, lambda x: ~F.array_contains(F.col("__gone"), x["no"])),
-        lambda x: x["line"],
-    )
+    joined = keyed.join(per_row, "__row", "left").withColumn("__lines", F.split(F.col(text), "\n"))
+    lines = F.col("__lines")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+    kept = F.transform(stay, lambda at: F.get(lines, at))
     cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns(
-        {
-            text: cleaned,
-            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-            "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-        }
-    ).drop("__gone_id", "__gone")
+    columns = {text: cleaned}
+    if counts:
+        columns["n_lines"] = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
+        columns["n_dropped"] = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
+    return joined.withColumns(columns).drop("__row", "__gone", "__lines")

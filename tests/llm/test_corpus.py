@@ -95,7 +95,7 @@ def brute_lines(texts):
     return {(d, k) for i, (d, k, w) in enumerate(lines) if any(near(w, x) for *_, x in lines[:i])}
 
 
-def test_line_dedup_equals_all_pairs(spark, monkeypatch):
+def test_line_dedup_equals_all_pairs(spark):
     rng = random.Random(2)
     texts = [None, "", "short line", "short line", "\n\n"]
     for _ in range(60):
@@ -116,14 +116,12 @@ def test_line_dedup_equals_all_pairs(spark, monkeypatch):
     gone = brute_lines(texts)
     assert gone
     docs = docs_of(spark, texts)
-    for sent in (line_dedup.SENT_LINES, -1):  # both ways to bring words to the candidates
-        monkeypatch.setattr(line_dedup, "SENT_LINES", sent)
-        got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).collect()}
-        for d, t in enumerate(texts):
-            kept = None if t is None else "\n".join(
-                x for k, x in enumerate(t.split("\n")) if (d, k) not in gone
-            )
-            assert got[d]["text"] == kept
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).collect()}
+    for d, t in enumerate(texts):
+        kept = None if t is None else "\n".join(
+            x for k, x in enumerate(t.split("\n")) if (d, k) not in gone
+        )
+        assert got[d]["text"] == kept
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
@@ -156,6 +154,24 @@ def test_line_dedup_reaches_every_line(spark):
     assert want[-3:-1] == texts[-3:-1]  # one changed word of few is another line
 
 
+def test_line_dedup_by_rows_where_ids_repeat_or_are_null(spark):
+    long = "one two three four five six seven eight nine"
+    rows = [
+        (7, "x\nkeep me A", 1), (7, "y\nx", 2), (None, "alpha\ny", 3), (None, "beta two\nUNIQUE text", 4),
+        (8, "same row\nhere", 5), (8, "same row\nhere", 6), (None, None, 7), (9, "", 8), (3, f"\t {long}", 9),
+        (None, f"{long.upper()} ten\nbeta   TWO", 10), (None, "alpha\u00a0\n\u00c9t\u00e9\n\u00e9t\u00e9\n\u00c9T\u00e9", 11),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines long").coalesce(1)
+    got = {r["n_lines"]: r["text"] for r in line_dedup.line_dedup(docs, every_line=True, counts=False).collect()}
+    assert got == {
+        1: "x\nkeep me A", 2: "y", 3: "alpha", 4: "beta two\nUNIQUE text", 5: "same row\nhere", 6: "",
+        7: None, 8: "", 9: f"\t {long}", 10: "", 11: "alpha\u00a0\n\u00c9t\u00e9\n\u00e9t\u00e9",
+    }
+    counted = line_dedup.line_dedup(docs.drop("n_lines"), every_line=True)
+    assert counted.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    assert counted.agg(F.sum("n_dropped")).first()[0] == 7
+
+
 # --- near copies --------------------------------------------------------------------------
 
 
