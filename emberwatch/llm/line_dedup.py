@@ -26,8 +26,8 @@ it shorter lines always stay and words are what stands between white space.
    The words of every candidate pair are compared before a line is dropped.
 
 Each row of the input is written once with a key of its own (``__row``), by which dropped
-lines are cut.  Words travel as one string per line, hashed as a string, and only from the
-first place of a line that can have a partner.
+lines are cut.  A line is hashed as one string; words are taken only from the first place
+of a line that can have a partner.
 
 Cases: null text stays null and has no lines; null ids are last in the order; rows that
 share an id, or have none, stand in the order of their keys, so the first of equal rows
@@ -73,23 +73,23 @@ def _normal(lines: DataFrame, every_line: bool) -> DataFrame:
 
 
 def _lines(docs: DataFrame, every_line: bool) -> DataFrame:
-    """Place, k1, k2 of each line that takes part, and of a long one ``plain`` and ``ends``."""
+    """doc_id, row, line_no, k1, k2 of each line that takes part, and of a long one ``ends``."""
     lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     plain = F.col("plain")
     spaces = F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit("")))
-    # A filter does not move below the task's numbers, so lines are made plain once.
     counted = _normal(lines, every_line).select(
         "doc_id", "row", "line_no", "plain",
         F.when(plain == "", 0).otherwise(spaces + 1).alias("n"),
         F.monotonically_increasing_id().alias("barrier"),
     )
-    long = F.col("n") >= MIN_WORDS
-    return counted.where(F.col("n") >= (1 if every_line else MIN_WORDS)).select(
-        _place().alias("place"),
+    # The filter reads the task's numbers, so it stays above the steps that make lines plain,
+    # and these are taken once per line.
+    least = 1 if every_line else MIN_WORDS
+    return counted.where((F.col("n") >= least) & (F.col("barrier") >= 0)).select(
+        "doc_id", "row", "line_no",
         plain_hash("k1"), plain_hash("k2", "second"),
-        F.when(long, plain).alias("plain"),
         # Shorter lines meet by their keys alone.
-        F.when(long, _ends()).alias("ends"),
+        F.when(F.col("n") >= MIN_WORDS, _ends()).alias("ends"),
     )
 
 
@@ -120,12 +120,12 @@ def _ends() -> Column:
     return F.when(p == q, both(p)).otherwise(F.concat(both(p), both(q)))
 
 
-def _with_partner(firsts: DataFrame) -> DataFrame:
+def _with_partner(lines: DataFrame) -> DataFrame:
     """Lines that share an end with a different line: their first place and the shared ends.
 
     ``shared`` has 0 for the first and 1 for the last words, 2 and 3 for those of one word less.
     """
-    ends = firsts.select("k1", "k2", "place", F.posexplode("ends").alias("which", "end"))
+    ends = lines.select("k1", "k2", "doc_id", "row", "line_no", F.posexplode("ends").alias("which", "end"))
     shared = (
         ends.groupBy("end")
         .agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
@@ -135,15 +135,20 @@ def _with_partner(firsts: DataFrame) -> DataFrame:
     return (
         ends.join(stage(shared, "line_ends"), "end", "left_semi")
         .groupBy("k1", "k2")
-        .agg(F.min("place").alias("place"), F.collect_set("which").alias("shared"))
+        .agg(F.min(_place()).alias("place"), F.collect_set("which").alias("shared"))
     )
 
 
-def _candidates(lines: DataFrame, partners: DataFrame) -> DataFrame:
-    """The words of the partner lines, from the places that have them first."""
-    texts = lines.where("plain is not null").select("place.row", "place.line_no", "plain")
-    at = partners.withColumns({"row": F.col("place.row"), "line_no": F.col("place.line_no")})
-    words = texts.join(at, ["row", "line_no"]).withColumn("words", F.split("plain", " "))
+def _candidates(docs: DataFrame, partners: DataFrame, every_line: bool) -> DataFrame:
+    """The words of the partner lines, from the rows that have them first."""
+    wanted = partners.groupBy(F.col("place.row").alias("row")).agg(
+        F.collect_list(F.struct("place", "k1", "k2", "shared")).alias("wanted")
+    )
+    texts = docs.select("row", "text").join(wanted, "row").select("wanted", F.split("text", "\n").alias("all"))
+    # ``all`` is read in two places, so it is split once and not for each line.
+    found = F.transform("wanted", lambda x: F.struct(x.alias("x"), F.get("all", x["place"]["line_no"]).alias("line")))
+    lines = texts.select(F.explode(F.when(F.size("all") > 0, found)).alias("at")).select("at.x.*", "at.line")
+    words = _normal(lines, every_line).withColumn("words", F.split("plain", " "))
     # ``line`` is fixed once written, and short to carry.
     return words.select(
         "k1", "k2", "place", "shared", "words", F.size("words").alias("n"),
@@ -189,7 +194,6 @@ def _variants(candidates: DataFrame) -> DataFrame:
 
 def _candidate_pairs(variants: DataFrame) -> DataFrame:
     """(before, line): earlier candidates for each line."""
-    variants = stage(variants, "line_all_variants")
     shared = (
         variants.groupBy("v1")
         .agg(F.min("line").alias("low"), F.max("line").alias("high"))
@@ -232,14 +236,8 @@ def _one_edit(a: Column, b: Column) -> Column:
 def dropped_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
     """(row, line_no) of every line to drop; ``docs`` has doc_id, text and a key ``row`` per row."""
     lines = stage(_lines(docs, every_line), "line_keys")
-    firsts = stage(
-        lines.groupBy("k1", "k2").agg(
-            F.min("place").alias("place"), F.count(F.lit(1)).alias("times"), F.any_value("ends").alias("ends")
-        ),
-        "line_firsts",
-    )
-    partners = stage(_with_partner(firsts), "line_partners")
-    candidates = stage(_candidates(lines, partners), "line_candidates")
+    partners = stage(_with_partner(lines), "line_partners")
+    candidates = stage(_candidates(docs, partners, every_line), "line_candidates")
     pairs = stage(_candidate_pairs(_variants(candidates)), "line_pairs")
     own = candidates.select("line", "k1", "k2", "words")
     earlier = candidates.select(F.col("line").alias("before"), F.col("words").alias("other"))
@@ -251,14 +249,20 @@ def dropped_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
         .distinct()
     )
     # Lines of which something is to be dropped: they have an earlier partner or repeats.
-    repeated = stage(
-        firsts.join(stage(near, "line_near"), ["k1", "k2"], "left")
+    wanted = (
+        lines.groupBy("k1", "k2")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .join(stage(near, "line_near"), ["k1", "k2"], "left")
         .where("near or times > 1")
-        .select("k1", "k2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")),
-        "line_repeated",
+        .select("k1", "k2", F.coalesce("near", F.lit(False)).alias("near"))
+    )
+    places = stage(
+        lines.select("k1", "k2", _place().alias("place")).join(stage(wanted, "line_wanted"), ["k1", "k2"]),
+        "line_places",
     )
-    gone = lines.select("k1", "k2", "place").join(repeated, ["k1", "k2"])
-    return gone.where("near or place > first").select("place.row", "place.line_no")
+    first = places.groupBy("k1", "k2").agg(F.min("place").alias("first"))
+    gone = places.join(first, ["k1", "k2"]).where("near or place > first")
+    return gone.select("place.row", "place.line_no")
 
 
 def line_dedup(
