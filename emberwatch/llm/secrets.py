@@ -6,7 +6,7 @@ minimises it by partition refinement and lays it out as a transition array over
 classes.  A scan reads every byte once for all rules: the lines of many texts advance
 together, one byte a step, by array lookups.  Only lines in which some rule accepted are
 then read again by that rule's own anchored automaton, which gives the leftmost,
-longest, non-overlapping matches.
+longest, non-overlapping matches in time proportional to the line.
 
 A rule is a head, a class of bytes repeated after it (the body), and the least length
 of the body; shorter matches are dropped after they have been found, so that they still
@@ -20,7 +20,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -36,6 +36,8 @@ LONG_LINE = 1024
 # The shared automaton counts body bytes up to this number where a rule has no head to
 # tell it from plain text, and one byte elsewhere; full lengths are checked after.
 COUNTED = 12
+# Walks that go on further than this after their last match are remembered.
+REMEMBERED_WALK = 16
 
 
 class Rule(NamedTuple):
@@ -283,12 +285,33 @@ def determinise(patterns: list[tuple[str, bool]], anchored: bool) -> Automaton:
     return Automaton(classes, table.astype(np.int32).ravel(), ends, stuck[0] if stuck else -1)
 
 
+class Walk(NamedTuple):
+    """An automaton for reading one byte after the other in Python."""
+
+    classes: bytes  # byte -> class
+    width: int
+    moves: list[int]  # state * width + class -> state * width
+    accepts: list[bool]  # by state * width
+    dead: int
+    begins: bytes  # byte -> 1 if a match can begin with it
+
+
+def walk_of(automaton: Automaton) -> Walk:
+    width = automaton.width
+    accepts = np.zeros(len(automaton.accepts) * width, dtype=bool)
+    accepts[::width] = automaton.accepts != 0
+    return Walk(
+        automaton.classes.astype(np.uint8).tobytes(), width, (automaton.moves * width).tolist(), accepts.tolist(),
+        automaton.dead * width, (automaton.moves[automaton.classes] != automaton.dead).astype(np.uint8).tobytes(),
+    )
+
+
 class Compiled(NamedTuple):
     rules: tuple[Rule, ...]
     probe: Automaton
     resets: np.ndarray  # bytes after which the probe is in its start state, whatever came before
-    heads: list[Automaton]
-    wholes: list[Automaton]
+    heads: list[Walk]
+    wholes: list[Walk]
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> Compiled:
@@ -299,8 +322,8 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Compiled:
     probe = determinise(probes, anchored=False)
     table = probe.moves.reshape(-1, probe.width)
     resets = (table == 0).all(axis=0)[probe.classes]
-    heads = [determinise([(r.head, r.any_case)], anchored=True) for r in rules]
-    wholes = [determinise([(f"{r.head}{r.body}+", r.any_case)], anchored=True) for r in rules]
+    heads = [walk_of(determinise([(r.head, r.any_case)], anchored=True)) for r in rules]
+    wholes = [walk_of(determinise([(f"{r.head}{r.body}+", r.any_case)], anchored=True)) for r in rules]
     return Compiled(rules, probe, resets, heads, wholes)
 
 
@@ -345,33 +368,52 @@ def probe_pieces(compiled: Compiled, data: np.ndarray, ends: np.ndarray) -> np.n
     return masks
 
 
-def _longest(automaton: Automaton, data: bytes, at: int) -> int:
-    """End of the longest match that begins at ``at``, or -1."""
-    classes, moves, accepts = automaton.classes, automaton.moves, automaton.accepts
-    state, end, width = 0, at if accepts[0] else -1, automaton.width
-    while at < len(data):
-        state = moves[state * width + classes[data[at]]]
-        at += 1
-        if state == automaton.dead:
-            break
-        if accepts[state]:
-            end = at
-    return end
+def _longest(walk: Walk, data: bytes) -> Callable[[int], int]:
+    """A function that gives the end of the longest match from a place, or -1.
+
+    What a walk meets after its last accepting state leads to no match.  It is remembered
+    when it is long, and a later walk ends where it comes to the same state at the same
+    place.  So all walks together take time in proportion to the data, whatever it holds.
+    """
+    kinds = data.translate(walk.classes)
+    moves, accepts, dead, size = walk.moves, walk.accepts, walk.dead, len(data)
+    barren: dict[int, bytearray] = {}
+
+    def longest(at: int) -> int:
+        state, end, base, since = 0, at if accepts[0] else -1, at, []
+        while at < size:
+            state = moves[state + kinds[at]]
+            at += 1
+            if state == dead or (state in barren and barren[state][at]):
+                break
+            if accepts[state]:
+                end = base = at
+                since = []
+            else:
+                since.append(state)
+        if len(since) > REMEMBERED_WALK:
+            for place, state in enumerate(since, base + 1):
+                if state not in barren:
+                    barren[state] = bytearray(size + 1)
+                barren[state][place] = 1
+        return end
+
+    return longest
 
 
 def matches(compiled: Compiled, rule: int, data: bytes) -> list[tuple[int, int]]:
     """Leftmost, longest, non-overlapping matches of a rule; short ones dropped after."""
-    found, at = [], 0
-    whole = compiled.wholes[rule]
-    first = whole.moves[whole.classes] != whole.dead  # bytes that can begin a match
-    while at < len(data):
-        if not first[data[at]] or (end := _longest(whole, data, at)) < 0:
-            at += 1
-            continue
-        body = end - _longest(compiled.heads[rule], data, at)
-        if body >= compiled.rules[rule].least:
+    found = []
+    whole_end, head_end = (_longest(x[rule], data) for x in (compiled.wholes, compiled.heads))
+    begins = data.translate(compiled.wholes[rule].begins)
+    at = begins.find(1)
+    while at >= 0:
+        end = whole_end(at)
+        if end < 0:
+            end = at + 1
+        elif end - head_end(at) >= compiled.rules[rule].least:
             found.append((at, end))
-        at = end
+        at = begins.find(1, end)
     return found
 
 
