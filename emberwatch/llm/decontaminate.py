@@ -14,8 +14,8 @@ memory is bounded by a shard and a block whatever the size of the benchmark.
 
 Cases: null text has no words; an item without words has no window; an item with fewer
 words than a window is one window; equal items and equal windows are found under each
-item id; an item with a null id is not searched, as it could not be named; equal rows
-each get their result; without items nothing is contaminated; an empty table gives an
+item id; an item with a null id has windows without a name, which hit words but count as
+no item; equal rows each get their result; without items nothing is contaminated; an empty table gives an
 empty result; other columns are not read (``decontaminate`` keeps them).
 """
 
@@ -159,14 +159,17 @@ class Block(NamedTuple):
     windows: dict[int, tuple[np.ndarray, list[tuple[str, ...]]]]
 
 
-def make_block(items: list[tuple[str, bytes]], window: int) -> Block:
+def make_block(items: list[tuple[str | None, bytes]], window: int) -> Block:
+    """The windows of an item without an id have no name: they hit words, and count as no item."""
     symbols: dict[bytes, int] = {}
     found: dict[tuple[int, ...], set[str]] = {}
     for item, text in items:
         ids = [symbols.setdefault(w, len(symbols) + 2) for w in plain_words(text)]
         size = min(window, len(ids))
         for i in range(len(ids) - size + 1 if size else 0):
-            found.setdefault(tuple(ids[i : i + size]), set()).add(item)
+            names = found.setdefault(tuple(ids[i : i + size]), set())
+            if item is not None:
+                names.add(item)
     by_length: dict[int, list] = {}
     for words, names in found.items():
         by_length.setdefault(len(words), []).append((words, tuple(sorted(names))))
@@ -180,11 +183,11 @@ def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[B
     """The items in blocks of about equal size; one block at a time is on the driver."""
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")
-    ).where("item is not null")
+    )
     size = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     count = max(1, -(-size // block_bytes))
     for i in range(count):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == i)
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == i)
         yield make_block([(r["item"], r["text"].encode()) for r in part.toLocalIterator()], window)
 
 

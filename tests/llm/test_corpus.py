@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -256,9 +257,10 @@ def test_contamination_equals_scan(spark):
     vocabulary = [f"v{i}" for i in range(6)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 10, 14])))) for i in range(12)]
     items += [(90, "Short, ONE"), (91, ""), (92, None), (93, items[0][1])]
+    items += [(None, " ".join(f"n{i}" for i in range(12))), (None, "nameless"), (None, None)]
     texts = [" ".join(rng.choice([*vocabulary, "zz"]) for _ in range(80)) for _ in range(30)]
     texts += [None, "", "a short; one two", items[1][1] + " " + items[1][1], "x " * 3000 + items[2][1]]
-    texts += [texts[0], "été " + items[3][1].upper()]
+    texts += [texts[0], "été " + items[3][1].upper(), f"a {items[-3][1]} nameless b"]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = defaultdict(set)
@@ -266,7 +268,7 @@ def test_contamination_equals_scan(spark):
         w = pattern.findall(lower(t))
         n = min(10, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            windows[tuple(w[k : k + n])].add(str(item))
+            windows[tuple(w[k : k + n])] |= {str(item)} - {"None"}
     docs = docs_of(spark, texts)
     for size in (4_000_000, 60):  # one block and several
         got = {r["doc_id"]: r for r in decontaminate.contamination(docs, benchmark, block_bytes=size).collect()}
@@ -340,6 +342,25 @@ def test_secret_spans_equal_regexes(spark):
         assert set(spans) <= set(r["spans"].split(",")) | {""}
 
 
+def test_secret_matches_take_time_in_proportion():
+    compiled = secrets.compile_rules()
+    rng = random.Random(7)
+    whole = [re.compile(f"{r.head}{r.body}+".encode(), re.I if r.any_case else 0) for r in compiled.rules]
+    head = [re.compile(r.head.encode(), re.I if r.any_case else 0) for r in compiled.rules]
+    parts = [b"eyJ", b"eyJhb", b".", b"/", b"a", b"token", b"=", b" ", b"ghp_", b"x" * 20, b"\xc3\xa9"]
+    for _ in range(150):
+        data = b"".join(rng.choice(parts) for _ in range(rng.randrange(80)))
+        for i, rule in enumerate(compiled.rules):
+            # Greedy on these rules is longest.
+            want = [m.span() for m in whole[i].finditer(data) if m.end() - head[i].match(data, m.start()).end() >= rule.least]
+            assert secrets.matches(compiled, i, data) == want
+    data = b"eyJ" * 350_000 + b"/eyJaaa.bbb.cccccccccccc"
+    begin = time.perf_counter()
+    found = [secrets.matches(compiled, i, data) for i in range(len(compiled.rules))]
+    assert time.perf_counter() - begin < 30  # a walk from every start would take days
+    assert sum(map(len, found)) == 1
+
+
 # --- packing ------------------------------------------------------------------------------
 
 
