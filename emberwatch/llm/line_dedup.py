@@ -260,7 +260,8 @@ def dropped_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
         lines.select("k1", "k2", _place().alias("place")).join(stage(wanted, "line_wanted"), ["k1", "k2"]),
         "line_places",
     )
-    first = places.groupBy("k1", "k2").agg(F.min("place").alias("first"))
+    # Written by itself, so that a frequent line's places are joined where they lie or split.
+    first = stage(places.groupBy("k1", "k2").agg(F.min("place").alias("first")), "line_first_places")
     gone = places.join(first, ["k1", "k2"]).where("near or place > first")
     return gone.select("place.row", "place.line_no")
 
