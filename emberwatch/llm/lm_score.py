@@ -8,13 +8,19 @@ where a token's hash is its bucket, a class with a member.  Class and member are
 softmax outputs over hashed features of the context: the token before, the two before
 together (n-grams), and the second before alone (a skip).  The last factor is a token's
 share of its bucket by exact counts, with half a count added for every known token and
-for all unknown ones together, which the buckets share evenly; so the probabilities of
-all tokens, unknown ones as one kind per bucket, add up to one.
-
-Counts and training cover all rows to learn from.  Weights are trained in ``ROUNDS``
-rounds, each over its own part of the rows: every task starts from the shared weights
-and makes gradient steps over its rows, and Spark averages the weights of all tasks by
-the tokens they saw, in two levels so that no group grows with the number of tasks.
+for all unknown ones together, which are one kind in one bucket; so the probabilities of
+all known tokens and of the unknown kind add up to one.  Without features the model is
+the base score, from which training starts.
+
+Counts and training cover all rows to learn from.  A feature has about as many rows as
+an eighth of the square root of the counted tokens (``contexts_for``), up to
+``MOST_CONTEXTS``, so that a larger corpus trains a larger model and each weight sees more
+tokens.  Weights are trained in ``ROUNDS`` rounds, each over its own part of the rows:
+every task starts from the shared weights and makes gradient steps over its rows, and
+Spark averages the weights of all tasks by the tokens they saw, in two levels so that no
+group grows with the number of tasks.  Input partitions are put together until a task
+sees about a token per weight, so what is averaged stays in proportion to the tokens.
+``score`` therefore depends, slightly, on how the input is cut into partitions.
 
 Counts never leave the cluster: a *block* is a run of rows of one input file; its
 different words are joined with the counts and come back to the block's texts, which
@@ -44,8 +50,10 @@ from emberwatch.storage import stage
 
 CLASSES, MEMBERS = 16, 16
 BUCKETS = CLASSES * MEMBERS
-CONTEXTS = 1 << 10  # hashed rows of each of the three features
 FEATURES = 3
+# Hashed rows of each feature; the most of them bound the weights to 107 MB.
+LEAST_CONTEXTS, MOST_CONTEXTS = 1 << 8, 1 << 15
+LEAST_TASKS = 64  # partitions that a training round keeps at least
 ROUNDS = 2
 MINIBATCH = 1 << 15
 RATE = 0.3
@@ -54,44 +62,54 @@ BLOCK_BYTES = 16_000_000
 LEAST_BLOCKS = 64
 CHUNK = 1 << 12  # weights that one row of an averaging step holds
 END = b""
+UNKNOWN_BUCKET = 0
 
 
 class Weights(NamedTuple):
     class_bias: np.ndarray  # CLASSES
     member_bias: np.ndarray  # CLASSES x MEMBERS
-    by_class: np.ndarray  # FEATURES * CONTEXTS x CLASSES
-    by_member: np.ndarray  # FEATURES * CONTEXTS * CLASSES x MEMBERS
+    by_class: np.ndarray  # FEATURES * rows of a feature x CLASSES
+    by_member: np.ndarray  # FEATURES * rows of a feature * CLASSES x MEMBERS
+
+    @property
+    def contexts(self) -> int:
+        """Rows of one feature."""
+        return len(self.by_class) // FEATURES
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self]).astype(np.float32)
 
 
-_SHAPES = (
-    (CLASSES,),
-    (CLASSES, MEMBERS),
-    (FEATURES * CONTEXTS, CLASSES),
-    (FEATURES * CONTEXTS * CLASSES, MEMBERS),
-)
+PER_CONTEXT = FEATURES * CLASSES * (1 + MEMBERS)
+
+
+def contexts_for(tokens: int) -> int:
+    """Rows of a feature for so many tokens to learn from: a power of two."""
+    wanted = 1 << max(0, round(np.log2(max(1, tokens)) / 2 - 3))
+    return int(min(max(wanted, LEAST_CONTEXTS), MOST_CONTEXTS))
 
 
 def unflat(values: np.ndarray) -> Weights:
+    contexts = (len(values) - CLASSES - BUCKETS) // PER_CONTEXT
+    rows = FEATURES * contexts
     out, at = [], 0
-    for shape in _SHAPES:
+    for shape in ((CLASSES,), (CLASSES, MEMBERS), (rows, CLASSES), (rows * CLASSES, MEMBERS)):
         size = int(np.prod(shape))
         out.append(values[at : at + size].reshape(shape).copy())
         at += size
     return Weights(*out)
 
 
-def starting(bucket_tokens: np.ndarray) -> Weights:
+def starting(bins: Bins) -> Weights:
     """Without any feature the model gives each bucket its share of the tokens."""
-    share = (bucket_tokens.reshape(CLASSES, MEMBERS) + 0.5).astype(np.float64)
-    of_class = share.sum(axis=1)
+    # An empty bucket has a share as well, so that its logarithm is finite.
+    share = bins.sizes().reshape(CLASSES, MEMBERS) + 1e-6
+    of_class, rows = share.sum(axis=1), FEATURES * contexts_for(bins.tokens)
     return Weights(
         np.log(of_class / of_class.sum()).astype(np.float32),
         np.log(share / of_class[:, None]).astype(np.float32),
-        np.zeros(_SHAPES[2], dtype=np.float32),
-        np.zeros(_SHAPES[3], dtype=np.float32),
+        np.zeros((rows, CLASSES), dtype=np.float32),
+        np.zeros((rows * CLASSES, MEMBERS), dtype=np.float32),
     )
 
 
@@ -105,10 +123,18 @@ def tokens_of(text: bytes) -> list[bytes]:
     return words
 
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
+class Hashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
 
-    return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+        found = self[word] = xxh3_64_intdigest(word)
+        return found
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(Hashes().__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
@@ -122,7 +148,7 @@ class Stream(NamedTuple):
     starts: np.ndarray
 
 
-def contexts(stream: Stream) -> np.ndarray:
+def contexts(stream: Stream, size: int) -> np.ndarray:
     """FEATURES rows of context numbers for every token; texts begin after two ends."""
     h, end = stream.hashes, hashes_of([END])[0]
     one = np.concatenate([[end], h[:-1]])
@@ -133,7 +159,7 @@ def contexts(stream: Stream) -> np.ndarray:
     two[stream.starts[:-1]] = end
     parts = (mix64(one), mix64(one * np.uint64(0x9E3779B97F4A7C15) + two), mix64(two + np.uint64(77)))
     return np.stack(
-        [(x >> np.uint64(40)).astype(np.int64) % CONTEXTS + i * CONTEXTS for i, x in enumerate(parts)]
+        [(x >> np.uint64(40)).astype(np.int64) % size + i * size for i, x in enumerate(parts)]
     )
 
 
@@ -142,27 +168,34 @@ def _soft(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _outputs(w: Weights, rows: np.ndarray, of_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class and member probabilities for tokens whose class is given."""
+def _logits(w: Weights, rows: np.ndarray, of_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs for the classes, and for the members of tokens' given classes."""
     first = w.class_bias + w.by_class[rows[0]]
     second = w.member_bias[of_class] + w.by_member[rows[0] * CLASSES + of_class]
     for row in rows[1:]:
         first += w.by_class[row]
         second += w.by_member[row * CLASSES + of_class]
-    return _soft(first), _soft(second)
+    return first, second
+
 
+def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of one output per row."""
+    most = logits.max(axis=1)
+    total = np.log(np.exp(logits - most[:, None]).sum(axis=1))
+    return logits[np.arange(len(logits)), chosen] - most - total
 
-def log10_buckets(w: Weights, stream: Stream) -> np.ndarray:
-    """log10 P(class) P(member) of every token's bucket."""
-    rows, bucket = contexts(stream), bucket_of(stream.hashes)
+
+def log10_tokens(w: Weights, bins: Bins, stream: Stream, counts: np.ndarray) -> np.ndarray:
+    """log10 of the model's probability of every token; ``counts`` has 0 for an unknown one."""
+    rows = contexts(stream, w.contexts)
+    bucket = np.where(counts > 0, bucket_of(stream.hashes), UNKNOWN_BUCKET)
     of_class, member = np.divmod(bucket, MEMBERS)
     out = np.empty(len(bucket))
     for i in range(0, len(bucket), MINIBATCH):
         part = slice(i, i + MINIBATCH)
-        first, second = _outputs(w, rows[:, part], of_class[part])
-        n = np.arange(len(first))
-        out[part] = np.log10(first[n, of_class[part]] * second[n, member[part]] + 1e-30)
-    return out
+        first, second = _logits(w, rows[:, part], of_class[part])
+        out[part] = _log_share(first, of_class[part]) + _log_share(second, member[part])
+    return out / np.log(10) + np.log10((counts + 0.5) / bins.sizes()[bucket])
 
 
 # --- training -----------------------------------------------------------------------------
@@ -177,7 +210,7 @@ class Trainer:
         self.tokens = 0
 
     def learn(self, stream: Stream) -> None:
-        rows, bucket = contexts(stream), bucket_of(stream.hashes)
+        rows, bucket = contexts(stream, self.w.contexts), bucket_of(stream.hashes)
         of_class, member = np.divmod(bucket, MEMBERS)
         for i in range(0, len(bucket), MINIBATCH):
             part = slice(i, i + MINIBATCH)
@@ -185,20 +218,19 @@ class Trainer:
         self.tokens += len(bucket)
 
     def _step(self, rows: np.ndarray, of_class: np.ndarray, member: np.ndarray) -> None:
-        first, second = _outputs(self.w, rows, of_class)
-        n = np.arange(len(first))
+        first, second = (_soft(x) for x in _logits(self.w, rows, of_class))
+        n, contexts = np.arange(len(first)), self.w.contexts
         first[n, of_class] -= 1
         second[n, member] -= 1
         scale = 1.0 / len(n)
         member_rows = rows * CLASSES + of_class
-        by_class = np.empty(_SHAPES[2], dtype=np.float32)
-        by_member = np.empty(_SHAPES[3], dtype=np.float32)
+        by_class, by_member = np.empty_like(self.w.by_class), np.empty_like(self.w.by_member)
         for out in range(CLASSES):
             weights = first[:, out]
             for f in range(FEATURES):
-                at = slice(f * CONTEXTS, (f + 1) * CONTEXTS)
-                by_class[at, out] = np.bincount(rows[f] - f * CONTEXTS, weights, CONTEXTS)
-        size = CONTEXTS * CLASSES
+                at = slice(f * contexts, (f + 1) * contexts)
+                by_class[at, out] = np.bincount(rows[f] - f * contexts, weights, contexts)
+        size = contexts * CLASSES
         for out in range(MEMBERS):
             weights = second[:, out]
             for f in range(FEATURES):
@@ -260,9 +292,9 @@ def _average(table: pa.Table) -> pa.Table:
 _CHUNKS = "chunk int, part long, tokens double, weights binary"
 
 
-def train_round(texts: DataFrame, w: Weights) -> Weights:
-    """One round of distributed gradient updates over ``texts``, which has text."""
-    local = texts.select("text").mapInArrow(_train(w.flat()), _CHUNKS)
+def train_round(texts: DataFrame, w: Weights, tasks: int) -> Weights:
+    """One round of distributed gradient updates over ``texts``, which has text, in ``tasks`` at most."""
+    local = texts.select("text").coalesce(tasks).mapInArrow(_train(w.flat()), _CHUNKS)
     some = (
         local.withColumn("part", F.pmod("part", F.lit(64)))
         .groupBy("chunk", "part")
@@ -270,7 +302,7 @@ def train_round(texts: DataFrame, w: Weights) -> Weights:
         .groupBy("chunk")
         .applyInArrow(_average, _CHUNKS)
     )
-    # The weights are of one fixed size, whatever the corpus.
+    # The weights grow with the square root of the corpus, up to MOST_CONTEXTS.
     found = {r["chunk"]: r["weights"] for r in some.collect()}
     if not found:
         return w
@@ -290,7 +322,7 @@ def stream_of(texts: list[bytes]) -> Stream:
 
 
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, n, bucket): every word of a block once per task, with its training count."""
+    """(block, word, n): every word of a block once per task, with its training count."""
     now, known, learned = None, set(), Counter()
 
     def ready() -> pa.RecordBatch:
@@ -300,9 +332,8 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([now] * len(words), pa.int64()),
                 pa.array([w.decode() for w in words], pa.string()),
                 pa.array([learned[w] for w in words], pa.int64()),
-                pa.array(bucket_of(hashes_of(words)).astype(np.int32)),
             ],
-            ["block", "word", "n", "bucket"],
+            ["block", "word", "n"],
         )
 
     for batch in slices(batches):
@@ -329,13 +360,33 @@ class Bins(NamedTuple):
     bucket_tokens: np.ndarray
     bucket_words: np.ndarray
 
+    def sizes(self) -> np.ndarray:
+        """Counts of each bucket with the half added for each known word and the unknown kind."""
+        out = self.bucket_tokens + 0.5 * self.bucket_words
+        out[UNKNOWN_BUCKET] += 0.5
+        return out
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, c, v): tokens and different words of the buckets, once per task."""
+    tokens, words = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    for batch in batches:
+        bucket = bucket_of(hashes_of(utf8(batch.column(0))))
+        # Whole numbers: a sum of floating-point weights would not be exact for all counts.
+        np.add.at(tokens, bucket, np.asarray(batch.column(1)))
+        words += np.bincount(bucket, minlength=BUCKETS)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(range(BUCKETS), pa.int32()), pa.array(tokens), pa.array(words)], ["bucket", "c", "v"]
+    )
+
 
 def _bins(counts: DataFrame) -> Bins:
-    rows = counts.groupBy("bucket").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+    tally = counts.select("word", "c").mapInArrow(_tally, "bucket int, c long, v long")
+    rows = tally.groupBy("bucket").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
     tokens, words = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows:
         tokens[r["bucket"]], words[r["bucket"]] = r["c"], r["v"]
-    return Bins(int(tokens.sum()), int(words.sum()), tokens, words)
+    return Bins(sum(r["c"] for r in rows), sum(r["v"] for r in rows), tokens, words)
 
 
 # --- scoring ------------------------------------------------------------------------------
@@ -349,18 +400,18 @@ SCORED = (
 def _score(values: np.ndarray, bins: Bins):
     def block(docs: pa.Table, words: pa.Table) -> pa.Table:
         w = unflat(values)
-        count = dict(zip(utf8(words.column("word")), words.column("c").to_pylist(), strict=True))
+        known = utf8(words.column("word"))
+        place = {word: i for i, word in enumerate(known)}
+        hashes, count = hashes_of(known), np.asarray(words.column("c")).astype(np.float64)
         total = np.log10(bins.tokens + 0.5 * (bins.words + 1))
         parts = []
         for batch in slices(iter(docs.combine_chunks().to_batches())):
             texts = [tokens_of(t) for t in utf8(batch.column(batch.schema.get_field_index("text")))]
             flat = [word for text in texts for word in text]
-            stream = Stream(hashes_of(flat), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
-            c = np.fromiter((count[word] for word in flat), dtype=np.float64, count=len(flat))
-            bucket = bucket_of(stream.hashes)
-            share = np.where(c > 0, c + 0.5, 0.5 / BUCKETS)
-            size = bins.bucket_tokens + 0.5 * bins.bucket_words + 0.5 / BUCKETS
-            model = log10_buckets(w, stream) + np.log10(share / size[bucket])
+            at = np.fromiter(map(place.__getitem__, flat), dtype=np.int64, count=len(flat))
+            stream = Stream(hashes[at], np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+            c = count[at]
+            model = log10_tokens(w, bins, stream, c)
             base = np.log10(c + 0.5) - total
             sums = [np.add.reduceat(x, stream.starts[:-1]) for x in (c > 0, base, model)]
             rows = len(texts)
@@ -416,19 +467,20 @@ def lm_score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     placed = _in_blocks(docs)
     words = stage(
         placed.select("block", "held_out", "text").mapInArrow(
-            _block_words, "block long, word string, n long, bucket int"
+            _block_words, "block long, word string, n long"
         ),
         "lm_words",
     )
     counts = stage(
-        words.groupBy("word").agg(F.sum("n").alias("c"), F.first("bucket").alias("bucket")).where("c > 0"),
+        words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"),
         "lm_counts",
     )
     bins = _bins(counts)
-    w = starting(bins.bucket_tokens)
+    w = starting(bins)
+    tasks = max(LEAST_TASKS, bins.tokens // rounds // len(w.flat()))
     part = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds))
     for i in range(rounds):
-        w = train_round(placed.where(~F.col("held_out") & (part == i)), w)
+        w = train_round(placed.where(~F.col("held_out") & (part == i)), w, tasks)
     found = words.select("block", "word").join(counts.select("word", "c"), "word", "left").select(
         "block", "word", F.coalesce("c", F.lit(0)).alias("c")
     )

@@ -428,7 +428,7 @@ def test_toxicity_learns(spark):
     assert toxicity.score_texts(toxicity.fit([], [], 0.0), [b"x"])[0] < 0.5
 
 
-def test_lm_base_scores_and_normalisation(spark):
+def test_lm_base_scores(spark):
     texts = [*["The cat sat on the mat", "the dog", None, "", "a\tB\nunseen" + "q" * 9000] * 6, "only here"]
     docs = docs_of(spark, texts)
     rows = {r["doc_id"]: r for r in lm_score.lm_score(docs).collect()}
@@ -445,12 +445,72 @@ def test_lm_base_scores_and_normalisation(spark):
         assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[i], len(own), total)
         assert r["n_known"] == sum(w in counts for w in own)
         assert abs(r["base_score"] - base) < 1e-6 and r["score"] < 0
-    w = lm_score.starting(np.ones(lm_score.BUCKETS))
-    trainer = lm_score.Trainer(w)
-    stream = lm_score.stream_of([b"a b a b a b"] * 50)
-    before = lm_score.log10_buckets(trainer.w, stream).sum()
-    trainer.learn(stream)
-    assert lm_score.log10_buckets(trainer.w, stream).sum() > before
+
+
+def lm_bins(counts):
+    """Exact totals of a {word: count}."""
+    bucket = lm_score.bucket_of(lm_score.hashes_of(list(counts)))
+    tokens, words = np.zeros(lm_score.BUCKETS), np.zeros(lm_score.BUCKETS)
+    np.add.at(tokens, bucket, list(counts.values()))
+    np.add.at(words, bucket, 1)
+    return lm_score.Bins(int(tokens.sum()), len(counts), tokens, words)
+
+
+def test_lm_probabilities_add_up_to_one_after_training():
+    rng = random.Random(2)
+    words = [f"w{i}".encode() for i in range(700)]
+    texts = [b" ".join(words[min(699, int(rng.expovariate(0.01)))] for _ in range(30)) for _ in range(400)]
+    learned = lm_score.stream_of(texts)
+    counts = defaultdict(int)
+    for text in texts:
+        for word in lm_score.tokens_of(text):
+            counts[word] += 1
+    bins = lm_bins(counts)
+    trainer = lm_score.Trainer(lm_score.starting(bins))
+    kinds = [*counts, b"never seen"]
+    c = np.array([float(counts.get(k, 0)) for k in kinds])
+
+    def of_all(before):
+        """Probabilities of every kind of token after the two words."""
+        flat = [x for k in kinds for x in (*before, k)]
+        stream = lm_score.Stream(lm_score.hashes_of(flat), np.arange(0, len(flat) + 1, 3))
+        every = lm_score.log10_tokens(trainer.w, bins, stream, np.array([1.0 * counts.get(x, 0) for x in flat]))
+        return 10 ** every[2::3]
+
+    base = (c + 0.5) / (c.sum() + 0.5 * (len(counts) + 1))
+    assert np.allclose(of_all([b"w1", b"w2"]), base, rtol=1e-3)  # where training starts
+    seen = np.array([1.0 * counts[w] for t in texts for w in lm_score.tokens_of(t)])
+    before = lm_score.log10_tokens(trainer.w, bins, learned, seen).sum()
+    trainer.learn(learned)
+    assert lm_score.log10_tokens(trainer.w, bins, learned, seen).sum() > before
+    for context in ([b"w1", b"w2"], [b"w3", b"never seen"], [b"", b""]):
+        assert abs(of_all(context).sum() - 1) < 1e-4
+
+
+def test_lm_contexts_grow_with_the_tokens():
+    sizes = [lm_score.contexts_for(10**i) for i in range(14)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 << 8 and sizes[8] == 1 << 10 and sizes[10] > sizes[8]
+    assert all(lm_score.unflat(lm_score.starting(lm_bins({b"a": n})).flat()).contexts == lm_score.contexts_for(n)
+               for n in (1, 10**8))
+
+
+def test_lm_model_beats_the_base_on_held_out_documents(spark):
+    for sf in ("0.01", "0.1"):
+        found = QUERIES["op10_lm_score"](spark, f"/root/testdata/sf{sf}")
+        held = found.where("held_out").agg(*(F.sum(x).alias(x) for x in ("score", "base_score", "n_tokens"))).first()
+        model, base = held["score"] / held["n_tokens"], held["base_score"] / held["n_tokens"]
+        print(f"sf{sf}: log10 a held-out token, model {model:.3f}, base {base:.3f}")
+        assert model > base
+
+
+def test_lm_odd_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "a c"), (None, None), (7, ""), (7, "\x0b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("x"))
+    got = lm_score.lm_score(docs.withColumn("word", F.lit(1))).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == [
+        ("1", 3), ("1", 3), ("7", 1), ("7", 1), ("None", 1), ("None", 3)]
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    assert lm_score.lm_score(docs.where("doc_id = 5")).collect() == []
 
 
 def test_pipeline_near_copies_with_odd_ids(spark):
