@@ -37,6 +37,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -123,18 +124,10 @@ def tokens_of(text: bytes) -> list[bytes]:
     return words
 
 
-class Hashes(dict):
-    """Hashes of words, each computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        found = self[word] = xxh3_64_intdigest(word)
-        return found
-
-
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(Hashes().__getitem__, words), dtype=np.uint64, count=len(words))
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
@@ -163,9 +156,20 @@ def contexts(stream: Stream, size: int) -> np.ndarray:
     )
 
 
+_ONES = np.ones(max(CLASSES, MEMBERS), dtype=np.float32)
+
+
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials, and their totals per row; logits are at most 60 either way, in place."""
+    np.clip(logits, -60, 60, out=logits)
+    e = np.exp(logits)
+    return e, e @ _ONES[: e.shape[1]]
+
+
 def _soft(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    e, total = _exp(logits)
+    e /= total[:, None]
+    return e
 
 
 def _logits(w: Weights, rows: np.ndarray, of_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +184,18 @@ def _logits(w: Weights, rows: np.ndarray, of_class: np.ndarray) -> tuple[np.ndar
 
 def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Logarithm of the softmax of one output per row."""
-    most = logits.max(axis=1)
-    total = np.log(np.exp(logits - most[:, None]).sum(axis=1))
-    return logits[np.arange(len(logits)), chosen] - most - total
+    _, total = _exp(logits)
+    return logits[np.arange(len(logits)), chosen] - np.log(total)
+
+
+def _summed(rows: np.ndarray, size: int, gradient: np.ndarray) -> np.ndarray:
+    """Sums of the tokens' gradients for the FEATURES * size rows that they use."""
+    own = rows - np.arange(FEATURES)[:, None] * size
+    out = np.empty((gradient.shape[1], FEATURES * size), dtype=np.float32)
+    for column, weights in zip(out, gradient.T.astype(np.float64), strict=True):
+        for f in range(FEATURES):
+            column[f * size : (f + 1) * size] = np.bincount(own[f], weights, size)
+    return np.ascontiguousarray(out.T)
 
 
 def log10_tokens(w: Weights, bins: Bins, stream: Stream, counts: np.ndarray) -> np.ndarray:
@@ -222,27 +235,18 @@ class Trainer:
         n, contexts = np.arange(len(first)), self.w.contexts
         first[n, of_class] -= 1
         second[n, member] -= 1
-        scale = 1.0 / len(n)
-        member_rows = rows * CLASSES + of_class
-        by_class, by_member = np.empty_like(self.w.by_class), np.empty_like(self.w.by_member)
-        for out in range(CLASSES):
-            weights = first[:, out]
-            for f in range(FEATURES):
-                at = slice(f * contexts, (f + 1) * contexts)
-                by_class[at, out] = np.bincount(rows[f] - f * contexts, weights, contexts)
-        size = contexts * CLASSES
-        for out in range(MEMBERS):
-            weights = second[:, out]
-            for f in range(FEATURES):
-                at = slice(f * size, (f + 1) * size)
-                by_member[at, out] = np.bincount(member_rows[f] - f * size, weights, size)
+        scale = np.float32(1.0 / len(n))
+        by_class = _summed(rows, contexts, first)
+        by_member = _summed(rows * CLASSES + of_class, contexts * CLASSES, second)
         by_bias = np.stack([np.bincount(of_class, second[:, o], CLASSES) for o in range(MEMBERS)], axis=1)
         for w, s, g in zip(
             self.w, self.squares, (first.sum(axis=0), by_bias, by_class, by_member), strict=True
         ):
-            g = (g * scale).astype(np.float32)
+            g = np.multiply(g, scale, dtype=np.float32)
             s += g * g
-            w -= RATE * g / np.sqrt(s)
+            g *= np.float32(RATE)
+            g /= np.sqrt(s)
+            w -= g
 
 
 def _train(values: np.ndarray):
@@ -323,15 +327,16 @@ def stream_of(texts: list[bytes]) -> Stream:
 
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, word, n): every word of a block once per task, with its training count."""
-    now, known, learned = None, set(), Counter()
+    now, known, learned = None, set(), Counter()  # known has words of rows that are held out
 
     def ready() -> pa.RecordBatch:
-        words = list(known)
+        others = known.difference(learned)
+        words = [*learned, *others]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([now] * len(words), pa.int64()),
-                pa.array([w.decode() for w in words], pa.string()),
-                pa.array([learned[w] for w in words], pa.int64()),
+                pa.array(np.full(len(words), now)),
+                pa.array(words, pa.binary()).cast(pa.string()),
+                pa.array([*learned.values(), *[0] * len(others)], pa.int64()),
             ],
             ["block", "word", "n"],
         )
@@ -341,14 +346,11 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True
         ):
             if block != now:
-                if known:
+                if known or learned:
                     yield ready()
                 now, known, learned = block, set(), Counter()
-            words = tokens_of(text)
-            known.update(words)
-            if not held:
-                learned.update(words)
-    if known:
+            (known if held else learned).update(tokens_of(text))
+    if known or learned:
         yield ready()
 
 
@@ -400,14 +402,14 @@ SCORED = (
 def _score(values: np.ndarray, bins: Bins):
     def block(docs: pa.Table, words: pa.Table) -> pa.Table:
         w = unflat(values)
-        known = utf8(words.column("word"))
-        place = {word: i for i, word in enumerate(known)}
+        known = words.column("word").cast(pa.binary()).to_numpy().tolist()
+        place = dict(zip(known, range(len(known)), strict=True))
         hashes, count = hashes_of(known), np.asarray(words.column("c")).astype(np.float64)
         total = np.log10(bins.tokens + 0.5 * (bins.words + 1))
         parts = []
         for batch in slices(iter(docs.combine_chunks().to_batches())):
             texts = [tokens_of(t) for t in utf8(batch.column(batch.schema.get_field_index("text")))]
-            flat = [word for text in texts for word in text]
+            flat = list(chain.from_iterable(texts))
             at = np.fromiter(map(place.__getitem__, flat), dtype=np.int64, count=len(flat))
             stream = Stream(hashes[at], np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
             c = count[at]
