@@ -192,7 +192,7 @@ def _summed(rows: np.ndarray, size: int, gradient: np.ndarray) -> np.ndarray:
     """Sums of the tokens' gradients for the FEATURES * size rows that they use."""
     own = rows - np.arange(FEATURES)[:, None] * size
     out = np.empty((gradient.shape[1], FEATURES * size), dtype=np.float32)
-    for column, weights in zip(out, gradient.T.astype(np.float64), strict=True):
+    for column, weights in zip(out, np.ascontiguousarray(gradient.T, dtype=np.float64), strict=True):
         for f in range(FEATURES):
             column[f * size : (f + 1) * size] = np.bincount(own[f], weights, size)
     return np.ascontiguousarray(out.T)
@@ -399,20 +399,42 @@ SCORED = (
 )
 
 
+class Known:
+    """The words of a block, each found by its hash; by itself where two of them share one."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray):
+        hashes = hashes_of(words)
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+        # A block's words may come from several tasks, so one word can be there more than once.
+        repeated = self.hashes[1:][self.hashes[1:] == self.hashes[:-1]]
+        often = np.flatnonzero(np.isin(hashes, repeated)).tolist()
+        first = {int(hashes[i]): words[i] for i in often}
+        different = {int(hashes[i]) for i in often if first[int(hashes[i])] != words[i]}
+        self.shared = np.array(sorted(different), dtype=np.uint64)
+        self.apart = {words[i]: counts[i] for i in often if int(hashes[i]) in different}
+
+    def counts_of(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """Counts of words that are all known."""
+        found = self.counts[np.searchsorted(self.hashes, hashes)]
+        if len(self.shared):
+            for i in np.flatnonzero(np.isin(hashes, self.shared)):
+                found[i] = self.apart[words[i]]
+        return found
+
+
 def _score(values: np.ndarray, bins: Bins):
     def block(docs: pa.Table, words: pa.Table) -> pa.Table:
         w = unflat(values)
-        known = words.column("word").cast(pa.binary()).to_numpy().tolist()
-        place = dict(zip(known, range(len(known)), strict=True))
-        hashes, count = hashes_of(known), np.asarray(words.column("c")).astype(np.float64)
+        counts = np.asarray(words.column("c")).astype(np.float64)
+        known = Known(words.column("word").cast(pa.binary()).to_numpy().tolist(), counts)
         total = np.log10(bins.tokens + 0.5 * (bins.words + 1))
         parts = []
         for batch in slices(iter(docs.combine_chunks().to_batches())):
             texts = [tokens_of(t) for t in utf8(batch.column(batch.schema.get_field_index("text")))]
             flat = list(chain.from_iterable(texts))
-            at = np.fromiter(map(place.__getitem__, flat), dtype=np.int64, count=len(flat))
-            stream = Stream(hashes[at], np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
-            c = count[at]
+            stream = Stream(hashes_of(flat), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+            c = known.counts_of(flat, stream.hashes)
             model = log10_tokens(w, bins, stream, c)
             base = np.log10(c + 0.5) - total
             sums = [np.add.reduceat(x, stream.starts[:-1]) for x in (c > 0, base, model)]

@@ -494,6 +494,15 @@ def test_lm_contexts_grow_with_the_tokens():
                for n in (1, 10**8))
 
 
+def test_lm_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(lm_score, "hashes_of", lambda words: np.array([len(w) for w in words], dtype=np.uint64))
+    words = [b"a", b"bb", b"cc", b"ddd", b"bb"]  # one word twice, two words of one hash
+    known = lm_score.Known(words, np.array([1.0, 2.0, 3.0, 4.0, 2.0]))
+    asked = [b"cc", b"ddd", b"bb", b"a", b"cc"]
+    assert known.counts_of(asked, lm_score.hashes_of(asked)).tolist() == [3, 4, 2, 1, 3]
+    assert lm_score.Known([b"a", b"a"], np.ones(2)).counts_of([b"a"], lm_score.hashes_of([b"a"])).tolist() == [1]
+
+
 def test_lm_model_beats_the_base_on_held_out_documents(spark):
     for sf in ("0.01", "0.1"):
         found = QUERIES["op10_lm_score"](spark, f"/root/testdata/sf{sf}")
