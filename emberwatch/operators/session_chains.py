@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.operators.ordering import number_rows
@@ -173,13 +173,19 @@ def _strips(points: DataFrame, strip_points: int) -> DataFrame:
 
 def _passed(summaries: DataFrame) -> DataFrame:
     """The summaries (session, strip, row) on the chain of their session."""
-    rows = summaries.groupBy("session_id", "row").agg(F.sort_array(F.collect_set("strip")).alias("strips"))
-    same = rows.select("session_id", F.col("row").alias("row_out"), "strips")
-    after = rows.select("session_id", (F.col("row") - 1).alias("row_out"), F.col("strips")[0].alias("after"))
-    right = F.filter("strips", lambda s: s > F.col("strip"))
+    # A strip's number as seen from the row that a summary was left for.
+    there = summaries.select("session_id", F.col("row").alias("row_out"), F.col("strip").alias("found"), "strip")
+    left = summaries.select("session_id", "row_out", F.lit(None).cast("bigint").alias("found"), "strip", "row")
+    # Among equal strips the summary comes first, so it sees the strips to its right only.
+    to_the_left = Window.partitionBy("session_id", "row_out").orderBy(
+        F.col("strip").desc(), F.col("found").asc_nulls_first()
+    )
+    right = F.min("found").over(to_the_left.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = summaries.groupBy("session_id", (F.col("row") - 1).alias("row_out")).agg(F.min("strip").alias("after"))
     found = (
-        summaries.join(same, ["session_id", "row_out"], "left")
-        .withColumn("right", F.get(right, F.lit(0)))
+        left.unionByName(there.withColumn("row", F.lit(None).cast("bigint")))
+        .withColumn("right", right)
+        .where(F.col("row").isNotNull())
         .join(after, ["session_id", "row_out"], "left")
     )
     jump = stage(
