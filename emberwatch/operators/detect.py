@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType
 
 from emberwatch.fixed_values import (
     ADMIN_USERS,
@@ -90,44 +92,52 @@ def incident_values(
     millions of addresses.  Port 0 is a value here; the counters that ignore it
     say so.
     """
-    values = [
-        (kind, truthy(F.col(name).cast("string")))
+    # One narrow read per column: cheaper than rows of structs, and each read adds up its
+    # values before the shuffle.
+    columns = [
+        facts.select(
+            "window_id", F.lit(kind).alias("kind"), truthy(F.col(name).cast("string")).alias("value")
+        ).where(F.col("value").isNotNull())
         for kind in kinds
         for name in VALUE_COLUMNS[kind]
     ]
-    pairs = [
-        F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value")))
-        for kind, value in values
-    ]
     return (
-        facts.select("window_id", F.inline(F.array_compact(F.array(*pairs))))
+        reduce(DataFrame.unionByName, columns)
         .groupBy("window_id", "kind", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def _value_counts(facts: DataFrame) -> DataFrame:
-    kind = F.col("kind")
-    return (
-        incident_values(facts, ["ip", "user", "port", "host"])
-        .groupBy("window_id")
-        .agg(
-            F.count_if(kind == "ip").alias("n_ips"),
-            F.count_if(kind == "user").alias("n_users"),
-            F.count_if((kind == "port") & (F.col("value") != "0")).alias("n_ports"),
-            F.count_if(kind == "host").alias("n_hosts"),
-        )
+def _value_facts(values: DataFrame, port_type: DataType, rules: PatternRules) -> DataFrame:
+    """What an incident's distinct values tell; tests on texts see each value once."""
+    kind, value = F.col("kind"), F.col("value")
+    ip, process = F.when(kind == "ip", value), F.when(kind == "process", value)
+    port = F.when((kind == "port") & (value != "0"), value.cast(port_type))
+    return values.groupBy("window_id").agg(
+        F.count_if(kind == "ip").alias("n_ips"),
+        F.count_if(kind == "user").alias("n_users"),
+        F.count_if((kind == "port") & (value != "0")).alias("n_ports"),
+        F.count_if(kind == "host").alias("n_hosts"),
+        F.sum(F.when(contains_any(process, MAINTENANCE_PROCESSES), F.col("n")).otherwise(0)).alias(
+            "n_maintenance"
+        ),
+        F.bool_or(contains_any(process, rules.suspicious_words)).alias("any_suspicious_process"),
+        F.bool_or((kind == "user") & value.isin(ADMIN_USERS)).alias("any_admin"),
+        F.array_sort(F.collect_set(F.when(is_sensitive_port(port), port))).alias("sensitive_ports"),
+        F.bool_or(is_sensitive_port(port, list(rules.lateral_ports))).alias("any_lateral_port"),
+        F.bool_or(is_internal_ip(ip)).alias("any_internal"),
+        F.min(F.when(is_external_ip(ip), ip)).alias("external_ip"),
     )
 
 
-def _trusted_address(facts: DataFrame, trust: Trust, trust_match: str) -> DataFrame:
+def _trusted_address(values: DataFrame, trust: Trust, trust_match: str) -> DataFrame:
     """The smallest trusted internal address of each incident that has one."""
     if trust_match not in MATCHES:
         raise ValueError(f"unknown trust match: {trust_match!r}")
-    entries = trust_table(facts.sparkSession, trust)
+    entries = trust_table(values.sparkSession, trust)
     if entries is None:
-        return facts.sparkSession.createDataFrame([], "window_id bigint, trusted_ip string")
-    internal = incident_values(facts, ["ip"]).where(is_internal_ip(F.col("value")))
+        return values.sparkSession.createDataFrame([], "window_id bigint, trusted_ip string")
+    internal = values.where(F.col("kind") == "ip").where(is_internal_ip(F.col("value")))
     pairs = internal.select("window_id", F.col("value").alias("ip"))
     known = stage(trusted_addresses(pairs, entries, trust_match), "trusted")
     return pairs.join(known, "ip").groupBy("window_id").agg(F.min("ip").alias("trusted_ip"))
@@ -139,58 +149,59 @@ def incident_statistics(
     trust_match: str = "prefix",
     rules: PatternRules = PatternRules(),
 ) -> DataFrame:
-    """One pass over the facts, one row per incident."""
-    src, dst = truthy(F.col("src_ip")), truthy(F.col("dst_ip"))
-
-    def either(test) -> Column:
-        return test(src) | test(dst)
+    """One row per incident.
 
-    def smallest(test) -> Column:
-        return F.least(F.min(F.when(test(src), src)), F.min(F.when(test(dst), dst)))
-
-    moment = [F.col("us"), F.col("event_id")]
+    Facts add up to small groups of plain numbers first, so nothing sorts them; lists and
+    texts are taken from those groups and from the distinct values.
+    """
     severity = F.when(F.col("severity") != 0, F.col("severity"))
-    port = F.when(F.col("dst_port") != 0, F.col("dst_port"))
-    lateral_port = is_sensitive_port(port, list(rules.lateral_ports))
-
-    scanned = F.struct(*moment, F.col("scanner"))
-    routine = F.struct(*moment, F.col("routine_word"))
-    peak = F.struct(severity.alias("severity"), *moment)
-    totals = facts.groupBy("window_id").agg(
-        F.array_sort(F.collect_set("source")).alias("sources"),
+    port_type = facts.schema["dst_port"].dataType
+    groups = facts.groupBy("window_id", "source", "severity").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("us").alias("last_us"),
         F.count_if(F.col("action") == "login_failed").alias("n_login_failed"),
         F.count_if(F.col("result") == "failure").alias("n_failures"),
-        F.count(severity).alias("n_rated"),
-        F.max(F.when(severity.isNotNull(), peak)).alias("peak"),
-        F.max("severity").alias("max_severity"),
-        F.bool_or(contains_any(truthy(F.col("process")), rules.suspicious_words)).alias(
-            "any_suspicious_process"
-        ),
-        F.count_if(contains_any(truthy(F.col("process")), MAINTENANCE_PROCESSES)).alias(
-            "n_maintenance"
-        ),
         F.bool_or(
             F.coalesce(F.col("action").isin(*rules.escalation_actions), F.lit(False))
         ).alias("any_escalation"),
-        F.bool_or(F.coalesce(F.col("user").isin(ADMIN_USERS), F.lit(False))).alias(
-            "any_admin"
-        ),
-        F.array_sort(F.collect_set(F.when(is_sensitive_port(port), port))).alias(
-            "sensitive_ports"
+    )
+    totals = stage(
+        groups.groupBy("window_id").agg(
+            F.array_sort(F.collect_set("source")).alias("sources"),
+            F.sum("n_login_failed").alias("n_login_failed"),
+            F.sum("n_failures").alias("n_failures"),
+            F.sum(F.when(severity.isNotNull(), F.col("n")).otherwise(0)).alias("n_rated"),
+            F.max(F.when(severity.isNotNull(), F.struct(severity.alias("severity"), "last_us"))).alias("highest"),
+            F.max("severity").alias("max_severity"),
+            F.bool_or("any_escalation").alias("any_escalation"),
         ),
-        F.bool_or(lateral_port).alias("any_lateral_port"),
-        F.bool_or(either(is_internal_ip)).alias("any_internal"),
-        smallest(is_external_ip).alias("external_ip"),
-        F.min(F.when(F.col("scanner").isNotNull(), scanned)).alias("scanned"),
-        F.min(F.when(F.col("routine_word").isNotNull(), routine)).alias("routine"),
+        "totals",
     )
+    highest = totals.select("window_id", F.col("highest.severity").alias("severity"), F.col("highest.last_us").alias("us"))
+    last = (
+        facts.select("window_id", "severity", "us", "event_id")
+        .join(highest, ["window_id", "severity", "us"])
+        .groupBy("window_id")
+        .agg(F.max("event_id").alias("last_event_id"))
+    )
+    peak = F.struct("highest.severity", F.col("highest.last_us").alias("us"), F.col("last_event_id").alias("event_id"))
+
+    def first(name: str) -> DataFrame:
+        found = facts.where(F.col(name).isNotNull()).groupBy("window_id")
+        return found.agg(F.min(F.struct("us", "event_id", name)).alias("first")).select("window_id", f"first.{name}")
+
+    values = stage(incident_values(facts), "values")
     return (
-        totals.join(_value_counts(facts), "window_id", "left")
-        .join(_trusted_address(facts, trust, trust_match), "window_id", "left")
-        .fillna(0, ["n_ips", "n_users", "n_ports", "n_hosts"])
-        .withColumn("scanner", F.col("scanned.scanner"))
-        .withColumn("routine_word", F.col("routine.routine_word"))
-        .drop("scanned", "routine")
+        totals.join(_value_facts(values, port_type, rules), "window_id", "left")
+        .join(_trusted_address(values, trust, trust_match), "window_id", "left")
+        .join(last, "window_id", "left")
+        .join(first("scanner"), "window_id", "left")
+        .join(first("routine_word"), "window_id", "left")
+        .fillna(0, ["n_ips", "n_users", "n_ports", "n_hosts", "n_maintenance"])
+        .fillna(False, ["any_suspicious_process", "any_admin", "any_lateral_port", "any_internal"])
+        .withColumn("sensitive_ports", F.coalesce("sensitive_ports", F.array().cast(ArrayType(port_type))))
+        .withColumn("peak", F.when(F.col("highest").isNotNull(), peak))
+        .drop("highest", "last_event_id")
     )
 
 

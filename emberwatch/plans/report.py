@@ -15,6 +15,7 @@ from emberwatch.functions.verdicts import severity_label
 from emberwatch.operators.detect import Detection, incident_values
 from emberwatch.operators.ordering import number_rows
 from emberwatch.plans.ingest import Ingest
+from emberwatch.storage import stage
 
 SECOND_US = 1_000_000
 DASH = "—"
@@ -186,12 +187,25 @@ def _event_line() -> list[Column]:
 def incident_timeline(detection: Detection, k: int = 5) -> DataFrame:
     """The earliest ``k`` events of each incident and how many follow."""
     order = Window.partitionBy("window_id").orderBy("us", "event_id")
+    place = F.row_number().over(order)
+    moment = F.struct("us", "event_id")
+    # Times and ids decide which events are listed; only those are read with their columns.
+    ends = (
+        detection.facts.select("window_id", "us", "event_id")
+        .withColumn("place", place)
+        .where(F.col("place") <= k)
+        .groupBy("window_id")
+        .agg(F.max(moment).alias("end"))
+    )
     first = (
         detection.facts.select(
             "window_id", "event_id", "us", "action", "user", "src_ip", "dst_port",
             "dst_host", "dst_ip",
         )
-        .withColumn("place", F.row_number().over(order))
+        .join(stage(ends, "timeline_ends"), "window_id")
+        .where(moment <= F.col("end"))
+        .drop("end")
+        .withColumn("place", place)
         .where(F.col("place") <= k)
     )
     incidents = detection.incidents.select("window_id", "id", "event_count")
