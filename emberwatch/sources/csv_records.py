@@ -165,12 +165,15 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _put_together(pieces: DataFrame) -> DataFrame:
     """Records of several splits, with the place of their beginning."""
-    in_file = Window.partitionBy("file_path").orderBy("block_start", "piece", "row_id")
+    place = ["file_path", "block_start", "piece", "row_id"]
+    in_file = Window.partitionBy("file_path").orderBy(*place[1:])
     number = F.sum((F.col("piece") == BEGINNING).cast("int")).over(in_file)
+    # A file's pieces are numbered without their text; a split has two at most.
+    numbers = pieces.select(*place).withColumn("number", number)
     ordered = F.sort_array(F.collect_list(F.struct("block_start", "row_id", "record")))
     first = F.min(F.struct("block_start", "row_id", "file_name", "header"))
     return (
-        pieces.withColumn("number", number)
+        pieces.join(numbers, place)
         .groupBy("file_path", "number")
         .agg(ordered.alias("parts"), first.alias("first"))
         .select(

@@ -187,10 +187,10 @@ def tail_accounting(spark, sf_dir):
 
 @query
 def csv_records(spark, sf_dir):
-    """Whole texts with line ends and quotes in the cells of one file, read in many splits."""
+    """Whole texts with line ends and quotes in the cells of files, each read in many splits."""
     folder = _folder(spark)
     columns = ["doc_id", "lang", "text"]
-    table(spark, sf_dir, "documents").select(*columns).coalesce(1).write.options(
+    table(spark, sf_dir, "documents").select(*columns).write.options(
         header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(folder)
     usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
