@@ -76,10 +76,14 @@ def view_sql(squeeze: int = NORMAL) -> str:
     return _view_text(squeeze, "epoch_us(ts)", "events").strip()
 
 
+TASK_ROWS = 250_000  # parsing a row of the view takes a good part of a millisecond
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a small table arrives as fewer splits than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Give every core work when a table arrives as fewer splits than cores, and no task
+    more rows than ``TASK_ROWS``."""
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def view(spark: SparkSession, sf_dir: str, squeeze: int = NORMAL) -> DataFrame:
