@@ -6,10 +6,13 @@ the first rows of the file, the way a quick look at an export does.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from emberwatch.fixed_values import (
     CRITICAL_COLUMNS,
@@ -29,18 +32,22 @@ def _configured(name: str, kind: str, mappings: Mapping | None) -> str | None:
     return (known.get(kind) or {}).get(key) or (known.get("global") or {}).get(key)
 
 
-def profile_mapping(
-    spark: SparkSession, columns: Sequence[str], mappings: Mapping | None = None
-) -> DataFrame:
-    """Per column: mapped by configuration, native dotted name, or unmapped.
-    Built-in aliases do not count here."""
+def _mapping_rows(columns: Sequence[str], mappings: Mapping | None) -> list[tuple]:
     kind = detect_csv_kind(columns)
     rows = []
     for place, name in enumerate(columns):
         target = _configured(name, kind, mappings)
         status = "mapped" if target else "native" if "." in name else "unmapped"
         rows.append((place, name, target or name, status))
-    return spark.createDataFrame(rows, _SCHEMA)
+    return rows
+
+
+def profile_mapping(
+    spark: SparkSession, columns: Sequence[str], mappings: Mapping | None = None
+) -> DataFrame:
+    """Per column: mapped by configuration, native dotted name, or unmapped.
+    Built-in aliases do not count here."""
+    return spark.createDataFrame(_mapping_rows(columns, mappings), _SCHEMA)
 
 
 def missing_columns(
@@ -70,6 +77,30 @@ def _cells(rows: DataFrame, columns: Sequence[str], sample_rows: int | None) ->
     return rows.select(*LINEAGE_ORDER, F.inline(F.array(*entries)))
 
 
+def _first_filled(places: Sequence[int], shown: int) -> Callable[[Iterator], Iterator]:
+    """For ``mapInArrow``: the first filled cells of each column among a task's rows."""
+    in_order = [(name, "ascending") for name in LINEAGE_ORDER]
+
+    def first(rows: pa.Table) -> pa.Table:
+        return rows.take(pc.sort_indices(rows, sort_keys=in_order, null_placement="at_start")[:shown])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pa.Table] = {}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for place in places:
+                column = rows.column(f"c{place}")
+                filled = rows.select(LINEAGE_ORDER).append_column("value", column).filter(pc.is_valid(column))
+                if filled.num_rows:
+                    known = [held[place]] if place in held else []
+                    held[place] = first(pa.concat_tables([*known, filled]))
+        for place, rows in held.items():
+            number = pa.array([place] * rows.num_rows, pa.int32())
+            yield from rows.add_column(0, "place", number).combine_chunks().to_batches()
+
+    return run
+
+
 def profile_suggestions(
     spark: SparkSession,
     rows: DataFrame,
@@ -77,14 +108,20 @@ def profile_suggestions(
     mappings: Mapping | None = None,
     sample_rows: int | None = None,
 ) -> DataFrame:
-    """Unmapped columns with their first three non-empty values."""
+    """Unmapped columns with their first three non-empty values.
+
+    Every task keeps its first three of each column, so nothing sorts the cells.
+    """
     unmapped = profile_mapping(spark, columns, mappings).where("status = 'unmapped'")
+    places = [row[0] for row in _mapping_rows(columns, mappings) if row[3] == "unmapped"]
+    if sample_rows is not None:
+        rows = rows.orderBy(*LINEAGE_ORDER).limit(sample_rows)
+    cells = rows.select(*LINEAGE_ORDER, *[cell_value(F.col(f"c{p}")).alias(f"c{p}") for p in places])
+    kinds = [StructField(name, rows.schema[name].dataType) for name in LINEAGE_ORDER]
+    schema = StructType([StructField("place", IntegerType()), *kinds, StructField("value", StringType())])
     order = Window.partitionBy("place").orderBy(*LINEAGE_ORDER)
-    value = cell_value(F.col("value"))
     samples = (
-        _cells(rows, columns, sample_rows)
-        .withColumn("value", value)
-        .where(F.col("value").isNotNull())
+        cells.mapInArrow(_first_filled(places, 3), schema)
         .withColumn("nth", F.row_number().over(order))
         .where(F.col("nth") <= 3)
         .groupBy("place")
