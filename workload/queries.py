@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,6 +159,13 @@ def _written(lines_: DataFrame, folder: str, name: str) -> None:
         files.rename(status.getPath(), hadoop.Path(f"{folder}/{name}-{i}.json"))
 
 
+def _written_together(lines_: dict[str, DataFrame], folder: str) -> None:
+    """``_written`` for several names at once, as each one's files are too few for all cores."""
+    with ThreadPoolExecutor(len(lines_)) as pool:
+        for done in [pool.submit(_written, rows, folder, name) for name, rows in lines_.items()]:
+            done.result()
+
+
 def _folder(spark) -> str:
     return f"{staging_root(spark)}/emberwatch/logs-{uuid.uuid4().hex}"
 
@@ -166,8 +174,8 @@ def _folder(spark) -> str:
 def tail_accounting(spark, sf_dir):
     """Files with defects tailed in several micro-batches: what became of every line."""
     folder = _folder(spark)
-    _written(lines.defective_hids_lines(spark, sf_dir), f"{folder}/in", "alerts")
-    _written(lines.badly_timed_hids_lines(spark, sf_dir), f"{folder}/in", "times")
+    made = {"alerts": lines.defective_hids_lines(spark, sf_dir), "times": lines.badly_timed_hids_lines(spark, sf_dir)}
+    _written_together(made, f"{folder}/in")
     tailed, running = tail(
         spark, f"{folder}/in/*.json", "wazuh", f"{folder}/out", f"{folder}/checkpoint", files_per_batch=2
     )
@@ -211,9 +219,12 @@ def csv_records(spark, sf_dir):
 def ingest_directory(spark, sf_dir):
     """A folder of files of three sources: routed, read, normalized and numbered."""
     folder = _folder(spark)
-    _written(lines.hids_lines(spark, sf_dir), folder, "wazuh-alerts")
-    _written(lines.firewall_lines(spark, sf_dir), folder, "fortigate-traffic")
-    _written(lines.windows_shipper_lines(spark, sf_dir), folder, "windows-events")
+    made = {
+        "wazuh-alerts": lines.hids_lines(spark, sf_dir),
+        "fortigate-traffic": lines.firewall_lines(spark, sf_dir),
+        "windows-events": lines.windows_shipper_lines(spark, sf_dir),
+    }
+    _written_together(made, folder)
     read = ingest(read_directory(spark, folder).scans)
     found = read.events.groupBy("source").agg(
         F.countDistinct("event_id").alias("n_events"),
@@ -713,8 +724,11 @@ def select_incident(spark, sf_dir):
 def pipeline_counters(spark, sf_dir):
     """Counters of a folder with defects, beside those of the incidents."""
     folder = _folder(spark)
-    _written(lines.defective_hids_lines(spark, sf_dir), folder, "wazuh-alerts")
-    _written(lines.badly_timed_hids_lines(spark, sf_dir), folder, "wazuh-times")
+    made = {
+        "wazuh-alerts": lines.defective_hids_lines(spark, sf_dir),
+        "wazuh-times": lines.badly_timed_hids_lines(spark, sf_dir),
+    }
+    _written_together(made, folder)
     read = ingest(read_directory(spark, folder).scans)
     return report.pipeline_stats(read, judged(spark, sf_dir))
 
