@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Text bytes that one task holds in working arrays at a time; a longer text is held alone.
 SLICE_BYTES = 4_000_000
+# 64-bit words of the filter of wanted keys, at most; a power of two.
+FILTER_BITS = 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,20 @@ def fold(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(column.cast("string").cast("binary")) % 5
 
 
+def maybe_wanted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """All rows whose ``key`` is in ``wanted``, and some others.
+
+    The keys set bits in 2^FILTER_BITS words of 64, a table of bounded size at any input,
+    so that rows without a partner seldom reach the exchange of the join that follows.
+    """
+    hashed = F.xxhash64(key)
+    word = F.shiftrightunsigned(hashed, 64 - FILTER_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(F.lit(63)).cast("int"))
+    words = wanted.select(word.alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    found = rows.withColumn("__word", word).join(F.broadcast(words), "__word")
+    return found.where(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most SLICE_BYTES of text, or one row."""
     for batch in batches:

@@ -45,6 +45,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberwatch.llm.common import maybe_wanted
 from emberwatch.storage import stage
 
 MIN_WORDS = 8
@@ -132,8 +133,10 @@ def _with_partner(lines: DataFrame) -> DataFrame:
         .where("low != high")
         .select("end")
     )
+    shared = stage(shared, "line_ends")
     return (
-        ends.join(stage(shared, "line_ends"), "end", "left_semi")
+        maybe_wanted(ends, "end", shared)
+        .join(shared, "end", "left_semi")
         .groupBy("k1", "k2")
         .agg(F.min(_place()).alias("place"), F.collect_set("which").alias("shared"))
     )
@@ -157,18 +160,22 @@ def _candidates(docs: DataFrame, partners: DataFrame, every_line: bool) -> DataF
 
 
 def _variants(candidates: DataFrame) -> DataFrame:
-    """(v1, v2, i, n, line, place): the line itself with i 0, and without each word i."""
-    words = candidates.select(
-        "line", "place", "n", "shared", F.posexplode("words").alias("at", "word")
-    ).withColumn("i", F.col("at") + 1)
-    in_line = Window.partitionBy("line").orderBy("i")
-    before = in_line.rowsBetween(Window.unboundedPreceding, -1)
+    """(v1, v2, i, line): the line itself with i 0, and without each word i."""
     n, i = F.col("n"), F.col("i")
     p, q = _half(n), _half(n - 1)
     has = lambda which: F.array_contains("shared", which)
-    inside = (
-        (has(0) & (i > p)) | (has(1) & (i <= n - p)) | (has(2) & (i > q)) | (has(3) & (i <= n - q))
-    )
+    # Words outside a shared end are those after ``low`` and those up to ``high``.
+    low = F.least(F.when(has(0), p), F.when(has(2), q), n)
+    high = F.greatest(F.when(has(1), n - p), F.when(has(3), n - q), F.lit(0))
+    bounds = candidates.select("line", "n", "words", low.alias("low"), high.alias("high"))
+    # Each word carries only what its variants need: the rest is looked up by line.
+    words = bounds.select("line", "n", "low", "high", F.posexplode("words").alias("at", "word")).select(
+        "line", (F.col("at") + 1).alias("i"), "word",
+        ((F.col("at") >= F.col("low")) | (F.col("at") < F.col("high"))).alias("inside"),
+        (F.col("at") + 1 == n).alias("last"),
+    )
+    in_line = Window.partitionBy("line").orderBy("i")
+    before = in_line.rowsBetween(Window.unboundedPreceding, -1)
 
     def total_after(moved: Column) -> Column:
         # The whole line's total without that up to here.
@@ -185,24 +192,28 @@ def _variants(candidates: DataFrame) -> DataFrame:
         }
 
     hashed = words.withColumns(totals(1) | totals(2))
-    cut = hashed.where(inside).select("v1", "v2", "i", "n", "line", "place")
-    own = hashed.where(i == n).select(
-        F.col("w1").alias("v1"), F.col("w2").alias("v2"), F.lit(0).alias("i"), "n", "line", "place"
+    # Both kinds from one pass: unlike a union, it orders the words of a line once.
+    cut = F.when(F.col("inside"), F.struct("v1", "v2", "i"))
+    own = F.when(F.col("last"), F.struct(F.col("w1").alias("v1"), F.col("w2").alias("v2"), F.lit(0).alias("i")))
+    return (
+        hashed.where("inside or last")
+        .select("line", F.explode(F.array(cut, own)).alias("variant"))
+        .where("variant is not null")
+        .select("variant.v1", "variant.v2", "variant.i", "line")
     )
-    return cut.unionByName(own)
 
 
-def _candidate_pairs(variants: DataFrame) -> DataFrame:
-    """(before, line): earlier candidates for each line."""
+def _candidate_pairs(variants: DataFrame, places: DataFrame) -> DataFrame:
+    """(before, line): earlier candidates for each line; ``places`` has line, n, place."""
     shared = (
         variants.groupBy("v1")
         .agg(F.min("line").alias("low"), F.max("line").alias("high"))
         .where("low != high")
         .select("v1")
     )
-    met = stage(
-        variants.join(stage(shared, "line_shared_variants"), "v1", "left_semi"), "line_variants"
-    )
+    shared = stage(shared, "line_shared_variants")
+    met = maybe_wanted(variants, "v1", shared).join(shared, "v1", "left_semi")
+    met = stage(met.join(places, "line"), "line_variants")
     first = F.min(F.struct("place", "line"))
     same = stage(met.groupBy("v1", "v2", "n", "i").agg(first.alias("first")), "line_first_variants")
     whole = same.where("i = 0").select("v1", "v2", F.col("first").alias("shorter"))
@@ -238,7 +249,8 @@ def dropped_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
     lines = stage(_lines(docs, every_line), "line_keys")
     partners = stage(_with_partner(lines), "line_partners")
     candidates = stage(_candidates(docs, partners, every_line), "line_candidates")
-    pairs = stage(_candidate_pairs(_variants(candidates)), "line_pairs")
+    places = candidates.select("line", "n", "place")
+    pairs = stage(_candidate_pairs(_variants(candidates), places), "line_pairs")
     own = candidates.select("line", "k1", "k2", "words")
     earlier = candidates.select(F.col("line").alias("before"), F.col("words").alias("other"))
     near = (
@@ -256,10 +268,9 @@ def dropped_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
         .where("near or times > 1")
         .select("k1", "k2", F.coalesce("near", F.lit(False)).alias("near"))
     )
-    places = stage(
-        lines.select("k1", "k2", _place().alias("place")).join(stage(wanted, "line_wanted"), ["k1", "k2"]),
-        "line_places",
-    )
+    wanted = stage(wanted, "line_wanted")
+    repeated = maybe_wanted(lines.select("k1", "k2", _place().alias("place")), "k1", wanted)
+    places = stage(repeated.join(wanted, ["k1", "k2"]), "line_places")
     # Written by itself, so that a frequent line's places are joined where they lie or split.
     first = stage(places.groupBy("k1", "k2").agg(F.min("place").alias("first")), "line_first_places")
     gone = places.join(first, ["k1", "k2"]).where("near or place > first")
