@@ -23,8 +23,10 @@ Verification is exact, on the full sets, and never compares all pairs of a group
   on, each with twice as many hubs up to ``MOST_HUBS``, until no group has nodes of
   several components; every round takes its hubs out of their groups, so this ends.
   Pairs in one component are never compared.  Groups with the same nodes are one.
-* Size and parity map rule out a pair inside the join that would make it; only pairs
-  that may be linked become rows.
+* Size and parity maps rule out a pair inside the join that would make it; only pairs
+  that may be linked become rows.  The long map of a large set grows with it, as a short
+  one tells nothing of sets that differ in more shingles than it has bits.
+* Texts and full sets are moved only for rows that a filter of bounded size lets pass.
 
 Cases: null or empty text, and text without words, has an empty set and is its own
 component; fewer words than a shingle are one shingle; equal rows are one class; a row
@@ -39,10 +41,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import mix64, slices, utf8
+from emberwatch.llm.common import maybe_wanted, mix64, slices, utf8
 from emberwatch.llm.components import connected
 from emberwatch.storage import stage
 
@@ -55,8 +57,10 @@ HUBS = 64
 # The same in later rounds, at most.
 MOST_HUBS = 1_000
 PAIR = ["node", "hub", "m", "n", "differ"]
-# 64-bit words of a set's parity map.
+# 64-bit words of a set's short parity map.
 MAP_WORDS = 8
+# Shingles that are told to all tasks as one list, at most: those of most nodes.
+FREQUENT = 1_024
 
 
 # --- sets and sketches --------------------------------------------------------------------
@@ -125,20 +129,37 @@ def _sketch(width: int):
     return task
 
 
+def parity_maps(found: np.ndarray) -> tuple[list[int], list[int] | None]:
+    """The set's short parity map, a bit flipped for each shingle, and its long one.
+
+    The long map has two to four bits for each shingle; a set that the short map is as
+    long for has none.  Its halves, one flipped by the other, are the map of half its size.
+    """
+    words = max(MAP_WORDS, 1 << max(0, 2 * len(found) - 1).bit_length() >> 6)
+    at = (found & np.uint64(64 * words - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * words) & 1).astype(np.uint8)
+    long = np.packbits(odd, bitorder="little").view("<i8")
+    short = np.bitwise_xor.reduce(long.reshape(-1, MAP_WORDS), axis=0)
+    return short.tolist(), long.tolist() if words > MAP_WORDS else None
+
+
 def _sets(width: int):
-    """Sets of the rows whose class is the wanted one."""
+    """Sets of the rows whose class is the wanted one, with their parity maps."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            nodes, sets = [], []
+            nodes, sets, short, long = [], [], [], []
             columns = (batch.column(0).to_pylist(), batch.column(2).to_pylist())
             for node, wanted, text in zip(*columns, utf8(batch.column(1)), strict=True):
                 found = shingle_set(text, width)
                 if hashlib.md5(found.tobytes()).digest() == wanted:
                     nodes.append(node)
                     sets.append(found.view(np.int64))
+                    for maps, one in zip((short, long), parity_maps(found), strict=True):
+                        maps.append(one)
+            arrays = [pa.array(x, pa.list_(pa.int64())) for x in (sets, short, long)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"]
+                [pa.array(nodes, pa.int64()), *arrays], ["node", "shingles", "parity", "long_map"]
             )
 
     return task
@@ -147,16 +168,17 @@ def _sets(width: int):
 # --- verification -------------------------------------------------------------------------
 
 
-def _measured(sets: DataFrame) -> DataFrame:
-    """node, n (size of the set), parity (a map with a bit flipped for each shingle)."""
-    words = [
-        F.expr(
-            f"aggregate(shingles, 0L, (word, s) -> word ^ IF((shiftright(s, 6) & {MAP_WORDS - 1}) = {i},"
-            " shiftleft(1L, CAST(s & 63 AS INT)), 0L))"
-        )
-        for i in range(MAP_WORDS)
-    ]
-    return sets.select("node", F.size("shingles").alias("n"), F.array(*words).alias("parity"))
+def _differ(a: Column, b: Column) -> Column:
+    """Bits in which two long maps differ, at the smaller one's size; null if they cannot tell."""
+
+    def folded(x: Column, to: Column) -> Column:
+        half = F.size(to)
+        halves = F.slice(x, F.lit(1), half), F.slice(x, half + 1, half)
+        return F.when(F.size(x) > half, F.zip_with(*halves, lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+
+    flipped = F.zip_with(folded(a, b), folded(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    near = (F.size(a) <= 2 * F.size(b)) & (F.size(b) <= 2 * F.size(a))
+    return F.when(near, F.aggregate(flipped, F.lit(0), lambda total, bits: total + bits))
 
 
 def _several(members: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -185,7 +207,7 @@ def _several(members: DataFrame, components: DataFrame | None) -> DataFrame:
 
 
 def _hubs(members: DataFrame, measured: DataFrame, count: int, first: bool) -> DataFrame:
-    """grp, hub, hub_component, n, hub_map of each group's hubs.
+    """grp, hub, hub_component, n, hub_map, hub_long of each group's hubs.
 
     At first these are the smallest sets, later the smallest ones beyond the group's
     largest component, so that few nodes outside a large component are done at once.
@@ -205,6 +227,7 @@ def _hubs(members: DataFrame, measured: DataFrame, count: int, first: bool) -> D
         F.col("component").alias("hub_component"),
         "n",
         F.col("parity").alias("hub_map"),
+        F.col("long_map").alias("hub_long"),
     )
 
 
@@ -214,17 +237,20 @@ def _possible(members: DataFrame, hubs: DataFrame, measured: DataFrame, threshol
     Two sets differ in at least as many shingles as their parity maps differ in bits,
     so most pairs are told apart inside the join, and without moving a set.
     """
-    nodes = members.join(measured.select("node", F.col("n").alias("m"), "parity"), "node")
+    nodes = members.join(measured.select("node", F.col("n").alias("m"), "parity", "long_map"), "node")
     m, n = F.col("m"), F.col("n")
     differ = F.lit(0)
     for i in range(MAP_WORDS):
         differ = differ + F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("hub_map")[i]))
+    # Sets too small for long maps are told apart by the short ones alone.
+    by_long = F.coalesce(_differ(F.col("long_map"), F.col("hub_long")), differ)
     return (
         nodes.join(hubs, "grp")
         .where("node != hub and component != hub_component")
         .where(F.least(m, n) * 100 >= F.greatest(m, n) * threshold)
         .where(differ * (100 + threshold) <= (m + n) * (100 - threshold))
-        .select("node", "hub", "m", "n", differ.alias("differ"))
+        .where(by_long * (100 + threshold) <= (m + n) * (100 - threshold))
+        .select("node", "hub", "m", "n", by_long.alias("differ"))
         .distinct()
     )
 
@@ -236,10 +262,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         F.greatest("node", "hub").alias("b"),
         (F.col("m") + F.col("n")).alias("both"),
     ).distinct()
+    once = stage(once, "near_once")
     overlap = F.size(F.array_intersect("of_a", "of_b"))
+    of_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    of_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     return (
-        once.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+        once.join(maybe_wanted(of_a, "a", once), "a")
+        .join(maybe_wanted(of_b, "b", once), "b")
         .withColumn("overlap", overlap)
         .where(F.lit(100) * F.col("overlap") >= F.lit(threshold) * (F.col("both") - F.col("overlap")))
         .select("a", "b")
@@ -290,29 +319,47 @@ def _ordered(sets: DataFrame, threshold: int) -> DataFrame:
 
     ``first`` leaves out the nodes whose first shingles are all their own.
     """
-    rows = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    shingles = sets.select(F.explode("shingles").alias("shingle"))
+    often = stage(
+        shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "near_often"
+    )
+    place = F.struct("nodes", "shingle")
+    # The last ones in the order, which make most of the rows, need no join: they are one
+    # bounded list, in which every node finds its own.
+    last = often.where(F.col("nodes") > HUBS).select(place.alias("last")).orderBy(F.desc("last")).limit(FREQUENT)
+    last = stage(last.agg(F.sort_array(F.collect_list("last"))["shingle"].alias("last")), "near_last")
+    parts = sets.crossJoin(F.broadcast(last)).select(
+        "node",
+        F.size("shingles").alias("n"),
+        F.array_except("shingles", "last").alias("others"),
+        F.array_intersect("last", "shingles").alias("frequent"),
+    )
+    others = parts.select("node", F.explode("others").alias("shingle"))
+    rare = (
+        maybe_wanted(others, "shingle", often)
+        .join(often, "shingle")
+        .groupBy("node")
+        .agg(F.sort_array(F.collect_list(place))["shingle"].alias("rare"))
+    )
     n = F.col("n")
     prefix = n - F.ceil(n * threshold / 100) + 1
+    shared = F.when(F.col("rare").isNull(), F.col("frequent")).otherwise(F.concat("rare", "frequent"))
     return (
-        rows.join(stage(often, "near_often"), "shingle")
-        .groupBy("node", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("nodes", "shingle"))).alias("ranked"))
-        .select(
-            "node",
-            F.col("ranked.shingle").alias("shared"),
-            (prefix - (n - F.size("ranked"))).cast("int").alias("first"),
-        )
-        .where("first > 0")
+        parts.select("node", "n", "frequent")
+        .join(rare, "node", "left")
+        .select("node", "n", shared.alias("shared"))
+        .select("node", "shared", (prefix - (n - F.size("shared"))).cast("int").alias("first"))
+        .where("first > 0 and size(shared) > 0")
     )
 
 
 def verified_links(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
     """(node, component) of all links at the threshold between nodes that share a group.
 
-    ``groups`` has grp, node; ``sets`` has node, shingles.
+    ``groups`` has grp, node; ``sets`` has node, shingles, parity, long_map.
     """
-    measured = stage(_measured(sets), "near_sizes")
+    sizes = sets.select("node", F.size("shingles").alias("n"), "parity", "long_map")
+    measured = stage(sizes, "near_sizes")
     components, first, count = None, True, HUBS
     members = stage(_several(groups, None), "near_members")
     while not members.isEmpty():
@@ -334,7 +381,8 @@ def verified_links(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFr
         members = members.drop("component").join(done, ["grp", "node"], "left_anti")
         if first:
             open_ = stage(_several(members, components).select("node").distinct(), "near_open")
-            ordered = _ordered(sets.join(open_, "node"), threshold)
+            full = maybe_wanted(sets.select("node", "shingles"), "node", open_).join(open_, "node")
+            ordered = _ordered(stage(full, "near_open_sets"), threshold)
             members = stage(
                 ordered.select(F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("grp"), "node"),
                 "near_ordered",
@@ -389,9 +437,10 @@ def near_dedup(
         "near_wanted",
     )
     sets = stage(
-        rows.join(wanted, "doc_id")
+        maybe_wanted(rows, "doc_id", wanted)
+        .join(wanted, "doc_id")
         .select("node", "text", "class")
-        .mapInArrow(_sets(shingle), "node long, shingles array<long>")
+        .mapInArrow(_sets(shingle), "node long, shingles array<long>, parity array<long>, long_map array<long>")
         .dropDuplicates(["node"]),
         "near_sets",
     )
