@@ -7,15 +7,19 @@ Level by level, a phrase of n words is counted only if it can reach ``min_count`
    written once as arrays of these numbers (-1: another word, or the end of a piece).
 2. Safe positions of the level are hashed into bins, twice; a bin's count is an upper
    bound of that of each phrase in it.  Distinct phrases whose two bins reach the count
-   are the candidates, less those with a part that was counted below it.
+   are the candidates, less those with a part that was counted below it.  Bins grow with
+   the texts, as nearly all phrases pass full ones; beyond ``SLICE_TOKENS`` words the
+   phrases are cut by hash into slices, which have the bins one after the other.
 3. Candidates are cut into blocks of ``BLOCK`` phrases; each block becomes a double-array
-   trie (``double_array``) and is broadcast.  All text positions advance in it at once,
-   digit by digit; the cells in which phrases end are counted by ``bincount`` in each
-   task, and the counts of all tasks are summed.
+   trie (``double_array``), and ``TRIES`` of them are broadcast at a time.  All text
+   positions advance in them at once, digit by digit; the cells in which phrases end are
+   counted by ``bincount`` in each task, and the counts of all tasks are summed.
 
-Bounds: a broadcast holds one block of words (``WORDS``), one of candidates, or a bitmap of
-at most 2 * 2^``MOST_BITS`` bins; more data make more blocks, each with a pass over the number
-arrays.  Fuller bins let more candidates through and change no result.
+Bounds: a broadcast holds one block of words (``WORDS``), ``TRIES`` blocks of candidates, or a
+bitmap of at most 2 * 2^``MOST_BITS`` bins; more data make more blocks, each with a pass over
+the texts or number arrays.  Tables move in batches of ``BATCH_BYTES``, number arrays in
+rows of ``ROW``, and a task holds the bins of ``GATHERED`` phrases.  Fuller bins let more
+candidates through and change no result.
 
 The score of a cut after k words is floor(10^6 a a / (l r)) in 38-digit decimals, exact for
 counts below 10^13.  A phrase inside a longer candidate with at least ``absorb`` per cent
@@ -30,7 +34,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -39,20 +43,36 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import mix64, slices, utf8
+from emberwatch.llm.common import mix64, session_settings, slices, utf8
 from emberwatch.llm.double_array import Trie, build
 from emberwatch.storage import stage
 
 MIN_COUNT, LONGEST, TOP, ABSORB = 10, 3, 2_000, 50
 # Words and candidates of a broadcast block.
-WORDS, BLOCK = 500_000, 250_000
-LEAST_BITS, MOST_BITS = 16, 25
-# Bins of a row, in the tables of counted bins.
-ROW_BINS = 1 << 16
+WORDS, BLOCK = 2_000_000, 250_000
+# Blocks of candidates that are followed in one pass.
+TRIES = 2
+LEAST_BITS, MOST_BITS = 16, 27
+# Words of all texts whose phrases share the bins.
+SLICE_TOKENS = 1 << 30
+# Bins of a row, in the tables of counted bins, and rows that a task adds up.
+ROW_BINS, BIN_ROWS = 1 << 16, 32
 # Distinct words or candidates that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 500_000
+# Words of texts whose numbers a task keeps at hand.
+KNOWN = 200_000
+# Positions whose phrases are counted or made distinct at a time.
+GATHERED = 1 << 20
+# Rows of words in a batch.
+BATCH_ROWS = 50_000
+# Numbers of an array.
+ROW = 1 << 15
 # Texts beyond this many bytes are read in parts.
 PART_BYTES = 4_000_000
+# Bytes of a batch between Spark and Python.  By default it has 10,000 rows of any size.
+BATCH_BYTES = 4_000_000
+# Rows that a scan holds at a time; those of number arrays and bins are large.
+SCAN_ROWS = 128
 
 _ENDS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]+")
 _GAP = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
@@ -94,23 +114,84 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[pa.RecordBatch]:
         for lang, counted in held.items():
             counted.pop(b".", None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(counted), pa.string()), pa.array(list(counted), pa.binary()),
-                    pa.array(list(counted.values()), pa.int64()),
-                ],
-                ["lang", "word", "n"],
-            )
+            words = list(counted)
+            for begin in range(0, len(words), BATCH_ROWS):
+                own = words[begin : begin + BATCH_ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(own), pa.string()), pa.array(own, pa.binary()),
+                        pa.array([counted[w] for w in own], pa.int64()),
+                    ],
+                    ["lang", "word", "n"],
+                )
         held.clear()
 
     for lang, texts in _by_language(batches):
         for text in texts:
             held[lang].update(tokens(text))
-        if sum(map(len, held.values())) > HELD:
-            yield from rows()
+            if sum(map(len, held.values())) > HELD:
+                yield from rows()
     yield from rows()
 
 
+class Words:
+    """The numbers of a block's words as flat arrays; each process finds them by its own hashes."""
+
+    def __init__(self, batches: Iterable[pa.RecordBatch]):
+        """``lang``, ``word`` and ``number`` of each word."""
+        read: defaultdict[str, list[tuple[bytes, int]]] = defaultdict(list)
+        parts_: defaultdict[str, list[tuple[bytes, np.ndarray, np.ndarray]]] = defaultdict(list)
+        for batch in batches:
+            columns = batch["lang"].to_pylist(), utf8(batch["word"]), batch["number"].to_pylist()
+            for lang, word, number in zip(*columns, strict=True):
+                read[lang].append((word, number))
+            for lang, own in read.items():
+                words, numbers = zip(*own, strict=True)
+                sizes = np.array([len(w) for w in words], dtype=np.int32)
+                parts_[lang].append((b"".join(words), sizes, np.array(numbers, dtype=np.int32)))
+            read.clear()
+        self.words = {
+            lang: (b"".join(x[0] for x in own), *(np.concatenate([x[i] for x in own]) for i in (1, 2)))
+            for lang, own in parts_.items()
+        }
+        self.found: dict[str, tuple[np.ndarray, ...]] = {}
+
+    def _by_hash(self, lang: str) -> tuple[np.ndarray, ...]:
+        """Hashes in order; where their words begin and end; their numbers."""
+        if lang not in self.found:
+            text, sizes, numbers = self.words[lang]
+            ends = np.cumsum(sizes, dtype=np.int64)
+            begins = ends - sizes
+            cuts = (text[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True))
+            hashes = np.fromiter(map(hash, cuts), dtype=np.int64, count=len(sizes))
+            order = np.argsort(hashes, kind="stable")
+            self.found[lang] = hashes[order], begins[order], ends[order], numbers[order]
+        return self.found[lang]
+
+    def find(self, lang: str, words: list[bytes]) -> list[int]:
+        """The number of each word, -1 for those that are not in the block."""
+        found = [-1] * len(words)
+        if lang not in self.words or not words:
+            return found
+        text = self.words[lang][0]
+        hashes, begins, ends, numbers = self._by_hash(lang)
+        hashed = np.fromiter(map(hash, words), dtype=np.int64, count=len(words))
+        at = np.searchsorted(hashes, hashed)
+        open_ = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == hashed)
+        # Words of one hash stand side by side.
+        while len(open_):
+            cells = at[open_]
+            columns = (x[cells].tolist() for x in (begins, ends, numbers))
+            for i, begin, end, number in zip(open_.tolist(), *columns, strict=True):
+                if text[begin:end] == words[i]:
+                    found[i] = number
+            at[open_] += 1
+            more = at[open_] < len(hashes)
+            open_ = open_[more]
+            open_ = open_[hashes[at[open_]] == hashed[open_]]
+        return found
+
+
 def _numbered(vocabulary: Broadcast, ahead: int):
     """Texts as number arrays: ``own`` positions, and the ``ahead`` numbers after them.
 
@@ -118,34 +199,40 @@ def _numbered(vocabulary: Broadcast, ahead: int):
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place, here = vocabulary.value, 0, TaskContext.get().partitionId()
-        none: dict[bytes, int] = {}
-
-        def row(read: np.ndarray, own: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([read.tobytes()], pa.binary()), pa.array([own], pa.int32()),
-                    pa.array([here], pa.int32()), pa.array([place], pa.int32()),
-                ],
-                ["numbers", "own", "task", "place"],
-            )
+        words, place, here = vocabulary.value, 0, TaskContext.get().partitionId()
+        known: defaultdict[str, dict[bytes, int]] = defaultdict(dict)
+
+        def rows(read: np.ndarray, own: int) -> Iterator[pa.RecordBatch]:
+            nonlocal place
+            for begin in range(0, own, ROW):
+                end = min(begin + ROW, own)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([read[begin : end + ahead].tobytes()], pa.binary()), pa.array([end - begin], pa.int32()),
+                        pa.array([here], pa.int32()), pa.array([place], pa.int32()),
+                    ],
+                    ["numbers", "own", "task", "place"],
+                )
+                place += 1
 
         for lang, texts in _by_language(batches):
-            numbers = known.get(lang, none)
             rest = np.zeros(0, dtype=np.int32)
             for text in texts:
-                words = tokens(text)
-                read = np.fromiter((numbers.get(w, -1) for w in words), dtype=np.int32, count=len(words))
+                read = tokens(text)
+                distinct_words = set(read)
+                if sum(map(len, known.values())) + len(distinct_words) > KNOWN:
+                    known.clear()
+                numbers = known[lang]
+                new = list(distinct_words.difference(numbers))
+                numbers.update(zip(new, words.find(lang, new), strict=True))
+                read = np.fromiter(map(numbers.__getitem__, read), dtype=np.int32, count=len(read))
                 read = np.concatenate([rest, read])
                 # The last numbers wait for those that follow in the next part.
                 own = max(0, len(read) - ahead)
-                if own:
-                    yield row(read, own)
-                    place += 1
+                yield from rows(read, own)
                 rest = read[own:]
             if len(rest):
-                yield row(np.concatenate([rest, np.full(ahead, -1, dtype=np.int32)]), len(rest))
-                place += 1
+                yield from rows(np.concatenate([rest, np.full(ahead, -1, dtype=np.int32)]), len(rest))
 
     return task
 
@@ -205,41 +292,54 @@ def safe_starts(numbers: np.ndarray, own: int, length: int, bits: int, shorter:
     return starts
 
 
-def _bin_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Bins that are not zero, ROW_BINS of them to a row: block, places, counts."""
-    for block in range(0, len(counts), ROW_BINS):
-        part = counts[block : block + ROW_BINS]
-        places = np.flatnonzero(part)
-        if len(places):
+def _of_slice(hashed: np.ndarray, slice_: int, of: int) -> np.ndarray:
+    """Which hashes are in a slice, by digits that the bins do not read."""
+    return (hashed >> np.uint64(MOST_BITS + 1)) % np.uint64(of) == np.uint64(slice_)
+
+
+def _bin_rows(hashed: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """The bins of distinct hashes in order, ROW_BINS of them to a row: block, places, counts."""
+    least = np.uint64(255)
+    for half in _bins(hashed, bits):
+        # A bin and a count in one number, as bins of the second half are in no order.
+        packed = half.astype(np.uint64) << np.uint64(8) | counts
+        packed.sort()
+        bins, added = (packed >> np.uint64(8)).astype(np.int64), (packed & least).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]][: len(bins)])
+        if not len(first):
+            continue
+        added = np.minimum(np.add.reduceat(added, first), 255).astype(np.uint8)
+        bins = bins[first]
+        for begin in range(0, len(bins), GATHERED):
+            blocks = bins[begin : begin + GATHERED] // ROW_BINS
+            edges = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1], True]).astype(np.int32)
+            places = (bins[begin : begin + GATHERED] % ROW_BINS).astype(np.uint16)
+            columns = [
+                pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                for ends, data in ((edges * np.int32(2), places), (edges, added[begin : begin + GATHERED]))
+            ]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block // ROW_BINS], pa.int32()),
-                    pa.array([places.astype(np.uint16).tobytes()], pa.binary()),
-                    pa.array([part[places].tobytes()], pa.binary()),
-                ],
-                ["block", "places", "counts"],
+                [pa.array(blocks[edges[:-1]].astype(np.int32)), *columns], ["block", "places", "counts"]
             )
 
 
-def _add(counts: np.ndarray, bins: np.ndarray, added: np.ndarray, most: int) -> None:
-    """Adds to counts that stop at ``most``."""
-    order = np.argsort(bins, kind="stable")
-    bins, added = bins[order], added[order]
-    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]][: len(bins)])
-    if len(first):
-        total = np.add.reduceat(added.astype(np.int64), first)
-        counts[bins[first]] = np.minimum(counts[bins[first]].astype(np.int64) + total, most)
+def _count_bins(length: int, bits: int, shorter: Broadcast | None, most: int, slice_: int, of: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: list[np.ndarray] = []
 
+        def rows() -> Iterator[pa.RecordBatch]:
+            if gathered:
+                phrases, counts = np.unique(np.concatenate(gathered), return_counts=True)
+                gathered.clear()
+                yield from _bin_rows(phrases, np.minimum(counts, most).astype(np.uint64), bits)
 
-def _count_bins(length: int, bits: int, shorter: Broadcast | None, most: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 << bits, dtype=np.uint8)
         for numbers, own in _arrays(batches):
             starts = safe_starts(numbers, own, length, bits, shorter and shorter.value)
-            phrases, added = np.unique(windows(numbers, starts, length), return_counts=True)
-            for half in _bins(phrases, bits):
-                _add(counts, half, added, most)
-        yield from _bin_rows(counts)
+            hashed = windows(numbers, starts, length)
+            gathered.append(hashed[_of_slice(hashed, slice_, of)] if of > 1 else hashed)
+            if sum(map(len, gathered)) > GATHERED:
+                yield from rows()
+        yield from rows()
 
     return task
 
@@ -252,7 +352,9 @@ def _sum_bins(most: int):
         for batch in batches:
             for block, places, added in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 counts = held.setdefault(block, np.zeros(ROW_BINS, dtype=np.uint8))
-                _add(counts, np.frombuffer(places, np.uint16), np.frombuffer(added, np.uint8), most)
+                # A row has a bin once.
+                places, added = np.frombuffer(places, np.uint16), np.frombuffer(added, np.uint8).astype(np.uint16)
+                counts[places] = np.minimum(counts[places] + added, most)
         for block, counts in held.items():
             full = np.packbits(counts >= most, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays(
@@ -264,7 +366,9 @@ def _sum_bins(most: int):
 
 def _bitmap(rows: DataFrame, bits: int, most: int) -> np.ndarray:
     """One bit for each bin whose count reaches ``most``; at most 2^(MOST_BITS + 1) of them."""
-    full = rows.repartition("block").mapInArrow(_sum_bins(most), "block int, full binary")
+    # So many tasks that each holds few blocks, also where there are few rows.
+    dealt = rows.repartition(-(-(2 << bits) // (ROW_BINS * BIN_ROWS)), "block")
+    full = dealt.mapInArrow(_sum_bins(most), "block int, full binary")
     bitmap = np.zeros((2 << bits) // 8, dtype=np.uint8)
     for row in full.collect():
         begin = row.block * ROW_BINS // 8
@@ -298,20 +402,29 @@ def _marked_bins(length: int, bits: int, most: int):
     """The bins of given phrases, as full ones."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 << bits, dtype=np.uint8)
         for batch in batches:
             flat = np.stack([c.to_numpy() for c in batch.columns], axis=1).ravel()
-            counts[_bins(windows(flat, np.arange(0, len(flat), length), length), bits)] = most
-        yield from _bin_rows(counts)
+            phrases = np.unique(windows(flat, np.arange(0, len(flat), length), length))
+            yield from _bin_rows(phrases, np.full(len(phrases), most, dtype=np.uint64), bits)
 
     return task
 
 
-def _candidates(length: int, bits: int, shorter: Broadcast | None, full: Broadcast, parts_: int):
+def _candidates(
+    length: int, bits: int, shorter: Broadcast | None, full: Broadcast, parts_: int, slice_: int, of: int
+):
     """Distinct phrases of a task, packed by part; a part is a range of hashes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, hashed = np.zeros((0, length), np.int32), np.zeros(0, np.uint64)
+        gathered: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merge() -> None:
+            nonlocal found, hashed
+            found, hashed = distinct(
+                np.concatenate([found, *(x for x, _ in gathered)]), np.concatenate([hashed, *(x for _, x in gathered)])
+            )
+            gathered.clear()
 
         def rows() -> Iterator[pa.RecordBatch]:
             least = np.array([(i << 64) // parts_ for i in range(parts_)], dtype=np.uint64)
@@ -327,13 +440,16 @@ def _candidates(length: int, bits: int, shorter: Broadcast | None, full: Broadca
             starts = safe_starts(numbers, own, length, bits, shorter and shorter.value)
             keys = windows(numbers, starts, length)
             good = _set(full.value, _bins(keys, bits))
+            if of > 1:
+                good &= _of_slice(keys, slice_, of)
             starts, keys = starts[good], keys[good]
-            more = np.stack([numbers[starts + i] for i in range(length)], axis=1)
-            more, keys = distinct(more, keys)
-            found, hashed = distinct(np.concatenate([found, more]), np.concatenate([hashed, keys]))
-            if len(found) > HELD:
-                yield from rows()
-                found, hashed = found[:0], hashed[:0]
+            gathered.append(distinct(np.stack([numbers[starts + i] for i in range(length)], axis=1), keys))
+            if sum(len(x) for _, x in gathered) > GATHERED:
+                merge()
+                if len(found) > HELD:
+                    yield from rows()
+                    found, hashed = found[:0], hashed[:0]
+        merge()
         yield from rows()
 
     return task
@@ -384,30 +500,35 @@ _TRIE_SCHEMA = "block int, digits int, base binary, check binary, accept binary,
 
 
 def _follow(length: int, packed: Broadcast):
+    """Counts in one pass the phrases of several tries."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digits, base, check, accept, phrases = packed.value
-        trie = Trie(*(np.frombuffer(x, np.int32) for x in (base, check, accept)), digits)
-        counts = np.zeros(len(trie.base), dtype=np.int64)
-        ended: list[np.ndarray] = []
+        tries = []
+        for digits, base, check, accept, _ in packed.value:
+            trie = Trie(*(np.frombuffer(x, np.int32) for x in (base, check, accept)), digits)
+            tries.append((trie, np.zeros(len(trie.base), dtype=np.int64), []))
 
-        def flush() -> None:
+        def flush(counts: np.ndarray, ended: list[np.ndarray]) -> None:
             if ended:
-                counts[:] += np.bincount(np.concatenate(ended), minlength=len(counts))
+                counts += np.bincount(np.concatenate(ended), minlength=len(counts))
                 ended.clear()
 
         for numbers, own in _arrays(batches):
-            ended.append(trie.ends(numbers, length, safe_starts(numbers, own, length, 0, None)))
-            if sum(map(len, ended)) > HELD:
-                flush()
-        flush()
-        found = counts[trie.accept]
-        seen = np.flatnonzero(found)
-        words = np.frombuffer(phrases, np.int32).reshape(-1, length)[seen]
-        if len(seen):
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.ascontiguousarray(words[:, i])) for i in range(length)), pa.array(found[seen])],
-                [*_names(length), "n"],
-            )
+            starts = safe_starts(numbers, own, length, 0, None)
+            for trie, counts, ended in tries:
+                ended.append(trie.ends(numbers, length, starts))
+                if sum(map(len, ended)) > HELD:
+                    flush(counts, ended)
+        for (trie, counts, ended), (*_, phrases) in zip(tries, packed.value, strict=True):
+            flush(counts, ended)
+            found = counts[trie.accept]
+            seen = np.flatnonzero(found)
+            words = np.frombuffer(phrases, np.int32).reshape(-1, length)[seen]
+            if len(seen):
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.ascontiguousarray(words[:, i])) for i in range(length)), pa.array(found[seen])],
+                    [*_names(length), "n"],
+                )
 
     return task
 
@@ -430,6 +551,7 @@ class _Search:
         tokens_ = everything.agg(F.sum("n")).first()[0] or 0
         self.parts = max(64, tokens_ >> 20)
         self.bits = min(MOST_BITS, max(LEAST_BITS, int(tokens_ // 2).bit_length()))
+        self.slices = max(1, -(-tokens_ // SLICE_TOKENS))
 
     def _number_words(self, frequent: DataFrame, words: int) -> DataFrame:
         """lang, word, n, block, number; blocks of about ``words`` by hash."""
@@ -442,19 +564,16 @@ class _Search:
             "vocabulary",
         )
 
-    def _dictionary(self, block: int) -> dict[str, dict[bytes, int]]:
+    def _words(self, block: int) -> Words:
         rows = self.vocabulary.where(F.col("block") == block).select("lang", "word", "number").toArrow()
-        known: defaultdict[str, dict[bytes, int]] = defaultdict(dict)
-        for lang, word, number in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
-            known[lang][bytes(word)] = number
-        return dict(known)
+        return Words(rows.to_batches(max_chunksize=BATCH_ROWS))
 
     def _number_texts(self, texts: DataFrame) -> DataFrame:
         if self.blocks > 1:
             texts = stage(texts, "texts")  # the same tasks for each block
         made = []
         for block in range(self.blocks):
-            shared = self.spark.sparkContext.broadcast(self._dictionary(block))
+            shared = self.spark.sparkContext.broadcast(self._words(block))
             made.append(stage(texts.mapInArrow(_numbered(shared, self.longest - 1), _NUMBERS), "numbers"))
             shared.destroy()
         if self.blocks > 1:
@@ -465,6 +584,23 @@ class _Search:
     def _shared_bitmap(self, rows: DataFrame) -> Broadcast:
         return self.spark.sparkContext.broadcast(_bitmap(rows, self.bits, self.min_count))
 
+    def _candidates(self, length: int, before: Broadcast | None, shorter: DataFrame, slice_: int) -> DataFrame:
+        """Phrases of a slice of the hashes that may reach the count."""
+        names, bits = _names(length), self.bits
+        counted = _count_bins(length, bits, before, self.min_count, slice_, self.slices)
+        full = self._shared_bitmap(self.numbers.mapInArrow(counted, _BIN_SCHEMA))
+        packed = self.numbers.mapInArrow(
+            _candidates(length, bits, before, full, self.parts, slice_, self.slices), "part int, phrases binary"
+        )
+        found = packed.repartition("part").mapInArrow(_merged(length), _schema(length))
+        if length > 2:
+            for shift in (0, 1):
+                part = [F.col(f"w{i}").alias(f"w{i + shift}") for i in range(length - 1)]
+                found = found.join(shorter.select(*part), names[shift : shift + length - 1], "left_semi")
+        found = stage(found, "candidates")
+        full.destroy()
+        return found
+
     def phrases(self, length: int, shorter: DataFrame) -> DataFrame:
         """w0, ..., n: the phrases of ``length`` words that reach the count, from those one shorter."""
         names = _names(length)
@@ -474,28 +610,28 @@ class _Search:
                 _marked_bins(length - 1, self.bits, self.min_count), _BIN_SCHEMA
             )
             before = self._shared_bitmap(marked)
-        counted = self.numbers.mapInArrow(_count_bins(length, self.bits, before, self.min_count), _BIN_SCHEMA)
-        full = self._shared_bitmap(counted)
-        packed = self.numbers.mapInArrow(
-            _candidates(length, self.bits, before, full, self.parts), "part int, phrases binary"
+        found = reduce(
+            DataFrame.unionByName, [self._candidates(length, before, shorter, i) for i in range(self.slices)]
         )
-        found = packed.repartition("part").mapInArrow(_merged(length), _schema(length))
-        if length > 2:
-            for shift in (0, 1):
-                part = [F.col(f"w{i}").alias(f"w{i + shift}") for i in range(length - 1)]
-                found = found.join(shorter.select(*part), names[shift : shift + length - 1], "left_semi")
-        found = stage(found, "candidates")
         if before is not None:
             before.destroy()
-        full.destroy()
 
         blocks = max(1, -(-found.count() // self.block))
-        dealt = found.withColumn("block", F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int"))
-        tries = stage(dealt.groupBy("block").applyInArrow(_build(length), _TRIE_SCHEMA), "tries")
+        # Phrases of one first word are in one trie, so that a position advances in one; those of
+        # words that begin many, at most 8 words a block, are in all.
+        often = found.groupBy("w0").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > self.block // 8)
+        of = F.when(F.col("often").isNull(), F.xxhash64("w0")).otherwise(F.xxhash64(*names))
+        dealt = found.join(F.broadcast(often), "w0", "left").select(
+            *names, F.pmod(of, F.lit(blocks)).cast("int").alias("block")
+        )
+        # A trie is one large row; few of them are in a task and in a file.
+        built = dealt.repartition(blocks, "block").groupBy("block").applyInArrow(_build(length), _TRIE_SCHEMA)
+        tries = stage(built, "tries")
         sums = []
-        for block in range(blocks):
-            for trie in tries.where(F.col("block") == block).select(*_TRIE[1:]).toArrow().to_pylist():
-                packed = self.spark.sparkContext.broadcast(tuple(trie[n] for n in _TRIE[1:]))
+        for block in range(0, blocks, TRIES):
+            some = tries.where((F.col("block") >= block) & (F.col("block") < block + TRIES)).select(*_TRIE[1:])
+            if some := some.toArrow().to_pylist():
+                packed = self.spark.sparkContext.broadcast([tuple(trie[n] for n in _TRIE[1:]) for trie in some])
                 followed = self.numbers.mapInArrow(_follow(length, packed), _schema(length, ", n long"))
                 summed = followed.groupBy(*names).agg(F.sum("n").alias("n"))
                 sums.append(stage(summed.where(F.col("n") >= self.min_count), "phrases"))
@@ -561,21 +697,28 @@ def collocations(
     if not 1 <= min_count <= 255 or longest < 2:
         raise ValueError("min_count must be 1 to 255, longest 2 at least")
     lang = F.col(lang) if isinstance(lang, str) else lang
-    search = _Search(docs, text, lang.cast("string"), min_count, longest, words, block)
-    vocabulary = search.vocabulary
-    counted = {1: vocabulary.select(F.col("number").alias("w0"), "n")}
-    for length in range(2, longest + 1):
-        counted[length] = search.phrases(length, counted[length - 1])
-
-    rows = []
-    for length in range(2, longest + 1):
-        kept = _kept(_cut(counted[length], counted, length), counted, length, absorb)
-        for i in range(length):
-            word = [F.col("number").alias(f"w{i}"), F.col("word").cast("string").alias(f"word{i}")]
-            kept = kept.join(vocabulary.select(*word, *(["lang"] if i == 0 else [])), f"w{i}")
-        phrase = F.concat_ws(" ", *(f"word{i}" for i in range(length))).alias("phrase")
-        rows.append(kept.select("lang", phrase, "a", "l", "r", "score"))
-    scored = stage(reduce(DataFrame.unionByName, rows), "collocations")
+    with session_settings(
+        docs.sparkSession,
+        {
+            "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+            "spark.sql.parquet.columnarReaderBatchSize": str(SCAN_ROWS),
+        },
+    ):
+        search = _Search(docs, text, lang.cast("string"), min_count, longest, words, block)
+        vocabulary = search.vocabulary
+        counted = {1: vocabulary.select(F.col("number").alias("w0"), "n")}
+        for length in range(2, longest + 1):
+            counted[length] = search.phrases(length, counted[length - 1])
+
+        rows = []
+        for length in range(2, longest + 1):
+            kept = _kept(_cut(counted[length], counted, length), counted, length, absorb)
+            for i in range(length):
+                word = [F.col("number").alias(f"w{i}"), F.col("word").cast("string").alias(f"word{i}")]
+                kept = kept.join(vocabulary.select(*word, *(["lang"] if i == 0 else [])), f"w{i}")
+            phrase = F.concat_ws(" ", *(f"word{i}" for i in range(length))).alias("phrase")
+            rows.append(kept.select("lang", phrase, "a", "l", "r", "score"))
+        scored = stage(reduce(DataFrame.unionByName, rows), "collocations")
     # A language's first rows are among the first of each of its parts.
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(64))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,42 @@ def test_collocations_against_brute_force(spark, words, block, longest):
     assert _rows(found.collect()) == wanted
 
 
+def test_collocations_in_slices_of_the_hashes(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "SLICE_TOKENS", 1_000)
+    monkeypatch.setattr(collocations, "TRIES", 2)
+    rows = _texts(np.random.default_rng(12))
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    found = collocations.collocations(docs.repartition(3), block=9, min_count=4, top=15)
+    assert _rows(found.collect()) == _phrases(rows, 4, 3, 15, 50)
+
+
+def test_number_arrays_and_batches_are_bounded(spark, monkeypatch):
+    staged, stage = {}, collocations.stage
+
+    def kept(df, label):
+        staged[label] = stage(df, label)
+        return staged[label]
+
+    monkeypatch.setattr(collocations, "stage", kept)
+    text = "new york city " * 60_000
+    docs = spark.createDataFrame([(text, "en"), ("old york", "en")], "text string, lang string")
+    found = collocations.collocations(docs.coalesce(1)).collect()
+    assert {r.phrase: r.a for r in found} == {"new york city": 60_000, "york city new": 59_999, "city new york": 59_999}
+    longest = staged["numbers"].agg(F.max(F.length("numbers"))).first()[0]
+    assert longest <= 4 * ((1 << 15) + 2)
+    # The settings of the session are as before.
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "77") == "77"
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(collocations, "hash", len, raising=False)
+    rows = [("en", b"aa", 3), ("en", b"bb", 5), ("de", b"aa", 4), ("en", b"c", 0), ("en", b"dd", 9)]
+    table = pa.table({n: pa.array(c) for n, c in zip(("lang", "word", "number"), zip(*rows, strict=True), strict=True)})
+    words = collocations.Words(table.to_batches(max_chunksize=2))
+    assert words.find("en", [b"dd", b"aa", b"xx", b"c", b"yyy", b"bb"]) == [9, 3, -1, 0, -1, 5]
+    assert words.find("de", [b"aa", b"bb", b"c"]) == [4, -1, -1] and words.find("fr", [b"aa"]) == [-1]
+
+
 def test_collocations_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "text string, lang string")
     assert collocations.collocations(docs).collect() == []
