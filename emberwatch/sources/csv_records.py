@@ -9,6 +9,9 @@ compose.  So files are read as lines in splits of any size:
 3. each split joins its lines to records; of a record that runs over the end of a split,
    the pieces (two per split at most) are put together by a grouping of their own.
 
+A task reads as many neighbouring splits as make up ``TASK_BYTES``, so that small splits cost
+no task each.
+
 A quote opens a cell only at the cell's start; a doubled quote is none.  Lines end in a line
 feed, with or without a carriage return.
 """
@@ -29,6 +32,18 @@ _BLOCK = ["file_path", "block_start"]
 _RECORD = "file_name string, file_path string, block_start long, row_id long, record string, piece int, header boolean"
 # Pieces of a record: all of it, its end from an earlier split, its beginning.
 WHOLE, END, BEGINNING = 0, 1, 2
+# Bytes of small splits that one task reads.
+TASK_BYTES = 16 << 20
+
+
+def _dealt(read: DataFrame) -> DataFrame:
+    """The rows of a scan in tasks of TASK_BYTES or of one split, but no fewer than fill the cores."""
+    spark = read.sparkSession
+    splits = read._jdf.queryExecution().toRdd().getNumPartitions()
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(-(-splits * min(most, TASK_BYTES) // TASK_BYTES), 2 * spark.sparkContext.defaultParallelism)
+    # The splits keep their order and their row ids.
+    return read.coalesce(tasks) if tasks < splits else read
 
 
 def _leaves_open(text: Column) -> Column:
@@ -186,7 +201,7 @@ def _put_together(pieces: DataFrame) -> DataFrame:
 def read_csv_records(spark: SparkSession, paths) -> DataFrame:
     """The records below the headers as text (``record``), with the lineage of their first line."""
     text = spark.read.option("lineSep", "\n").text(paths)
-    lines = with_lineage(text, F.col("value").alias("line"))
+    lines = _dealt(with_lineage(text, F.col("value").alias("line")))
     mapped = lines.select("*", *_maps(F.col("line")))
     schema = "file_path string, block_start long, from_closed boolean, from_open boolean"
     summaries = stage(mapped.select(*_BLOCK, "from_closed", "from_open").mapInArrow(_summaries, schema), "csv_splits")
@@ -195,7 +210,7 @@ def read_csv_records(spark: SparkSession, paths) -> DataFrame:
     records = marked.mapInArrow(_records, _RECORD)
     crossing = F.col("piece") != WHOLE
     if not summaries.where("from_closed").isEmpty():
-        records = stage(records, "csv_records")
+        records = _dealt(stage(records, "csv_records"))
         joined = _put_together(records.where(crossing))
         records = records.where(~crossing).drop("piece").unionByName(joined)
     ended = F.replace(F.regexp_replace("record", "\r$", ""), F.lit("\r\n"), F.lit("\n"))

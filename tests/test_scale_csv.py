@@ -1,8 +1,10 @@
+import csv
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from emberwatch.sources import csv_records
+from emberwatch.sources.csv_export import read_csv_cells
 from workload import queries
 
 
@@ -33,3 +35,23 @@ def test_pieces_are_numbered_without_their_text(spark):
     plan = joined._jdf.queryExecution().optimizedPlan().toString().splitlines()
     window = next(i for i, line in enumerate(plan) if "Window [" in line)
     assert "record" not in plan[window + 1]
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    wanted = [(str(i), f'line "{i}"\nand, another\n') for i in range(3_000)]
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as out:
+        csv.writer(out, lineterminator="\n").writerows([("id", "text"), *wanted])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 500)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        found = read_csv_cells(spark, str(tmp_path), ["id", "text"])
+        tasks = found.rdd.getNumPartitions()
+        rows = found.orderBy("file_name", "file_path", "block_start", "row_id").collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert [(r.c0, r.c1) for r in rows] == wanted
+    assert len({r.block_start for r in rows}) > 100
+    # Records of one split, and those of several.
+    assert tasks <= 4 * spark.sparkContext.defaultParallelism
